@@ -76,32 +76,28 @@ def rerank(
     A failing pair or too many candidates makes its whole query fall back:
     `reranked` is false and `rerank_score` null for all its items.
     """
-    schema = T.StructType(
-        items.schema.fields + [T.StructField("rerank_score", T.DoubleType()), T.StructField("_failed", T.BooleanType())]
-    )
     pairs = items.withColumns(
         {"_asked": scoring.rerank_query(F.col("query")), "_given": scoring.rerank_text(F.col("chapter_title"), F.col("text"))}
     )
-    schema = T.StructType(pairs.schema.fields + schema.fields[-2:])
+    schema = T.StructType(
+        pairs.schema.fields + [T.StructField("rerank_score", T.DoubleType()), T.StructField("_failed", T.BooleanType())]
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = None
         for batch in batches:
-            scores: list[float | None] = []
-            failed: list[bool] = []
-            for at in range(0, len(batch), batch_size):
-                part = batch.iloc[at: at + batch_size]
-                try:
-                    scorer = scorer or make_scorer()
-                    found = [float(s) for s in scorer(list(zip(part["_asked"], part["_given"])))]
-                    if len(found) != len(part):
-                        raise ValueError("scores do not match candidates")
-                    scores.extend(found)
-                    failed.extend([False] * len(part))
-                except Exception:
-                    scores.extend([None] * len(part))
-                    failed.extend([True] * len(part))
-            yield batch.assign(rerank_score=pd.Series(scores, index=batch.index, dtype="float64"), _failed=failed)
+            # one model call never mixes queries, so a failure stays with its query
+            for _, group in batch.groupby("query_id", sort=False):
+                for at in range(0, len(group), batch_size):
+                    part = group.iloc[at: at + batch_size]
+                    try:
+                        scorer = scorer or make_scorer()
+                        found = [float(s) for s in scorer(list(zip(part["_asked"], part["_given"])))]
+                        if len(found) != len(part):
+                            raise ValueError("scores do not match candidates")
+                        yield part.assign(rerank_score=found, _failed=False)
+                    except Exception:
+                        yield part.assign(rerank_score=float("nan"), _failed=True)
 
     scored = pairs.mapInPandas(run, schema)
     state = scored.groupBy("query_id").agg(
