@@ -15,8 +15,9 @@ from vellum.operators import ranking
 from vellum.operators.merges import keep_first
 from vellum.operators.postings import build_postings, corpus_size
 from vellum.operators.retrieval import (
-    dense_top_k, fuse, group_by_book, query_term_table, sparse_top_k, valid_hits,
+    BROADCAST_HITS, dense_top_k, fuse, group_by_book, query_term_table, sparse_top_k, valid_hits,
 )
+from vellum.session import has_at_most
 from vellum.sources import snapshots as snap
 
 PAYLOAD = [
@@ -47,8 +48,10 @@ def grouped_hits(
             b.join(own, "query_id").filter(F.col("rank0") < F.col("_prefetch")).drop("_prefetch") for b in (dense, sparse)
         )
     payload = points.select(*PAYLOAD)
-    hits = fuse([dense, sparse]).join(payload, "point_id")
-    return group_by_book(hits, groups)
+    fused = fuse([dense, sparse])
+    # at most two lists of `prefetch` hits per query
+    small = has_at_most(queries, BROADCAST_HITS // (2 * prefetch))
+    return group_by_book(payload.join(F.broadcast(fused) if small else fused, "point_id"), groups)
 
 
 def hybrid_search(

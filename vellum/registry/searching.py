@@ -87,9 +87,9 @@ def grouped_sql(groups: int, tag: str = "") -> str:
 def items_sql(tag: str = "") -> str:
     """One representative per (query, book) with the policy inputs."""
     return f"""feat{tag} AS (SELECT query_id, query, {terms('query')} AS terms, NOT list_has_any({toks('query')}, {FRONT_LIST}) AND len({terms('query')}) > 0 AS demote FROM asked),
-      scored{tag} AS (SELECT g.*, f.query, f.demote, len(list_filter(f.terms, lambda t: contains({norm("g.title || chr(10) || g.text")}, t))) AS overlap,
+      scored{tag} AS (SELECT g.*, f.query, f.demote, len(list_filter(f.terms, lambda t: contains(g.hay, t))) AS overlap,
         regexp_matches({norm('ltrim(g.text)')}, '^({FRONT})') OR regexp_matches(lower(g.title), '^(chapter|part) [0-9]+$') AS front
-        FROM grouped{tag} g JOIN feat{tag} f USING (query_id)),
+        FROM (SELECT *, {norm("title || chr(10) || text")} AS hay FROM grouped{tag}) g JOIN feat{tag} f USING (query_id)),
       items{tag} AS (SELECT * FROM scored{tag} QUALIFY row_number() OVER (PARTITION BY query_id, book_id ORDER BY
         round(score + 2 * overlap + (overlap > 0)::INTEGER - CASE WHEN demote AND overlap = 0 AND front THEN 1.5::DOUBLE ELSE 0 END, 8) DESC, hit_rank) = 1)"""
 
@@ -168,18 +168,18 @@ def w4(spark, sf):
     return dense.withColumn("branch", F.lit("dense")).unionByName(sparse.withColumn("branch", F.lit("sparse")))
 
 
-@R.add("j6_rank_fusion", f"WITH {INPUTS}, {SPARSE}, {DENSE}, {fused_sql(404)} SELECT query_id, point_id, round(score, 6) AS score FROM fused")
+@R.add("j6_rank_fusion", f"WITH {INPUTS}, {SPARSE}, {DENSE}, {fused_sql(404)} SELECT query_id, point_id, score FROM fused")
 def j6(spark, sf):
-    return retrieval.fuse(list(_branches(spark, sf, 404))).withColumn("score", F.round("score", 6))
+    return retrieval.fuse(list(_branches(spark, sf, 404)))
 
 
 @R.add("a3_group_by_book", f"""
   WITH {INPUTS}, {SPARSE}, {DENSE}, {fused_sql(100)}, {grouped_sql(12)}
-  SELECT query_id, book_id, point_id, round(score, 6) AS score, hit_rank::INTEGER AS hit_rank, book_rank::INTEGER AS book_rank FROM grouped""")
+  SELECT query_id, book_id, point_id, score, hit_rank::INTEGER AS hit_rank, book_rank::INTEGER AS book_rank FROM grouped""")
 def a3(spark, sf):
     pts = points(spark, sf)
     g = grouped_hits(asked(spark, sf), pts, point_postings(pts), 12, 100)
-    return g.select("query_id", "book_id", "point_id", F.round("score", 6).alias("score"), "hit_rank", "book_rank")
+    return g.select("query_id", "book_id", "point_id", "score", "hit_rank", "book_rank")
 
 
 @R.add("f6_valid_hits", """
@@ -226,13 +226,13 @@ def page_sql(offset: int, limit: int) -> str:
     return f"""
       WITH {INPUTS}, {SPARSE}, {DENSE}, {hybrid_sql(offset, limit)},
       placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY book_rank) - 1 AS position, count(*) OVER (PARTITION BY query_id) AS found FROM items)
-      SELECT query_id, position::INTEGER AS position, book_id, point_id, round(score, 6) AS score,
+      SELECT query_id, position::INTEGER AS position, book_id, point_id, score,
         CASE WHEN found > {offset + limit} THEN {offset + limit} END::INTEGER AS next_offset
       FROM placed WHERE position >= {offset} AND position < {offset + limit}"""
 
 
 def _page(df):
-    return df.select("query_id", "position", "book_id", "point_id", F.round("score", 6).alias("score"), "next_offset")
+    return df.select("query_id", "position", "book_id", "point_id", "score", "next_offset")
 
 
 @R.add("p3_hybrid_search", page_sql(0, 20))
@@ -353,9 +353,9 @@ _MODEL = "model AS (SELECT source AS book_id, 'docs ' || count(*) AS title FROM
 
 
 @R.add("j2_read_model_join", f"""
-  WITH {INPUTS}, {SPARSE}, {DENSE}, {hybrid_sql(0, 20)}, {_MODEL} SELECT query_id, book_id, title, round(score, 6) AS score FROM items JOIN model USING (book_id)""")
+  WITH {INPUTS}, {SPARSE}, {DENSE}, {hybrid_sql(0, 20)}, {_MODEL} SELECT query_id, book_id, model.title, score FROM items JOIN model USING (book_id)""")
 def j2(spark, sf):
-    return _items(spark, sf, 20).join(read_model(spark, sf), "book_id").select("query_id", "book_id", "title", F.round("score", 6).alias("score"))
+    return _items(spark, sf, 20).join(read_model(spark, sf), "book_id").select("query_id", "book_id", "title", "score")
 
 
 @R.add("f13_find_by_ids", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier)")
@@ -407,12 +407,12 @@ _OFFSETS = [0, 5, 15]
   deep AS (SELECT query_id * 10 + 2 AS query_id, 15 AS "offset", book_id, score, NULL::DOUBLE AS rerank_score, CASE WHEN found > 35 THEN 35 END AS next_offset
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY book_rank) - 1 AS p0, count(*) OVER (PARTITION BY query_id) AS found FROM items_deep) WHERE p0 >= 15 AND p0 < 35),
   pages AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(rerank_score, score) DESC, book_id) AS page_rank FROM (SELECT * FROM shallow UNION ALL SELECT * FROM deep))
-  SELECT query_id, "offset"::INTEGER AS "offset", page_rank::INTEGER AS page_rank, book_id, title, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score, next_offset::INTEGER AS next_offset
+  SELECT query_id, "offset"::INTEGER AS "offset", page_rank::INTEGER AS page_rank, book_id, title, score, round(rerank_score, 6) AS rerank_score, next_offset::INTEGER AS next_offset
   FROM pages JOIN model USING (book_id)""")
 def p4(spark, sf):
     now = F.lit(NOW).cast("timestamp")
     page, _ = search(_requests(spark, sf, _OFFSETS), points(spark, sf), read_model(spark, sf), now, window=_WINDOW)
-    return page.select("query_id", "offset", "page_rank", "book_id", "title", F.round("score", 6).alias("score"), F.round("rerank_score", 6).alias("rerank_score"), "next_offset")
+    return page.select("query_id", "offset", "page_rank", "book_id", "title", "score", F.round("rerank_score", 6).alias("rerank_score"), "next_offset")
 
 
 # --- embeddings -------------------------------------------------------------------------------

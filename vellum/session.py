@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -58,3 +59,13 @@ def stage_table(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def has_at_most(df: DataFrame, rows: int) -> bool:
+    """Whether a table is small; reads no more than `rows` + 1 rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint behind a check of the row count; else a shuffled join."""
+    return F.broadcast(df) if has_at_most(df, rows) else df
