@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from vellum.constants import CHUNK_CHARS, CHUNK_OVERLAP, CHUNK_SEPARATORS, MIN_CHUNK_CHARS
 from vellum.functions.text import strip
+from vellum.session import spread
 
 
 def check_limits(max_chars: int, overlap: int) -> None:
@@ -89,7 +90,7 @@ def locate(text: str, pieces: list[str]) -> list[tuple[int, int]]:
 def split_to_rows(df: DataFrame, text_col: str = "text", max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """One row per chunk with its offsets; the other columns are repeated.
 
-    Row-local, so there is no shuffle: each task splits the texts it read.
+    Row-local: on a table of many files each task splits the texts it read.
     """
     check_limits(max_chars, overlap)
     carried = [f for f in df.schema.fields if f.name != text_col]
@@ -116,7 +117,7 @@ def split_to_rows(df: DataFrame, text_col: str = "text", max_chars: int = CHUNK_
             made = pd.DataFrame(rows, columns=["chunk_index", "text", "source_start_char", "source_end_char"])
             yield pd.concat([out, made], axis=1)
 
-    return df.mapInPandas(split_batches, schema)
+    return spread(df).mapInPandas(split_batches, schema)
 
 
 def with_context(chunks: DataFrame, keys: list[str]) -> DataFrame:

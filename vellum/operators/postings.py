@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import tokenize
+from vellum.session import spread as spread_out
 
 
 def build_postings(
     points: DataFrame, text_col: str = "text", keep: list[str] | None = None, compatibility: bool = True,
-    stem: Column | None = None, stop_words: list[str] | None = None,
+    stem: Callable[[Column], Column] | None = None, stop_words: list[str] | None = None,
+    only_terms: DataFrame | None = None,
 ) -> DataFrame:
     """(point_id, term, tf, doc_len) plus carried columns.
 
     The tokens of a point sit in one row, so the map-side half of the
-    aggregation already brings them to one row per distinct term.
+    aggregation already brings them to one row per distinct term. With
+    `only_terms(term)` all other terms are dropped before that.
     """
     keep = keep or []
     tokens = tokenize(F.col(text_col), compatibility)
@@ -23,10 +28,16 @@ def build_postings(
         tokens = F.filter(tokens, lambda t: ~t.isin(*stop_words))
     if stem is not None:
         tokens = F.transform(tokens, stem)
-    spread = (
-        points.select("point_id", *keep, tokens.alias("_tokens"))
-        .select("point_id", *keep, F.size("_tokens").alias("doc_len"), F.explode("_tokens").alias("term"))
+    # the length is taken before the explode, or every exploded row would carry all tokens
+    counted = spread_out(points.select("point_id", *keep, text_col)).select("point_id", *keep, tokens.alias("_tokens")).withColumn(
+        "doc_len", F.size("_tokens")
+    )
+    # an inner explode would also put a filter on the tokens below the repartition
+    spread = counted.select("point_id", *keep, "doc_len", F.explode_outer("_tokens").alias("term")).filter(
+        F.col("term").isNotNull()
     )
+    if only_terms is not None:
+        spread = spread.join(only_terms, "term", "left_semi")
     return spread.groupBy("point_id", *keep, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

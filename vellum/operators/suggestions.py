@@ -146,15 +146,19 @@ def scored_values(prepared: DataFrame, grams: DataFrame, escape: bool = False) -
     rows = pairs.join(prepared.select("query_id", "q", "q_grams"), "query_id").join(grams, "normalized_value")
     value, q = F.col("normalized_value"), F.col("q")
     fuzzy = F.length(q) >= 3
-    measured = rows.withColumns(
-        {
-            "sim": F.when(fuzzy, similarity(F.col("grams"), F.col("q_grams"))).otherwise(0.0),
-            "word_sim": F.when(fuzzy, word_similarity(F.col("q_grams"), F.col("ordered"))).otherwise(0.0),
-        }
+    sim = F.when(fuzzy, similarity(F.col("grams"), F.col("q_grams"))).otherwise(0.0)
+    shared = F.size(F.array_intersect("grams", "q_grams")) / F.size("q_grams")
+    liked = is_prefix(value, q, escape) | is_word_prefix(value, q, escape)
+    # no run of trigrams can score above the share of the query's trigrams it may hold,
+    # so the costly measure is left to the pairs that can still match
+    possible = rows.withColumns({"sim": sim, "liked": liked}).filter(
+        F.col("liked") | (fuzzy & ((F.col("sim").cast("float") >= SIMILARITY_MIN) | (shared.cast("float") >= WORD_SIMILARITY_MIN)))
+    )
+    measured = possible.withColumn(
+        "word_sim", F.when(fuzzy, word_similarity(F.col("q_grams"), F.col("ordered"))).otherwise(0.0)
     )
-    matches = (
-        is_prefix(value, q, escape) | is_word_prefix(value, q, escape)
-        | (fuzzy & ((F.col("sim").cast("float") >= SIMILARITY_MIN) | (F.col("word_sim").cast("float") >= WORD_SIMILARITY_MIN)))
+    matches = F.col("liked") | (
+        fuzzy & ((F.col("sim").cast("float") >= SIMILARITY_MIN) | (F.col("word_sim").cast("float") >= WORD_SIMILARITY_MIN))
     )
     return measured.filter(matches).select(
         "query_id", "normalized_value",

@@ -15,7 +15,7 @@ from vellum.operators import ranking
 from vellum.operators.merges import keep_first
 from vellum.operators.postings import build_postings, corpus_size
 from vellum.operators.retrieval import (
-    BROADCAST_HITS, dense_top_k, fuse, group_by_book, query_term_table, sparse_top_k, valid_hits,
+    BROADCAST_HITS, dense_top_k, distinct_terms, fuse, group_by_book, query_term_table, sparse_top_k, valid_hits,
 )
 from vellum.session import has_at_most
 from vellum.sources import snapshots as snap
@@ -26,12 +26,13 @@ PAYLOAD = [
 ]
 
 
-def point_postings(points: DataFrame, compatibility: bool = True) -> DataFrame:
-    return build_postings(points, keep=["is_searchable"], compatibility=compatibility)
+def point_postings(points: DataFrame, compatibility: bool = True, only_terms: DataFrame | None = None) -> DataFrame:
+    """Sparse index of a point table; write it once where many searches follow."""
+    return build_postings(points, keep=["is_searchable"], compatibility=compatibility, only_terms=only_terms)
 
 
 def grouped_hits(
-    queries: DataFrame, points: DataFrame, postings: DataFrame, groups: int, prefetch: int, compatibility: bool = True,
+    queries: DataFrame, points: DataFrame, postings: DataFrame | None, groups: int, prefetch: int, compatibility: bool = True,
 ) -> DataFrame:
     """Fused hits of both branches, grouped by book, with payload.
 
@@ -41,7 +42,11 @@ def grouped_hits(
     searchable = points.filter("is_searchable")
     vectors = searchable.select("point_id", F.col("dense").alias("vector"))
     dense = dense_top_k(queries, vectors, prefetch)
-    sparse = sparse_top_k(query_term_table(queries, compatibility), postings, corpus_size(points), prefetch)
+    asked = query_term_table(queries, compatibility)
+    if postings is None:
+        # no stored index: only the postings these queries need
+        postings = point_postings(points, compatibility, distinct_terms(asked)[0])
+    sparse = sparse_top_k(asked, postings, corpus_size(points), prefetch)
     if "_prefetch" in queries.columns:
         own = queries.select("query_id", "_prefetch")
         dense, sparse = (
@@ -64,7 +69,6 @@ def hybrid_search(
     its own page and `offset` is the largest one. Gives `position` from 0,
     the representative hit, `total` books found and `next_offset`.
     """
-    postings = postings if postings is not None else point_postings(points, compatibility)
     asked = queries
     if "offset" in queries.columns:
         asked = queries.withColumns(
@@ -111,7 +115,6 @@ def search(
     """
     window = resolve_window() if window is None else window
     reranker = reranker or (lambda items: ranking.rerank_by_overlap(items, compatibility))
-    postings = postings if postings is not None else point_postings(points, compatibility)
     keyed = snap.with_key(requests, window, compatibility)
     near = keyed.filter(F.col("offset") < window)
 

@@ -8,14 +8,22 @@ from vellum.constants import SUGGEST_LIMIT
 from vellum.operators.suggestions import (
     live_suggestions, prepare_queries, scored_values, top_suggestions, value_grams, value_pool,
 )
+from vellum.session import spread, stage_table
+
+
+def build_index(suggestions: DataFrame, books: DataFrame, limit: int = SUGGEST_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(rows that can reach a pool, distinct values with trigrams), both written once."""
+    pool = stage_table(value_pool(live_suggestions(suggestions, books), limit))
+    return pool, stage_table(spread(value_grams(pool)))
 
 
 def suggest(
     queries: DataFrame, suggestions: DataFrame, books: DataFrame, limit: int = SUGGEST_LIMIT, escape: bool = False,
+    index: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Up to `limit` suggestions per query: (query_id, position, book_id, kind, value, score)."""
-    pool = value_pool(live_suggestions(suggestions, books), limit)
-    scored = scored_values(prepare_queries(queries, escape), value_grams(pool), escape)
+    pool, grams = index or build_index(suggestions, books, limit)
+    scored = scored_values(prepare_queries(queries, escape), grams, escape)
     return top_suggestions(scored, pool, limit).select(
         "query_id", "position", "book_id", "kind", "value", "normalized_value", "score"
     )

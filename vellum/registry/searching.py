@@ -6,13 +6,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vellum.functions.scoring import grouped_limit, prefetch_limit
-from vellum.functions.text import tokenize
 from vellum.operators import ranking, retrieval
 from vellum.operators.embedding import embed, embed_by_hash
 from vellum.operators.postings import build_postings, corpus_size, term_counts
 from vellum.plans.search import grouped_hits, hybrid_search, point_postings, search
 from vellum.registry import Registry, table
 from vellum.registry.scalars import FRONT, FRONT_LIST, norm, terms, toks
+from vellum.session import stage_table
 from vellum.sources import snapshots as snap
 
 R = Registry()
@@ -105,8 +105,9 @@ def hybrid_sql(offset: int, limit: int, tag: str = "") -> str:
     round((SELECT count(*)::DOUBLE / count(DISTINCT doc_id) FROM t), 6) AS avg_len FROM p GROUP BY term""")
 def a4(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("point_id"), "text")
-    lengths = docs.select(F.size(tokenize(F.col("text"))).alias("n")).filter("n > 0").agg(F.round(F.avg("n"), 6).alias("a")).scalar()
-    return term_counts(build_postings(docs)).withColumns({"points": corpus_size(docs), "avg_len": lengths})
+    postings = stage_table(build_postings(docs))
+    lengths = postings.groupBy("point_id").agg(F.max("doc_len").alias("n")).agg(F.round(F.avg("n"), 6).alias("a")).scalar()
+    return term_counts(postings).withColumns({"points": corpus_size(docs), "avg_len": lengths})
 
 
 # --- dense ------------------------------------------------------------------------------------
@@ -178,7 +179,7 @@ def j6(spark, sf):
   SELECT query_id, book_id, point_id, score, hit_rank::INTEGER AS hit_rank, book_rank::INTEGER AS book_rank FROM grouped""")
 def a3(spark, sf):
     pts = points(spark, sf)
-    g = grouped_hits(asked(spark, sf), pts, point_postings(pts), 12, 100)
+    g = grouped_hits(asked(spark, sf), pts, None, 12, 100)
     return g.select("query_id", "book_id", "point_id", "score", "hit_rank", "book_rank")
 
 
@@ -215,7 +216,7 @@ def l3(spark, sf):
   SELECT query_id, book_id, point_id, overlap::INTEGER AS overlap, front AS front_matter, demote FROM items""")
 def w5(spark, sf):
     pts, q = points(spark, sf), asked(spark, sf)
-    g = grouped_hits(q, pts, point_postings(pts), grouped_limit(0, 20), prefetch_limit(0, 20))
+    g = grouped_hits(q, pts, None, grouped_limit(0, 20), prefetch_limit(0, 20))
     features = ranking.query_features(q.drop("vector"))
     items = ranking.representative_hits(ranking.with_policy_inputs(g.join(features, "query_id")))
     return items.select("query_id", "book_id", "point_id", "overlap", "front_matter", "demote")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.trigram import is_prefix, is_word_prefix
 from vellum.operators import suggestions as sug
-from vellum.plans.suggest import suggest
+from vellum.plans.suggest import build_index, suggest
 from vellum.registry import Registry, table
 from vellum.registry.scalars import _SIM, score_sql, trg_list, word_sim_sql
 
@@ -60,8 +60,8 @@ _SCORED = f"""
 
 def _prepared(spark, sf):
     b = books(spark, sf)
-    pool = sug.value_pool(sug.live_suggestions(sug.suggestion_rows(b), b))
-    return sug.prepare_queries(asked(spark, sf)), sug.value_grams(pool), pool
+    pool, grams = build_index(sug.suggestion_rows(b), b)
+    return sug.prepare_queries(asked(spark, sf)), grams, pool
 
 
 @R.add("u2_suggestion_rows", f"WITH {_ROWS} SELECT book_id, kind, source_key, value, nv AS normalized_value, rank FROM sugg")

@@ -69,3 +69,12 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint behind a check of the row count; else a shuffled join."""
     return F.broadcast(df) if has_at_most(df, rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table of few files before CPU-heavy row work.
+
+    A table of many files already gives every core a share and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
