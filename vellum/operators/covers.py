@@ -10,6 +10,7 @@ from vellum.functions.html import image_references
 from vellum.functions.keys import decode_uri, normalize_href, normalize_path, resolve_href
 from vellum.functions.text import strip
 from vellum.operators.merges import keep_first
+from vellum.session import union_all
 
 # fixed value: names that look like a cover
 _COVER_NAME = r"(?i)(^|[^a-z])(cover|coverimage|coverimg|frontcover|titlepage|title-page)([^a-z]|$)"
@@ -118,9 +119,7 @@ def cover_items(references: DataFrame, manifest: DataFrame, flow: DataFrame, ent
     first_flow = keep_first(flow.select("book_id", "id", "pos"), ["book_id"], [F.col("pos")]).select("book_id", "id")
     opening = manifest.join(first_flow, ["book_id", "id"], "left_semi").withColumn("pos", F.lit(1 << 30))
     likely = keep_first(
-        named.select("book_id", "id", "href", "media_type", "pos").unionByName(
-            opening.select("book_id", "id", "href", "media_type", "pos")
-        ), ["book_id", "id"], [F.col("pos")]
+        union_all(named.select("book_id", "id", "href", "media_type", "pos"), opening.select("book_id", "id", "href", "media_type", "pos")), ["book_id", "id"], [F.col("pos")]
     )
     likely_images = likely.filter(image).select("book_id", F.lit(3).alias("rule"), F.col("pos").alias("seq"), F.col("id").alias("item_id"))
     documents = likely.filter(~image & is_document(F.col("media_type"), F.col("href"))).select(
@@ -133,5 +132,5 @@ def cover_items(references: DataFrame, manifest: DataFrame, flow: DataFrame, ent
 
     every = direct
     for part in (shown, flagged, likely_images, likely_docs, last):
-        every = every.unionByName(part)
+        every = union_all(every, part)
     return every.groupBy("book_id").agg(F.min_by("item_id", F.struct("rule", "seq")).alias("item_id"))

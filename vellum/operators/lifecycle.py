@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators.merges import keep_first
 from vellum.operators.ordered import running_totals
+from vellum.session import union_all
 
 
 def chapters_done(vectorized: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def state_machine(events: DataFrame) -> DataFrame:
     others = steps.withColumn("emitted", always).filter(F.col("emitted").isNotNull()).select(
         "book_id", "event_id", "ts", "emitted", "done", F.lit(None).cast(lifecycle.schema["expected"].dataType).alias("expected")
     )
-    return lifecycle.unionByName(others)
+    return union_all(lifecycle, others)
 
 
 def read_model(created: DataFrame, covers: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from vellum.session import union_all
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -69,7 +70,7 @@ def flag_inserted(target: DataFrame, incoming: DataFrame, keys: list[str], tie:
 def replace_set(target: DataFrame, fresh: DataFrame, owners: DataFrame, owner_keys: list[str]) -> DataFrame:
     """Drop everything the owners hold, then add the fresh rows."""
     kept = target.join(owners.select(*owner_keys).distinct(), owner_keys, "left_anti")
-    return kept.unionByName(fresh.select(*target.columns))
+    return union_all(kept, fresh.select(*target.columns))
 
 
 def unprocessed(events: DataFrame, processed: DataFrame, order: list[Column], key: str = "event_id") -> DataFrame:
@@ -81,4 +82,4 @@ def differences(expected: DataFrame, stored: DataFrame, keys: list[str]) -> Data
     """Keys found on one side only, with the side."""
     missing = expected.select(*keys).join(stored.select(*keys), keys, "left_anti").withColumn("problem", F.lit("missing"))
     extra = stored.select(*keys).join(expected.select(*keys), keys, "left_anti").withColumn("problem", F.lit("unexpected"))
-    return missing.unionByName(extra)
+    return union_all(missing, extra)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.constants import BATCH_BYTES, BATCH_CHAPTERS, SMALL_CHAPTER_BYTES
 from vellum.operators.ordered import running_totals
+from vellum.session import union_all
 
 
 def stored_json(chapter_id: Column, title: Column, index: Column, html: Column) -> Column:
@@ -61,7 +62,7 @@ def pack_chapters(
         *chapters.columns, (F.col("_before") + F.col("_batch") + 1).cast("int").alias("batch_index")
     )
     alone = counted.filter(~small).select(*chapters.columns, F.lit(None).cast("int").alias("batch_index"))
-    return numbered.unionByName(alone)
+    return union_all(numbered, alone)
 
 
 def _fold_sizes(sizes: DataFrame, book: str, size: str, batch_chapters: int, batch_bytes: int) -> DataFrame:
@@ -106,7 +107,7 @@ def batch_manifest(packed: DataFrame, prefix: Column, book: str = "book_id") ->
             F.transform("_c", lambda c: F.struct(c["chapterId"].alias("chapterId"), c["chapterIndex"].alias("chapterIndex"))).alias("chapters"),
         )
     )
-    return alone.unionByName(batches)
+    return union_all(alone, batches)
 
 
 def manifest_problems(announced: DataFrame, stored: DataFrame) -> DataFrame:
@@ -125,4 +126,4 @@ def manifest_problems(announced: DataFrame, stored: DataFrame) -> DataFrame:
         .select("book_id", "batch_index", F.lit(None).cast("string").alias("chapter_id"),
                 F.lit(None).cast("int").alias("chapter_index"), F.lit("count").alias("problem"))
     )
-    return differences(announced, stored, keys).unionByName(counts)
+    return union_all(differences(announced, stored, keys), counts)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from vellum.session import union_all
 
 
 def upsert_points(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming points replace those of the same id."""
-    return incoming.unionByName(existing.join(incoming.select("point_id"), "point_id", "left_anti"))
+    return union_all(incoming, existing.join(incoming.select("point_id"), "point_id", "left_anti"))
 
 
 def delete_chapters(existing: DataFrame, chapters: DataFrame) -> DataFrame:

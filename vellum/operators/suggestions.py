@@ -16,6 +16,7 @@ from vellum.functions.trigram import (
 )
 from vellum.operators.merges import keep_first, replace_set
 from vellum.operators.retrieval import top_k
+from vellum.session import union_all
 
 
 def distinct_authors(books: DataFrame) -> DataFrame:
@@ -40,14 +41,14 @@ def suggestion_rows(books: DataFrame) -> DataFrame:
         "book_id", F.lit("AUTHOR").alias("kind"), F.concat(F.lit("book:author:"), F.col("normalized_value")).alias("source_key"),
         "value", "normalized_value", F.lit(AUTHOR_RANK).alias("rank"),
     )
-    return titles.unionByName(authors)
+    return union_all(titles, authors)
 
 
 def sync_suggestions(existing: DataFrame, books: DataFrame) -> DataFrame:
     """Replace the title and author rows of the given books."""
     managed = existing.filter(F.col("kind").isin("BOOK_TITLE", "AUTHOR"))
     other = existing.filter(~F.col("kind").isin("BOOK_TITLE", "AUTHOR"))
-    return replace_set(managed, suggestion_rows(books), books, ["book_id"]).unionByName(other)
+    return union_all(replace_set(managed, suggestion_rows(books), books, ["book_id"]), other)
 
 
 def live_suggestions(suggestions: DataFrame, books: DataFrame) -> DataFrame:
@@ -142,7 +143,7 @@ def start_candidates(prepared: DataFrame, grams: DataFrame, escape: bool = False
 
 def scored_values(prepared: DataFrame, grams: DataFrame, escape: bool = False) -> DataFrame:
     """(query_id, normalized_value, score) of all values that match a query."""
-    pairs = gram_candidates(prepared, grams).unionByName(start_candidates(prepared, grams, escape)).distinct()
+    pairs = union_all(gram_candidates(prepared, grams), start_candidates(prepared, grams, escape)).distinct()
     rows = pairs.join(prepared.select("query_id", "q", "q_grams"), "query_id").join(grams, "normalized_value")
     value, q = F.col("normalized_value"), F.col("q")
     fuzzy = F.length(q) >= 3

@@ -9,6 +9,7 @@ from vellum.functions.keys import snowflake
 from vellum.operators.ordered import running_totals
 from vellum.operators.suggestions import suggestion_rows
 from vellum.sources.events import build_events, event_name_id
+from vellum.session import union_all
 
 
 def assign_ids(df: DataFrame, order: list[str], at: Column, datacenter: int = 0, worker: int = 0, out: str = "id") -> DataFrame:
@@ -62,4 +63,4 @@ def create_books(requests: DataFrame, intents: DataFrame, now: Column) -> tuple[
         event_name_id(F.lit("BookUploaded"), book), occurred_at=now,
     )
     stored = books.drop("_bucket", "_object_key")
-    return stored, suggestion_rows(stored), created.unionByName(uploaded), rejected
+    return stored, suggestion_rows(stored), union_all(created, uploaded), rejected

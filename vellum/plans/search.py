@@ -17,7 +17,7 @@ from vellum.operators.postings import build_postings, corpus_size
 from vellum.operators.retrieval import (
     BROADCAST_HITS, dense_top_k, distinct_terms, fuse, group_by_book, query_term_table, sparse_top_k, valid_hits,
 )
-from vellum.session import has_at_most
+from vellum.session import has_at_most, union_all
 from vellum.sources import snapshots as snap
 
 PAYLOAD = [
@@ -141,7 +141,7 @@ def search(
     )
     listed = pieces[0]
     for piece in pieces[1:]:
-        listed = listed.unionByName(piece)
+        listed = union_all(listed, piece)
     wanted = near.select("query_id", "cache_key", "offset")
     pages = ranking.page_of(wanted.join(listed, "cache_key"), F.col("offset")).select(
         "query_id", "offset", "book_id", "score", "rerank_score", "next_offset"
@@ -152,10 +152,8 @@ def search(
     farthest = deep.agg(F.max("offset")).first()[0]
     if farthest is not None:
         beyond = hybrid_search(deep.select("query_id", "query", "vector", "offset"), points, postings, farthest, PAGE_LIMIT, compatibility)
-        pages = pages.unionByName(
-            beyond.select("query_id", "offset", F.col("book_id").cast("string").alias("book_id"), "score",
-                          F.lit(None).cast("double").alias("rerank_score"), "next_offset")
-        )
+        pages = union_all(pages, beyond.select("query_id", "offset", F.col("book_id").cast("string").alias("book_id"), "score",
+                          F.lit(None).cast("double").alias("rerank_score"), "next_offset"))
     ordered = ranking.final_order(pages)
     books = read_model.withColumn("book_id", F.col("book_id").cast("string"))
     return ordered.join(books, "book_id"), fresh

@@ -13,7 +13,7 @@ from vellum.functions.text import resolve_title
 from vellum.operators.covers import cover_items, find_entries
 from vellum.operators.packing import batch_manifest, pack_chapters, stored_bytes, stored_json
 from vellum.operators.toc import best_toc_titles, chapter_descriptors, flow_items
-from vellum.session import stage_table
+from vellum.session import stage_table, union_all
 from vellum.sources import archives as src
 from vellum.sources.events import build_events, event_name_id
 
@@ -96,28 +96,22 @@ def unpack_books(archives: DataFrame, bucket: str, inject_cover: bool = True) ->
     book = F.col("book_id").cast("string")
     single = located.filter(F.col("kind") == "chapter")
     batch = located.filter(F.col("kind") == "batch")
-    events = build_events(
+    events = union_all(union_all(build_events(
         single, "ChapterExtracted",
         {"bookId": book, "chapterId": F.col("chapters")[0]["chapterId"], "chapterIndex": F.col("chapters")[0]["chapterIndex"],
          "bucket": F.lit(bucket), "s3FilePath": F.col("object_name"), "coverS3FilePath": F.col("cover")},
         event_name_id(F.lit("ChapterExtracted"), book, F.col("object_name")),
-    ).unionByName(
-        build_events(
+    ), build_events(
             batch, "ChapterBatchExtracted",
             {"bookId": book, "batchIndex": F.col("batch_index"), "bucket": F.lit(bucket), "s3FilePath": F.col("object_name"),
              "coverS3FilePath": F.col("cover"), "chaptersCount": F.size("chapters"), "chapters": F.col("chapters")},
             event_name_id(F.lit("ChapterBatchExtracted"), book, F.col("object_name")),
-        )
-    ).unionByName(
-        build_events(
+        )), build_events(
             cover_keys, "BookCoverExtracted",
             {"bookId": book, "bucket": F.lit(bucket), "s3FilePath": F.col("cover"), "contentType": F.col("media_type")},
             event_name_id(F.lit("BookCoverExtracted"), book, F.col("cover")),
-        )
-    )
+        ))
     plans = chapters.groupBy("book_id").agg(F.count(F.lit(1)).cast("int").alias("expected"))
     books = src.book_metadata(parsed).join(cover_keys.select("book_id", "cover"), "book_id", "left")
-    errors = skipped.select("book_id", "chapter_index", "error").unionByName(
-        src.failures(parsed).select("book_id", F.lit(None).cast("int").alias("chapter_index"), "error")
-    )
+    errors = union_all(skipped.select("book_id", "chapter_index", "error"), src.failures(parsed).select("book_id", F.lit(None).cast("int").alias("chapter_index"), "error"))
     return Unpacked(books, chapters, objects, manifest, covers, events, plans, errors)

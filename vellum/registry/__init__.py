@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.session import keep_unions_plain
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,6 +31,7 @@ class Registry:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    keep_unions_plain(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

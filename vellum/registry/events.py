@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vellum.functions.rules import ERRORS
 from vellum.operators import lifecycle, merges
 from vellum.registry import Registry, table
-from vellum.session import checkpoint_folder
+from vellum.session import checkpoint_folder, union_all
 from vellum.sources.events import build_events, file_stream, route_outbox
 from vellum.streaming.envelope import check_contracts, parse_envelopes, route, split_poison, with_payload, without_tombstones
 from vellum.streaming.runners import projection
@@ -98,7 +98,7 @@ def f10(spark, sf):
     """Messages of every third book lost their id header."""
     stripped = F.when(F.col("key").cast("string").cast("long") % 3 == 0, F.filter("headers", lambda h: h["key"] != "id")).otherwise(F.col("headers"))
     good, bad = split_poison(messages(spark, sf).withColumn("headers", stripped))
-    sides = good.select(F.lit("named").alias("side")).unionByName(bad.select(F.lit("poison").alias("side")))
+    sides = union_all(good.select(F.lit("named").alias("side")), bad.select(F.lit("poison").alias("side")))
     return sides.groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -124,7 +124,7 @@ def t3(spark, sf):
     out = None
     for name, rows in branches.items():
         one = rows.select(F.lit(name).alias("branch"), "v")
-        out = one if out is None else out.unionByName(one)
+        out = one if out is None else union_all(out, one)
     return out.groupBy("branch").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
 
 
@@ -133,7 +133,7 @@ def t4(spark, sf):
     """Every message twice, some handled in an earlier run: each is handled once."""
     m = parse_envelopes(messages(spark, sf))
     seen = raw(spark, sf).filter("book_id % 5 = 0").select(F.col("event_id").cast("string").alias("id"))
-    return merges.unprocessed(m.unionByName(m), seen, [F.col("occurred_at")], key="id").select("id")
+    return merges.unprocessed(union_all(m, m), seen, [F.col("occurred_at")], key="id").select("id")
 
 
 # --- counts and projections -------------------------------------------------------------------
@@ -189,7 +189,7 @@ def w9(spark, sf):
     """States of three separate parts of the log merged in the wrong order."""
     e = life(spark, sf)
     parts = [lifecycle.projection_partials(e.filter(F.col("event_id") % 3 == i)) for i in (2, 0, 1)]
-    return _micros(lifecycle.project(lifecycle.merge_partials(parts[0].unionByName(parts[1]).unionByName(parts[2]))))
+    return _micros(lifecycle.project(lifecycle.merge_partials(union_all(union_all(parts[0], parts[1]), parts[2]))))
 
 
 def steps(spark, sf):
@@ -248,7 +248,7 @@ def t5_stream(spark, sf):
     """Messages delivered twice through a checkpointed stream; states merged on read."""
     folder = _fresh_folder(spark, "projection")
     m = messages(spark, sf)
-    m.unionByName(m).repartition(3).write.parquet(f"{folder}/messages")
+    union_all(m, m).repartition(3).write.parquet(f"{folder}/messages")
 
     def partials(fresh):
         parts = None
@@ -258,7 +258,7 @@ def t5_stream(spark, sf):
             reason = F.col("p.reason") if contract == "Failed" else F.lit(None).cast("string")
             one = d.select(F.col("p.bookId").cast("long").alias("book_id"), F.col("id").cast("long").alias("event_id"), F.col("occurred_at").alias("ts"),
                            F.lit(contract).alias("type"), expected.alias("expected"), reason.alias("reason"))
-            parts = one if parts is None else parts.unionByName(one)
+            parts = one if parts is None else union_all(parts, one)
         return lifecycle.projection_partials(parts)
 
     projection(file_stream(spark, f"{folder}/messages"), partials, folder).awaitTermination()

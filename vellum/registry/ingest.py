@@ -18,7 +18,7 @@ from vellum.plans.unpack import unpack_books
 from vellum.plans.vectorize import chunk_chapters, vectorize
 from vellum.registry import Registry, table
 from vellum.registry.scalars import html_text_sql, paragraphs_sql
-from vellum.session import stage_table
+from vellum.session import stage_table, union_all
 from vellum.sources import archives as src
 from vellum.sources.stored import parse_batches, parse_chapters
 
@@ -209,7 +209,7 @@ def w7(spark, sf):
     title = F.when(k % 3 == 0, F.concat(F.lit("Chapter "), (k % 50).cast("string"))).otherwise(F.concat(F.col("c_name"), F.expr("repeat('!', int(c_custkey % 7))")))
     entries = c.select(F.col("c_nationkey").alias("book_id"), k.cast("int").alias("pos"), F.concat(F.lit("x/../"), F.lower("c_mktsegment"), F.lit(".xhtml")).alias("href"), title.alias("title"))
     first = entries.filter("pos % 2 = 0")
-    return toc.best_toc_titles(first.unionByName(entries.filter("pos % 2 = 1"))).select("book_id", "href", "title", "pos")
+    return toc.best_toc_titles(union_all(first, entries.filter("pos % 2 = 1"))).select("book_id", "href", "title", "pos")
 
 
 @R.add("j12_href_lookup", """
@@ -293,7 +293,7 @@ def j7(spark, sf):
     shape = [F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").alias("batch_index")]
     full = line.select(*shape, F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("chapter_id"), F.col("l_suppkey").cast("int").alias("chapter_index"), "l_quantity").distinct()
     extra = line.filter("l_quantity = 7").select(*shape, F.lit("x").alias("chapter_id"), F.lit(0).alias("chapter_index")).distinct()
-    stored = full.filter("l_quantity >= 3").drop("l_quantity").unionByName(extra)
+    stored = union_all(full.filter("l_quantity >= 3").drop("l_quantity"), extra)
     return packing.manifest_problems(full.drop("l_quantity"), stored)
 
 

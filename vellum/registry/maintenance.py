@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vellum.operators import merges, points, uploads
 from vellum.plans.catalogue import assign_ids, create_books, owned
 from vellum.registry import Registry, table
+from vellum.session import union_all
 
 R = Registry()
 NOW = "1997-01-01 00:00:00"
@@ -28,7 +29,7 @@ def s9(spark, sf):
     p = _points(spark, sf)
     changed = p.filter("book_id % 2 = 0").withColumn("v", -F.col("v"))
     fresh = p.filter("book_id % 4 = 0").withColumn("point_id", F.concat(F.lit("new:"), F.col("point_id")))
-    return points.upsert_points(p, changed.unionByName(fresh)).select("point_id", "v")
+    return points.upsert_points(p, union_all(changed, fresh)).select("point_id", "v")
 
 
 @R.add("s10_delete_chapters", f"WITH {_POINTS} SELECT point_id FROM p WHERE (book_id, chapter_id) NOT IN (SELECT (p_partkey, p_size) FROM part)")

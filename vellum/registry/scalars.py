@@ -9,6 +9,7 @@ from vellum.functions.rules import errors_of, search_request_rules, suggest_requ
 from vellum.operators.packing import stored_bytes, stored_json
 from vellum.operators.postings import build_postings
 from vellum.registry import Registry, table
+from vellum.session import union_all
 
 R = Registry()
 
@@ -182,7 +183,7 @@ def x10(spark, sf):
     scored = p.select("q", "v", trigram.suggestion_score(v, q, sim, ws).alias("score"))
     prefix = F.substring("v", 1, 4)
     none = F.lit(0.0)
-    return scored.unionByName(p.select(prefix.alias("q"), "v", trigram.suggestion_score(v, prefix, none, none).alias("score")))
+    return union_all(scored, p.select(prefix.alias("q"), "v", trigram.suggestion_score(v, prefix, none, none).alias("score")))
 
 
 # --- X11..X14 markup --------------------------------------------------------------------------

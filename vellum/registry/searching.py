@@ -12,7 +12,7 @@ from vellum.operators.postings import build_postings, corpus_size, term_counts
 from vellum.plans.search import grouped_hits, hybrid_search, point_postings, search
 from vellum.registry import Registry, table
 from vellum.registry.scalars import FRONT, FRONT_LIST, norm, terms, toks
-from vellum.session import stage_table
+from vellum.session import stage_table, union_all
 from vellum.sources import snapshots as snap
 
 R = Registry()
@@ -166,7 +166,7 @@ def _branches(spark, sf, k):
 def w4(spark, sf):
     """Also the union of both branches before fusion (U1)."""
     dense, sparse = (b.select("query_id", "point_id", "rank0") for b in _branches(spark, sf, 20))
-    return dense.withColumn("branch", F.lit("dense")).unionByName(sparse.withColumn("branch", F.lit("sparse")))
+    return union_all(dense.withColumn("branch", F.lit("dense")), sparse.withColumn("branch", F.lit("sparse")))
 
 
 @R.add("j6_rank_fusion", f"WITH {INPUTS}, {SPARSE}, {DENSE}, {fused_sql(404)} SELECT query_id, point_id, score FROM fused")
@@ -299,7 +299,7 @@ def j3(spark, sf):
     scores = items.filter("book_id <> 'b1'").withColumn("rerank_score", F.substring("book_id", 2, 1).cast("double") * 0.5)
     stray = table(spark, sf, "benchmark").filter("item_id % 4 = 0").select(
         F.col("item_id").alias("query_id"), F.lit("b9").alias("book_id"), F.lit(1.0).alias("rerank_score"))
-    return ranking.join_scores(items, scores.unionByName(stray))
+    return ranking.join_scores(items, union_all(scores, stray))
 
 
 @R.add("l5_policy_order", f"WITH {INPUTS}, {SPARSE}, {DENSE}, {hybrid_sql(0, 20)}, {_RANKED} SELECT query_id, book_id, position::INTEGER AS position, round(policy, 6) AS policy_score FROM ranked")
@@ -382,8 +382,8 @@ def s12(spark, sf):
         F.lit(9).alias("source_end_char"), F.lit(False).alias("more_after"), (k != 4).alias("reranked"), k.alias("k"))
     fresh = snap.snapshot_rows(made.filter("k <> 2"), now)
     stale = snap.snapshot_rows(made.filter("k = 2"), now - F.expr("interval 601 seconds"))
-    hits, misses = snap.split_by_snapshot(keyed, fresh.unionByName(stale), now)
-    both = hits.select("query_id", F.lit(True).alias("hit")).unionByName(misses.select("query_id", F.lit(False).alias("hit")))
+    hits, misses = snap.split_by_snapshot(keyed, union_all(fresh, stale), now)
+    both = union_all(hits.select("query_id", F.lit(True).alias("hit")), misses.select("query_id", F.lit(False).alias("hit")))
     return both
 
 

@@ -9,6 +9,7 @@ from vellum.operators import suggestions as sug
 from vellum.plans.suggest import build_index, suggest
 from vellum.registry import Registry, table
 from vellum.registry.scalars import _SIM, score_sql, trg_list, word_sim_sql
+from vellum.session import union_all
 
 R = Registry()
 
@@ -27,7 +28,7 @@ def books(spark, sf):
     headed = pages.select(
         (F.col("page_id") + 1000000).alias("book_id"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"),
         none.alias("authors"), F.lit("READY").alias("status"))
-    return parts.unionByName(headed)
+    return union_all(parts, headed)
 
 
 def asked(spark, sf):
@@ -159,4 +160,4 @@ def p6(spark, sf):
         F.lower("p_type").alias("normalized_value"), F.lit(1).alias("rank"))
     changed = b.filter("book_id % 3 = 0").withColumns(
         {"title": F.concat(F.lit("New "), F.col("title")), "authors": F.array().cast("array<string>")})
-    return sug.sync_suggestions(old.unionByName(series), changed).select("book_id", "kind", "source_key", "value")
+    return sug.sync_suggestions(union_all(old, series), changed).select("book_id", "kind", "source_key", "value")

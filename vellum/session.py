@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+UNION_CONF = "spark.sql.unionOutputPartitioning"
 
 
 def local_session(cpus: int | str = "*", app: str = "vellum") -> SparkSession:
@@ -61,6 +62,31 @@ def stage_table(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_unions_plain(spark: SparkSession) -> None:
+    try:
+        known = spark.conf.get(UNION_CONF)
+    except Exception:  # Spark before 4.1 has no such setting and no such unions
+        return
+    if known != "false":
+        spark.conf.set(UNION_CONF, "false")
+
+
+def union_all(*tables: DataFrame) -> DataFrame:
+    """Union by name whose rows are safe to aggregate, join or rank afterwards.
+
+    Spark 4.1 lets a union keep the hash layout of its inputs. When adaptive
+    execution then coalesces the inputs differently, equal keys end up in
+    different tasks and a following aggregation returns them twice; seen here
+    with two ranked lists of one key. The setting is read when a query is
+    planned and is only changed where the session knows it.
+    """
+    keep_unions_plain(tables[0].sparkSession)
+    out = tables[0]
+    for other in tables[1:]:
+        out = out.unionByName(other)
+    return out
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Whether a table is small; reads no more than `rows` + 1 rows."""
     return df.limit(rows + 1).count() <= rows

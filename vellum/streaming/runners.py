@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vellum.functions.rules import ERRORS
 from vellum.operators.merges import unprocessed
 from vellum.streaming.envelope import check_contracts, parse_envelopes, split_poison, with_payload, without_tombstones
+from vellum.session import union_all
 
 Step = Callable[[DataFrame, int], None]
 
@@ -59,7 +60,7 @@ def envelopes(messages: DataFrame, dead_letters: str | None = None, number: int
         lost = poison.select(
             F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("type"), F.col("value").cast("string").alias("payload"), "error"
         )
-        write_batch(bad.unionByName(lost), dead_letters, number)
+        write_batch(union_all(bad, lost), dead_letters, number)
     return checked.filter(F.size(ERRORS) == 0).drop(ERRORS)
 
 
@@ -145,7 +146,7 @@ def vectorize_stream(
             F.col("p.bookId").cast("long").alias("book_id"), F.col("c.chapterId").alias("chapter_id"), F.col("c.chapterIndex").alias("chapter_index"),
             F.col("p.batchIndex").alias("batch_index"), F.col("p.s3FilePath").alias("s3_file_path"), F.col("p.coverS3FilePath").alias("cover_s3_file_path"),
         )
-        points, recorded = vectorize(load(single.unionByName(batched)), **options)
+        points, recorded = vectorize(load(union_all(single, batched)), **options)
         sink(points, recorded, number)
 
     def step(batch: DataFrame, number: int) -> None:
