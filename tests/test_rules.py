@@ -59,7 +59,12 @@ def test_point_id_is_a_name_based_uuid(spark):
 
 
 def test_entities(spark):
-    assert value(spark, html.decode_entities(F.lit("a&nbsp;&eacute;&#65;&#x1F600;&amp;lt;&nosuch;"))) == "a éA\U0001F600&lt;&nosuch;"
+    assert value(spark, html.decode_entities(F.lit("a&nbsp;&eacute;&#65;&#x1F600;&amp;lt;&nosuch;"))) == "a\u00a0éA\U0001F600&lt;&nosuch;"
+
+
+def test_white_space_of_the_source_language(spark):
+    assert value(spark, text.tidy_text(F.lit("\u00a0 a\u00a0\u00a0b\r\nc \n\n\n\nd\ufeff"))) == "a b\nc\n\nd"
+    assert value(spark, text.normalize_suggestion(F.lit("\u3000A\u2003\u00a0B "))) == "a b"
 
 
 def test_slice_edges(spark):

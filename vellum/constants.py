@@ -103,7 +103,7 @@ HEADER_NAMES = {
 
 # fixed values: white space of the source language's trim and \s, and a regex class of it
 WS_CHARS = (
-    " \t\n\x0b\f\r             "
-    "    　﻿"
+    " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 WS = r"[ \t\n\x0B\f\r\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"

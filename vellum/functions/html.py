@@ -12,7 +12,7 @@ from vellum.constants import BLOCK_TAGS, NOISE_CONTAINERS, NOISE_VOID
 from vellum.functions.text import flat, let, strip, tidy_paragraphs, tidy_text
 
 # the entities nearly all markup uses; the rest goes through the full table
-_COMMON = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©",
+_COMMON = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©",
            "&middot;": "·", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…"}
 _NUMERIC = r"&#([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"
 _NAMED = r"&([A-Za-z][A-Za-z0-9]*);"

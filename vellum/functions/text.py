@@ -104,7 +104,7 @@ def normalize_suggestion(c: Column) -> Column:
 
 def tidy_text(c: Column) -> Column:
     """Blank runs, line ends and blank-line runs brought to one form."""
-    out = F.translate(c, " ", " ")
+    out = F.translate(c, "\u00a0", " ")
     out = F.regexp_replace(out, r"\r\n?", "\n")
     out = F.regexp_replace(out, r"[ \t\f\x0B]+", " ")
     out = F.regexp_replace(out, r" *\n *", "\n")
