@@ -9,7 +9,7 @@ from vellum.constants import (
     BM25_AVG_LEN, BM25_B, BM25_K1, MIN_PREFETCH, PREFETCH_PER_GROUP, RERANK_CANDIDATE_CHARS,
     RERANK_QUERY_CHARS, RRF_K,
 )
-from vellum.functions.text import strip
+from vellum.functions.text import let, strip
 
 
 def bm25_weight(tf: Column, doc_len: Column, k1: float = BM25_K1, b: float = BM25_B, avg_len=BM25_AVG_LEN) -> Column:
@@ -36,7 +36,7 @@ def prefetch_limit(offset: int, limit: int) -> int:
 
 def term_overlap(terms: Column, hay: Column) -> Column:
     """How many terms occur as substrings of the normalised text."""
-    return F.size(F.filter(terms, lambda t: F.contains(hay, t)))
+    return let(hay, lambda h: F.size(F.filter(terms, lambda t: F.contains(h, t))))
 
 
 def representative_score(score: Column, overlap: Column, demote: Column, front_matter: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions.text import WORD
+from vellum.functions.text import WORD, let
 
 
 def ordered_trigrams(c: Column) -> Column:
@@ -51,13 +51,15 @@ def word_similarity(query: Column, ordered: Column) -> Column:
         common = F.size(F.array_intersect(run, query))
         return common.cast("double") / (size + F.size(run) - common)
 
-    best = F.transform(
-        hits,
-        lambda i: F.array_max(
-            F.transform(F.filter(hits, lambda j: j >= i), lambda j: score(i, j))
-        ),
-    )
-    return F.when(size == 0, F.lit(0.0)).otherwise(F.coalesce(F.array_max(best), F.lit(0.0)))
+    def best(found: Column) -> Column:
+        return F.array_max(
+            F.transform(
+                found,
+                lambda i: F.array_max(F.transform(F.filter(found, lambda j: j >= i), lambda j: score(i, j))),
+            )
+        )
+
+    return F.when(size == 0, F.lit(0.0)).otherwise(F.coalesce(let(hits, best), F.lit(0.0)))
 
 
 def like_pattern(query: Column, escape: bool = False) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellum.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
@@ -20,10 +22,11 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector scaled to length one; a zero vector stays zero."""
-    size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size)).otherwise(
-        F.transform(a, lambda x: F.lit(0.0))
-    )
+    def scale(v: Column) -> Column:
+        # bound once: a lambda body is evaluated per element
+        return let(norm(v), lambda size: F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0)))
+
+    return let(a, scale)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -37,9 +40,10 @@ def hash_bucket(token: Column, dim: int) -> Column:
 
 def hash_embedding(tokens: Column, dim: int = 64) -> Column:
     """Deterministic stand-in for a model: unit vector of hashed token counts."""
-    buckets = F.transform(tokens, lambda t: hash_bucket(t, dim))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"),
-    )
-    return unit(counts)
+    def count(buckets: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"),
+        )
+
+    return unit(let(F.transform(tokens, lambda t: hash_bucket(t, dim)), count))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from vellum.functions.text import tokenize
 from vellum.functions.vectors import hash_embedding
+from vellum.session import spread
 
 EMBEDDING_DIM = 1536
 
@@ -38,4 +39,4 @@ def embed(
 
 def embed_by_hash(df: DataFrame, text_col: str = "text", out_col: str = "dense", dim: int = 64) -> DataFrame:
     """Offline default: hashed token counts, all inside the JVM."""
-    return df.withColumn(out_col, hash_embedding(tokenize(F.col(text_col), compatibility=False), dim))
+    return spread(df).withColumn(out_col, hash_embedding(tokenize(F.col(text_col), compatibility=False), dim))
