@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.llm import decontamination, html_extraction, language_id, license_scan, mixing, warc
+from vellum.llm import decontamination, html_extraction, language_id, license_scan, mixing, substring_dedup, warc
 from vellum.registry import Registry, table
 
 R = Registry()
@@ -107,3 +107,19 @@ def op10(spark, folder):
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@R.add("op9_repeated_passages", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+f AS (SELECT x, min(doc_id) AS first_doc FROM x GROUP BY 1 HAVING count(*) > 1),
+h AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM x JOIN f USING (x) WHERE doc_id > first_doc),
+g AS (SELECT doc_id, list(q) AS gone, count(*) AS n_removed FROM h GROUP BY 1),
+k AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, w, coalesce(gone, []) AS gone FROM d LEFT JOIN g USING (doc_id)),
+kw AS (SELECT doc_id, string_agg(v, ' ' ORDER BY q) AS kept FROM (SELECT doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS q FROM d) e
+  WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = e.doc_id AND h.q = e.q) GROUP BY 1)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k LEFT JOIN kw USING (doc_id)
+""")
+def op9(spark, folder):
+    cut = substring_dedup.cut_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
