@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.llm import decontamination, html_extraction, language_id, license_scan, mixing, substring_dedup, warc
+from vellum.llm import bwt_dedup, decontamination, html_extraction, language_id, license_scan, mixing, substring_dedup, warc
 from vellum.registry import Registry, table
 
 R = Registry()
@@ -123,3 +123,9 @@ SELECT doc_id, n_words, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FRO
 def op9(spark, folder):
     cut = substring_dedup.cut_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@R.add("op4_repeated_bytes")
+def op4(spark, folder):
+    cut = bwt_dedup.cut_repeated_bytes(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
