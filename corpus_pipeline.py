@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontamination, language_id, mixing
+from vellum.llm import decontamination, language_id, mixing, ngram_join, substring_dedup
 from vellum.session import stage_table
 
 
@@ -19,6 +19,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.keep_known(docs, model)
 
 
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word n-grams at 0.8 stays: that with the smallest id."""
+    return ngram_join.keep_one(docs)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 13 words and more that an earlier document holds are cut out; documents of which nothing is left go."""
+    return substring_dedup.drop_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold any benchmark window go."""
     return decontamination.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
@@ -31,10 +41,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("language", language_stage),
+    ("near copies", near_copy_stage),
+    ("passages", passage_stage),
     ("decontamination", decontamination_stage),
     ("mixing", mixing_stage),
 ]
-#: The first three stages cannot be written in SQL; tests hold them against brute force.
+#: Learning a language model and the seeded mix cannot be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

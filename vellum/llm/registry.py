@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.llm import bwt_dedup, decontamination, html_extraction, language_id, license_scan, mixing, substring_dedup, warc
+from vellum.llm import bwt_dedup, decontamination, hamming_search, html_extraction, language_id, license_scan, mixing, ngram_join, substring_dedup, warc
 from vellum.registry import Registry, table
 
 R = Registry()
@@ -129,3 +129,31 @@ def op9(spark, folder):
 def op4(spark, folder):
     cut = bwt_dedup.cut_repeated_bytes(table(spark, folder, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@R.add("op3_jaccard_join", r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + least(5, len(w)) - 1], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, c = na.n AND c = nb.n AS same FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c / (na.n + nb.n - c) >= 0.8),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM l WHERE l.a = d.doc_id AND same), d.doc_id)) AS class_id,
+  (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS group_id, (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links FROM d
+""")
+def op3(spark, folder):
+    linked = ngram_join.link_documents(table(spark, folder, "documents").select("doc_id", "text"))
+    return linked.select("doc_id", "class_id", "group_id", "n_links")
+
+
+@R.add("op6_hamming_top_k", """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbor_id,
+  list_sum(list_transform(range(1, len(q.s) + 1), lambda i: CASE WHEN q.s[i] <> e.s[i] THEN 1 ELSE 0 END))::INT AS distance
+  FROM e q JOIN e ON q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INT AS rank FROM p)
+SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
+""")
+def op6(spark, folder):
+    points = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return hamming_search.top_k(points, points.filter("vec_id % 50 = 0"), 10)
