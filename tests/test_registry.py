@@ -1,6 +1,4 @@
-"""Registered queries against their SQL twins; all of them with ALL_QUERIES=1."""
-
-import os
+"""All registered queries against their SQL twins."""
 
 import pytest
 from oracle import compare, connect
@@ -9,13 +7,7 @@ from vellum.registry import everything
 
 FOLDER = "/root/testdata/sf0.001"
 REGISTRY = everything()
-QUICK = [
-    "x2_normalize_query", "x4_query_features", "x10_suggestion_score", "x11_html_to_text", "x14_slice_by_anchors", "x20_point_id",
-    "x24_tolerant_timestamp", "l1_dense_top_k", "j11_dense_all_pairs_salted", "l2_bm25_top_k", "p3_hybrid_search", "s12_snapshot_split",
-    "p5_suggest", "j5_chapter_descriptors", "w6_batch_packing", "g1_text_splitter", "j7_manifest_check", "p2_vectorize", "j14_upsert",
-    "j9_reconcile", "p9_book_commands", "f11_contract_errors", "t5_projection", "t6_state_machine",
-]
-NAMES = list(REGISTRY.queries) if os.environ.get("ALL_QUERIES") else QUICK
+NAMES = list(REGISTRY.queries)
 
 
 @pytest.fixture(scope="module")

@@ -42,7 +42,8 @@ def test_resolve_title(spark):
 def test_trigrams_match_published_examples(spark):
     q, t = F.lit("word"), F.lit("two words")
     assert value(spark, trigram.similarity(trigram.trigrams(q), trigram.trigrams(t))) == pytest.approx(4 / 11)
-    assert value(spark, trigram.word_similarity(trigram.trigrams(q), trigram.ordered_trigrams(t))) == pytest.approx(0.8)
+    listed = spark.createDataFrame([("word", "two words")], "q string, t string").withColumns({"a": trigram.trigrams(F.col("q")), "b": trigram.ordered_trigrams(F.col("t"))})
+    assert trigram.with_word_similarity(listed, "a", "b", "ws").first().ws == pytest.approx(0.8)
 
 
 def test_paths(spark):
@@ -90,13 +91,31 @@ def test_policies(spark):
 def test_splitter_keeps_overlap_and_long_words():
     body = ". ".join(f"sentence number {i} of the text" for i in range(200))
     pieces = chunking.split_text(body)
-    assert all(len(p) <= 1200 for p in pieces) and len(pieces) > 5
-    spans = chunking.locate(body, pieces)
-    assert all(body[s:e] == p for (s, e), p in zip(spans, pieces))
-    assert all(0 < spans[i][1] - spans[i + 1][0] <= 200 for i in range(len(spans) - 1))
-    assert chunking.split_text("x" * 3000) == ["x" * 3000]
-    with pytest.raises(ValueError):
-        chunking.check_limits(100, 100)
+    assert all(len(p) <= 1200 for p, _, _ in pieces) and len(pieces) > 5
+    assert all(body[s:e] == p for p, s, e in pieces)
+    assert all(0 < pieces[i][2] - pieces[i + 1][1] <= 200 for i in range(len(pieces) - 1))
+    assert chunking.split_text("x" * 3000) == [("x" * 3000, 0, 3000)]
+    for size, overlap in ((100, 100), (0, 0), (10, -1), (True, 0)):
+        with pytest.raises(ValueError):
+            chunking.check_limits(size, overlap)
+
+
+def test_splitter_boundaries_by_hand():
+    assert chunking.split_text("aa bb cc dd", 5, 0, [" "]) == [("aa bb", 0, 5), ("cc dd", 6, 11)]
+    # the tail of two characters is repeated
+    assert chunking.split_text("aa bb cc dd", 5, 2, [" "]) == [("aa bb", 0, 5), ("bb cc", 3, 8), ("cc dd", 6, 11)]
+    # equal text at several places keeps its own offsets
+    assert [s for _, s, _ in chunking.split_text("ab ab ab ab", 2, 0, [" "])] == [0, 3, 6, 9]
+    # a long part is split finer, the short ones around it are packed
+    assert chunking.split_text("a\nbbbb cccc\nd", 6, 0, ["\n", " "]) == [("a", 0, 1), ("bbbb", 2, 6), ("cccc", 7, 11), ("d", 12, 13)]
+
+
+def test_a_text_without_offsets_is_an_error_row(spark):
+    spaced = "one two. . . three four. five"
+    rows = spark.createDataFrame([(1, spaced), (2, "short text"), (3, ""), (4, None)], "id int, text string")
+    out = {r.id: r for r in chunking.split_to_rows(rows).collect() if r.id != 1 or r.split_error}
+    assert out[1].split_error == chunking.UNMAPPED and out[1].chunk_index is None
+    assert set(out) == {1, 2} and out[2].text == "short text" and out[2].split_error is None
 
 
 def test_running_totals_equal_a_window_on_a_hot_key(spark):
@@ -150,6 +169,33 @@ def test_too_many_candidates_fall_back(spark):
     items = spark.createDataFrame([(1, str(i), "q", "t", "x") for i in range(5)], "query_id int, book_id string, query string, chapter_title string, text string")
     out = ranking.rerank(items, lambda: lambda pairs: [1.0] * len(pairs), max_candidates=4).collect()
     assert not any(r.reranked for r in out) and all(r.rerank_score is None for r in out)
+    assert {r.rerank_error for r in out} == {"too many candidates"}
+
+
+def test_a_late_or_broken_scorer_falls_back_with_a_reason(spark):
+    import time
+
+    def scorer():
+        def score(pairs):
+            if pairs[0][0] == "slow":
+                time.sleep(3)
+            if pairs[0][0] == "bad":
+                raise KeyError("model")
+            return [1.0] * len(pairs)
+
+        return score
+
+    items = spark.createDataFrame([(i, "b", q, "t", "x") for i, q in enumerate(["slow", "bad", "good"])], "query_id int, book_id string, query string, chapter_title string, text string")
+    out = {r.query_id: r for r in ranking.rerank(items, scorer, timeout_seconds=0.5).collect()}
+    assert [out[i].reranked for i in range(3)] == [False, False, True]
+    assert "Timeout" in out[0].rerank_error and "KeyError" in out[1].rerank_error
+
+
+def test_too_many_candidates_are_an_error(spark):
+    items = spark.range(300).selectExpr("1 as query_id", "cast(id as int) as position", "1.0D as rerank_score")
+    with pytest.raises(Exception, match="too many candidates"):
+        ranking.rerank_top_k(items).collect()
+    assert ranking.rerank_top_k(items.filter("position < 200")).count() == 10
 
 
 def test_tolerant_timestamp(spark):

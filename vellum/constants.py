@@ -37,6 +37,7 @@ RERANK_MAX_CANDIDATES = 200
 RERANK_REQUEST_CANDIDATES = 100
 RERANK_TOP_K = 10
 RERANK_BATCH = 16
+RERANK_TIMEOUT_SECONDS = 5.0
 RERANK_QUERY_CHARS = 256
 RERANK_CANDIDATE_CHARS = 1600
 QUERY_MAX_CHARS = 500

@@ -23,8 +23,8 @@ def validate(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn(ERRORS, errors_of(rules))
 
 
-def apply_policy(df: DataFrame, on_invalid: str = "drop") -> tuple[DataFrame, DataFrame | None]:
-    """(valid rows, rejected rows or null) for the policies fail, drop, dead_letter."""
+def apply_policy(df: DataFrame, on_invalid: str = "fail") -> tuple[DataFrame, DataFrame | None]:
+    """(valid rows, rejected rows or null) for the policies fail, dead_letter, drop; only `drop` loses rows, and only where it is asked for."""
     ok = F.size(ERRORS) == 0
     if on_invalid == "fail":
         message = F.concat(F.lit("invalid row: "), F.array_join(F.col(ERRORS), ","))

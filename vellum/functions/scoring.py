@@ -30,6 +30,16 @@ def grouped_limit(offset: int, limit: int) -> int:
     return offset + limit + 1
 
 
+def group_size(offset: Column, limit: int) -> Column:
+    """grouped_limit() of every row."""
+    return (offset + limit + 1).cast("int")
+
+
+def prefetch_size(offset: Column, limit: int) -> Column:
+    """prefetch_limit() of every row."""
+    return F.greatest(F.lit(MIN_PREFETCH), group_size(offset, limit) * PREFETCH_PER_GROUP)
+
+
 def prefetch_limit(offset: int, limit: int) -> int:
     return max(MIN_PREFETCH, grouped_limit(offset, limit) * PREFETCH_PER_GROUP)
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vellum.functions.text import WORD, let
+from vellum.functions.text import WORD
 
 
 def ordered_trigrams(c: Column) -> Column:
@@ -34,32 +38,41 @@ def similarity(a: Column, b: Column) -> Column:
     return _ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 
 
-def word_similarity(query: Column, ordered: Column) -> Column:
-    """Best similarity of the query set to any run of the ordered list.
-
-    A best run starts and ends on a trigram of the query, so only those
-    positions are tried.
+def best_extent(query: list[str], ordered: list[str]) -> float:
+    """One pass with running counts from every start; runs start and end on a trigram of the query."""
+    asked = set(query)
+    best = 0.0
+    for start, first in enumerate(ordered):
+        if first not in asked:
+            continue
+        seen: set[str] = set()
+        common = 0
+        for gram in ordered[start:]:
+            if gram not in seen:
+                seen.add(gram)
+                common += gram in asked
+            if gram in asked:
+                best = max(best, common / (len(asked) + len(seen) - common))
+        if common == len(asked) and best == 1.0:
+            break
+    return best
+
+
+def with_word_similarity(rows: DataFrame, query: str, ordered: str, out: str = "word_sim") -> DataFrame:
+    """Add the best similarity of a query set to any run of an ordered list.
+
+    In Arrow batches, since column expressions need cubic time for it; null or
+    empty lists give 0. A table step, as Spark does not pull a UDF out of an
+    expression whose arguments hold lambdas.
     """
-    size = F.size(query)
-    hits = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size(ordered), F.lit(1))),
-        lambda i: F.array_contains(query, F.try_element_at(ordered, i)),
-    )
-
-    def score(start: Column, end: Column) -> Column:
-        run = F.array_distinct(F.slice(ordered, start, end - start + 1))
-        common = F.size(F.array_intersect(run, query))
-        return common.cast("double") / (size + F.size(run) - common)
+    own = rows.drop(out)
 
-    def best(found: Column) -> Column:
-        return F.array_max(
-            F.transform(
-                found,
-                lambda i: F.array_max(F.transform(F.filter(found, lambda j: j >= i), lambda j: score(i, j))),
-            )
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [best_extent(q or [], o or []) for q, o in zip(batch.column(query).to_pylist(), batch.column(ordered).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, out])
 
-    return F.when(size == 0, F.lit(0.0)).otherwise(F.coalesce(let(hits, best), F.lit(0.0)))
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def like_pattern(query: Column, escape: bool = False) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,121 +10,136 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.constants import CHUNK_CHARS, CHUNK_OVERLAP, CHUNK_SEPARATORS, MIN_CHUNK_CHARS
+from vellum.constants import CHUNK_CHARS, CHUNK_OVERLAP, CHUNK_SEPARATORS, MIN_CHUNK_CHARS, WS_CHARS
 from vellum.functions.text import strip
 from vellum.session import spread
 
 
+#: Error text of a row whose text cannot be told by offsets.
+UNMAPPED = "chunk is not a part of the text"
+
+
 def check_limits(max_chars: int, overlap: int) -> None:
-    if not isinstance(max_chars, int) or isinstance(max_chars, bool) or max_chars <= 0:
-        raise ValueError("max_chars must be a positive integer")
-    if not isinstance(overlap, int) or isinstance(overlap, bool) or overlap < 0:
-        raise ValueError("overlap must be a non-negative integer")
-    if overlap >= max_chars:
-        raise ValueError("overlap must be smaller than max_chars")
-
-
-def _merge(parts: list[str], glue: str, size: int, overlap: int) -> list[str]:
-    """Pack parts into pieces of at most `size`, keeping a tail of `overlap`."""
-    pieces: list[str] = []
-    held: list[str] = []
-    total = 0
+    """A chunk holds at least one character and more than it repeats of the one before."""
+    if type(max_chars) is not int or type(overlap) is not int or not 0 <= overlap < max_chars:
+        raise ValueError(f"a chunk of {max_chars} characters cannot repeat {overlap}")
+
+
+Span = tuple[int, int]
+
+
+def _parts(text: str, span: Span, separator: str) -> list[Span]:
+    """Non-empty stretches between separators."""
+    found, at = [], span[0]
+    while at <= span[1]:
+        end = text.find(separator, at, span[1])
+        end = span[1] if end < 0 else end
+        if end > at:
+            found.append((at, end))
+        at = end + len(separator)
+    return found
+
+
+def _packed(parts: list[Span], glue: int, size: int, overlap: int) -> Iterator[list[Span]]:
+    """Runs of parts of at most `size` characters; a run opens with the last parts of the one before, up to `overlap`."""
+    run: deque[Span] = deque()
+    chars = 0
     for part in parts:
-        if total + len(part) + len(held) * len(glue) > size and held:
-            piece = glue.join(held).strip()
-            if piece:
-                pieces.append(piece)
-            while total > overlap or (total + len(part) + len(held) * len(glue) > size and total > 0):
-                total -= len(held.pop(0))
-        held.append(part)
-        total += len(part)
-    piece = glue.join(held).strip()
-    if piece:
-        pieces.append(piece)
-    return pieces
-
-
-def split_text(text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP, separators=CHUNK_SEPARATORS) -> list[str]:
-    """Split at the coarsest separator present, finer ones for what stays too long."""
-    at = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
-    separator, finer = separators[at], separators[at + 1:]
-    pieces: list[str] = []
-    short: list[str] = []
-    for part in text.split(separator):
-        if not part:
-            continue
-        if len(part) < size:
+        more = part[1] - part[0]
+        if run and chars + more + len(run) * glue > size:
+            yield list(run)
+            while run and (chars > overlap or chars + more + len(run) * glue > size):
+                first = run.popleft()
+                chars -= first[1] - first[0]
+        run.append(part)
+        chars += more
+    if run:
+        yield list(run)
+
+
+def _runs(text: str, span: Span, size: int, overlap: int, separators: list[str]) -> Iterator[tuple[list[Span], str, bool]]:
+    """(parts, what joins them, whether the ends are trimmed): split at the coarsest separator present, finer for what stays too long."""
+    level = next((i for i, s in enumerate(separators) if text.find(s, *span) >= 0), len(separators) - 1)
+    glue, finer = separators[level], separators[level + 1 :]
+    short: list[Span] = []
+    for part in [*_parts(text, span, glue), None]:
+        if part and part[1] - part[0] < size:
             short.append(part)
             continue
-        if short:
-            pieces.extend(_merge(short, separator, size, overlap))
-            short = []
-        pieces.extend(split_text(part, size, overlap, finer) if finer else [part])
-    if short:
-        pieces.extend(_merge(short, separator, size, overlap))
-    return pieces
-
-
-def _start_of(text: str, piece: str, before: tuple[int, str] | None) -> int:
-    """Offset of a piece: the longest overlap with the piece before, else the next match."""
-    if before is None:
-        return text.index(piece)
-    start0, last = before
-    end0 = start0 + len(last)
-    for shared in range(min(len(last), len(piece)), 0, -1):
-        start = end0 - shared
-        if start >= 0 and text.startswith(piece, start) and last.endswith(piece[:shared]):
-            return start
-    return text.index(piece, start0 + 1)
-
-
-def locate(text: str, pieces: list[str]) -> list[tuple[int, int]]:
-    spans: list[tuple[int, int]] = []
-    before = None
-    for piece in pieces:
-        start = _start_of(text, piece, before)
-        spans.append((start, start + len(piece)))
-        before = (start, piece)
-    return spans
-
-
-def split_to_rows(df: DataFrame, text_col: str = "text", max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """One row per chunk with its offsets; the other columns are repeated.
-
-    Row-local: on a table of many files each task splits the texts it read.
+        for run in _packed(short, len(glue), size, overlap):
+            yield run, glue, True
+        short = []
+        if part and finer:
+            yield from _runs(text, part, size, overlap, finer)
+        elif part:
+            yield [part], glue, False
+
+
+def split_text(text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP, separators: list[str] = CHUNK_SEPARATORS) -> list[tuple[str, int, int]]:
+    """(chunk, start, end) with the offsets that the split itself found.
+
+    A separator that stands twice leaves an empty part, which is dropped; a
+    chunk over such a place is not a part of the text. That raises ValueError,
+    as the whole text then has no offsets.
+    """
+    chunks = []
+    for run, glue, trimmed in _runs(text, (0, len(text)), size, overlap, separators):
+        start, end = run[0][0], run[-1][1]
+        chunk = text[start:end]
+        if trimmed:
+            start += len(chunk) - len(chunk.lstrip(WS_CHARS))
+            chunk = chunk.strip(WS_CHARS)
+            if not chunk:
+                continue
+        if any(b[0] - a[1] != len(glue) for a, b in zip(run, run[1:])):
+            raise ValueError(UNMAPPED)
+        chunks.append((chunk, start, start + len(chunk)))
+    return chunks
+
+
+def split_to_rows(
+    df: DataFrame, text_col: str = "text", max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP, separators: list[str] = CHUNK_SEPARATORS,
+) -> DataFrame:
+    """One row per chunk with its offsets, length and overlap with the one before; the other columns are repeated.
+
+    A text that cannot be told by offsets gives one row with `split_error` and
+    no chunk; null and empty texts give none. Each task splits the texts it
+    read.
     """
     check_limits(max_chars, overlap)
     carried = [f for f in df.schema.fields if f.name != text_col]
-    schema = T.StructType(
-        carried
-        + [
-            T.StructField("chunk_index", T.IntegerType()),
-            T.StructField("text", T.StringType()),
-            T.StructField("source_start_char", T.IntegerType()),
-            T.StructField("source_end_char", T.IntegerType()),
-        ]
-    )
+    made = T.StructType().add("chunk_index", "integer").add("text", "string").add("source_start_char", "integer").add("source_end_char", "integer") \
+        .add("char_count", "integer").add("context_chars", "integer").add("split_error", "string")
     names = [f.name for f in carried]
 
     def split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             numbers, rows = [], []
             for at, text in enumerate(batch[text_col]):
-                pieces = split_text(text, max_chars, overlap) if text else []
-                for i, (piece, (start, end)) in enumerate(zip(pieces, locate(text, pieces)), 1):
+                if not text:
+                    continue
+                try:
+                    found = split_text(text, max_chars, overlap, separators)
+                except ValueError as error:
+                    numbers.append(at)
+                    rows.append((None, None, None, None, None, None, str(error)))
+                    continue
+                before = 0
+                for i, (chunk, start, end) in enumerate(found, 1):
                     numbers.append(at)
-                    rows.append((i, piece, start, end))
+                    rows.append((i, chunk, start, end, len(chunk), max(0, before - start) if i > 1 else 0, None))
+                    before = end
             out = batch[names].iloc[numbers].reset_index(drop=True)
-            made = pd.DataFrame(rows, columns=["chunk_index", "text", "source_start_char", "source_end_char"])
-            yield pd.concat([out, made], axis=1)
+            columns = pd.DataFrame(rows, columns=made.names).astype({c: "Int32" for c in made.names if c not in ("text", "split_error")})
+            yield pd.concat([out, columns], axis=1)
 
-    return spread(df).mapInPandas(split_batches, schema)
+    return spread(df).mapInPandas(split_batches, T.StructType([*carried, *made.fields]))
 
 
 def with_context(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Ordinal order gives the overlap with the chunk before; counts characters.
+    """Length and overlap with the chunk before, for chunk tables that do not carry them.
 
-    The window spans one text only; a text is one chapter and was in one row.
+    The window spans one text only. split_to_rows() already knows both.
     """
     w = Window.partitionBy(*keys).orderBy("chunk_index")
     return chunks.withColumns(

@@ -110,6 +110,20 @@ def batch_manifest(packed: DataFrame, prefix: Column, book: str = "book_id") ->
     return union_all(alone, batches)
 
 
+def stored_objects(manifest: DataFrame, chapters: DataFrame, book: str = "book_id") -> DataFrame:
+    """(book, kind, batch_index, object_name, value): the JSON text of every object of a manifest, without its line end.
+
+    `chapters(book, chapter_index, json)`. A batch is put together from at most
+    `batch_chapters` small chapters, in order.
+    """
+    listed = manifest.select(book, "kind", "batch_index", "object_name", F.explode("chapters").alias("_c")).withColumn("chapter_index", F.col("_c.chapterIndex"))
+    found = listed.join(chapters, [book, "chapter_index"])
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("chapter_index", "json"))), lambda c: c["json"])
+    grouped = found.groupBy(book, "kind", "batch_index", "object_name").agg(parts.alias("_p"))
+    batch = F.concat(F.lit('{"batchIndex":'), F.col("batch_index").cast("string"), F.lit(',"chapters":['), F.array_join("_p", ","), F.lit("]}"))
+    return grouped.select(book, "kind", "batch_index", "object_name", F.when(F.col("kind") == "batch", batch).otherwise(F.col("_p")[0]).alias("value"))
+
+
 def manifest_problems(announced: DataFrame, stored: DataFrame) -> DataFrame:
     """Differences between announced and stored batches of chapters.
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.constants import PAGE_LIMIT, RERANK_BATCH, RERANK_MAX_CANDIDATES, RERANK_TOP_K, SCORE_DIGITS
+from vellum.constants import PAGE_LIMIT, RERANK_BATCH, RERANK_MAX_CANDIDATES, RERANK_TIMEOUT_SECONDS, RERANK_TOP_K, SCORE_DIGITS
 from vellum.functions import scoring
 from vellum.functions.text import (
     demotes_front_matter, normalize_search_text, opens_front_matter, query_terms, tokenize,
@@ -69,44 +72,55 @@ def rerank_by_overlap(items: DataFrame, compatibility: bool = True) -> DataFrame
 
 def rerank(
     items: DataFrame, make_scorer: Callable[[], Scorer], batch_size: int = RERANK_BATCH,
-    max_candidates: int = RERANK_MAX_CANDIDATES,
+    max_candidates: int = RERANK_MAX_CANDIDATES, timeout_seconds: float = RERANK_TIMEOUT_SECONDS,
 ) -> DataFrame:
-    """Score (query, candidate) pairs with a plug-in model.
+    """Score (query, candidate) pairs with a plug-in model; adds rerank_score, reranked and rerank_error.
 
-    A failing pair or too many candidates makes its whole query fall back:
-    `reranked` is false and `rerank_score` null for all its items.
+    A failing or late call makes its whole query fall back: `reranked` is
+    false, `rerank_score` null and `rerank_error` the reason for all its items.
+    Candidates are counted first, so a query over the limit is not scored.
     """
+    size = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     pairs = items.withColumns(
-        {"_asked": scoring.rerank_query(F.col("query")), "_given": scoring.rerank_text(F.col("chapter_title"), F.col("text"))}
+        {"_asked": scoring.rerank_query(F.col("query")), "_given": scoring.rerank_text(F.col("chapter_title"), F.col("text")), "_size": size}
     )
     schema = T.StructType(
-        pairs.schema.fields + [T.StructField("rerank_score", T.DoubleType()), T.StructField("_failed", T.BooleanType())]
+        pairs.schema.fields + [T.StructField("rerank_score", T.DoubleType()), T.StructField("_reason", T.StringType())]
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = None
+        # one call at a time; a late one is left behind with its thread
+        pool = ThreadPoolExecutor(1)
         for batch in batches:
             # one model call never mixes queries, so a failure stays with its query
-            for _, group in batch.groupby("query_id", sort=False):
+            for _, group in batch.groupby("query_id", sort=False, dropna=False):
+                reason = "too many candidates" if group["_size"].iloc[0] > max_candidates else None
+                until = time.monotonic() + timeout_seconds
                 for at in range(0, len(group), batch_size):
                     part = group.iloc[at: at + batch_size]
-                    try:
-                        scorer = scorer or make_scorer()
-                        found = [float(s) for s in scorer(list(zip(part["_asked"], part["_given"])))]
-                        if len(found) != len(part):
-                            raise ValueError("scores do not match candidates")
-                        yield part.assign(rerank_score=found, _failed=False)
-                    except Exception:
-                        yield part.assign(rerank_score=float("nan"), _failed=True)
+                    found = float("nan")
+                    if reason is None:
+                        try:
+                            scorer = scorer or make_scorer()
+                            call = pool.submit(scorer, list(zip(part["_asked"], part["_given"])))
+                            found = [float(s) for s in call.result(max(0.0, until - time.monotonic()))]
+                            if len(found) != len(part):
+                                raise ValueError("scores do not match candidates")
+                        except Exception as error:
+                            found, reason = float("nan"), f"{type(error).__name__}: {error}"
+                            if isinstance(error, FutureTimeout) and not call.done():
+                                pool.shutdown(wait=False)
+                                pool, scorer = ThreadPoolExecutor(1), None
+                    yield part.assign(rerank_score=found, _reason=reason)
+        pool.shutdown(wait=False)
 
     scored = pairs.mapInPandas(run, schema)
-    state = scored.groupBy("query_id").agg(
-        (~F.bool_or("_failed") & (F.count(F.lit(1)) <= max_candidates)).alias("reranked")
-    )
-    out = scored.join(state, "query_id")
-    return out.withColumn("rerank_score", F.when(F.col("reranked"), F.col("rerank_score"))).drop(
-        "_failed", "_asked", "_given"
-    )
+    state = scored.groupBy("query_id").agg(F.min("_reason").alias("rerank_error"))
+    out = scored.join(state.withColumnRenamed("query_id", "_q"), F.col("query_id").eqNullSafe(F.col("_q")))
+    return out.withColumn("reranked", F.col("rerank_error").isNull()).withColumn(
+        "rerank_score", F.when(F.col("reranked"), F.col("rerank_score"))
+    ).drop("_reason", "_asked", "_given", "_size", "_q")
 
 
 def join_scores(items: DataFrame, scores: DataFrame) -> DataFrame:
@@ -123,11 +137,16 @@ def join_scores(items: DataFrame, scores: DataFrame) -> DataFrame:
     ).drop("_bad")
 
 
-def rerank_top_k(items: DataFrame, k: int | None = None) -> DataFrame:
-    """Best min(k, n) items per query, ties in input order; too many is an error."""
+def rerank_top_k(items: DataFrame, k: int | None = None, max_candidates: int = RERANK_MAX_CANDIDATES) -> DataFrame:
+    """Best min(k, n) items per query, ties in input order; more than `max_candidates` for a query is an error."""
     limit = k or RERANK_TOP_K
-    w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.asc("position"))
-    return items.withColumn("rerank_rank", F.row_number().over(w)).filter(F.col("rerank_rank") <= limit)
+    whole = Window.partitionBy("query_id")
+    checked = items.withColumn("_size", F.count(F.lit(1)).over(whole))
+    problem = F.raise_error(F.concat(F.lit("too many candidates: "), F.col("_size").cast("string"))).cast("int")
+    place = F.when(F.col("_size") > max_candidates, problem).otherwise(
+        F.row_number().over(whole.orderBy(F.desc("rerank_score"), F.asc("position")))
+    )
+    return checked.withColumn("rerank_rank", place).filter(F.col("rerank_rank") <= limit).drop("_size")
 
 
 def policy_score(items: DataFrame) -> Column:

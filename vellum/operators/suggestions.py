@@ -12,11 +12,14 @@ from vellum.constants import (
 )
 from vellum.functions.text import normalize_suggestion, strip
 from vellum.functions.trigram import (
-    is_prefix, is_word_prefix, like_pattern, ordered_trigrams, similarity, suggestion_score, word_similarity,
+    is_prefix, is_word_prefix, like_pattern, ordered_trigrams, similarity, suggestion_score, with_word_similarity,
 )
 from vellum.operators.merges import keep_first, replace_set
 from vellum.operators.retrieval import top_k
-from vellum.session import union_all
+from vellum.session import has_at_most, union_all
+
+#: LIKE-only queries of less than two letters that are copied to the values.
+SHORT_QUERIES = 10_000
 
 
 def distinct_authors(books: DataFrame) -> DataFrame:
@@ -51,10 +54,13 @@ def sync_suggestions(existing: DataFrame, books: DataFrame) -> DataFrame:
     return union_all(replace_set(managed, suggestion_rows(books), books, ["book_id"]), other)
 
 
+def not_deleted(books: DataFrame) -> DataFrame:
+    return books.filter(F.col("status") != "DELETED")
+
+
 def live_suggestions(suggestions: DataFrame, books: DataFrame) -> DataFrame:
     """Rows of books that are not deleted."""
-    shown = books.filter(F.col("status") != "DELETED").select("book_id")
-    return suggestions.join(shown, "book_id")
+    return suggestions.join(not_deleted(books).select("book_id"), "book_id")
 
 
 def pool_size(limit: int) -> int:
@@ -118,14 +124,16 @@ def gram_candidates(prepared: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def start_candidates(prepared: DataFrame, grams: DataFrame, escape: bool = False) -> DataFrame:
-    """Pairs for LIKE-only queries: equal first letters at a word start.
+    """Pairs for LIKE-only queries: equal first two letters at a word start.
 
-    The key is the literal part of the pattern before its first wildcard, at
-    most two letters; a pattern that opens with a wildcard meets every value
-    through the empty key, as it must.
+    The key is the literal part of the pattern before its first wildcard. A
+    pattern with less than two literal letters can match values of any key:
+    these queries, if few, are copied to where the values are and compared in
+    place, so no letter becomes a hot key; many are dealt over salts with the
+    values. Only matches leave either way.
     """
     plain = F.col("q") if escape else F.regexp_extract(F.col("q"), r"^[^%_\\]*", 0)
-    asked = prepared.filter("by_start").select("query_id", F.substring(plain, 1, 2).alias("key"))
+    asked = prepared.filter("by_start").select("query_id", "q", F.substring(plain, 1, 2).alias("key"))
     value = F.col("normalized_value")
     rests = F.transform(
         F.filter(
@@ -134,11 +142,18 @@ def start_candidates(prepared: DataFrame, grams: DataFrame, escape: bool = False
         ),
         lambda i: F.substring(value, i, F.lit(2)),
     )
-    keys = F.array_distinct(
-        F.concat(F.array(F.lit("")), rests, F.transform(rests, lambda r: F.substring(r, 1, 1)))
-    )
-    starts = grams.select("normalized_value", F.explode(keys).alias("key"))
-    return asked.join(starts, "key").select("query_id", "normalized_value").distinct()
+    starts = grams.select("normalized_value", F.explode(F.array_distinct(rests)).alias("key"))
+    keyed = asked.filter(F.length("key") == 2).join(starts, "key").select("query_id", "normalized_value")
+    short = asked.filter(F.length("key") < 2).select("query_id", "q")
+    matches = is_prefix(value, F.col("q"), escape) | is_word_prefix(value, F.col("q"), escape)
+    values = grams.select("normalized_value")
+    if has_at_most(short, SHORT_QUERIES):
+        pairs = values.join(F.broadcast(short), matches)
+    else:
+        salts = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        copied = short.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pairs = values.withColumn("_salt", F.pmod(F.xxhash64("normalized_value"), F.lit(salts)).cast("int")).join(copied, "_salt").filter(matches)
+    return union_all(keyed, pairs.select("query_id", "normalized_value")).distinct()
 
 
 def scored_values(prepared: DataFrame, grams: DataFrame, escape: bool = False) -> DataFrame:
@@ -155,9 +170,7 @@ def scored_values(prepared: DataFrame, grams: DataFrame, escape: bool = False) -
     possible = rows.withColumns({"sim": sim, "liked": liked}).filter(
         F.col("liked") | (fuzzy & ((F.col("sim").cast("float") >= SIMILARITY_MIN) | (shared.cast("float") >= WORD_SIMILARITY_MIN)))
     )
-    measured = possible.withColumn(
-        "word_sim", F.when(fuzzy, word_similarity(F.col("q_grams"), F.col("ordered"))).otherwise(0.0)
-    )
+    measured = with_word_similarity(possible, "q_grams", "ordered").withColumn("word_sim", F.when(fuzzy, F.col("word_sim")).otherwise(0.0))
     matches = F.col("liked") | (
         fuzzy & ((F.col("sim").cast("float") >= SIMILARITY_MIN) | (F.col("word_sim").cast("float") >= WORD_SIMILARITY_MIN))
     )

@@ -24,6 +24,11 @@ def assign_ids(df: DataFrame, order: list[str], at: Column, datacenter: int = 0,
     return numbered.withColumn(out, snowflake(moment, F.lit(datacenter), F.lit(worker), n % 4096)).drop("_n")
 
 
+def find_by_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among the ids; repeated ids count once, null ids never."""
+    return rows.join(ids.select(key), key, "left_semi")
+
+
 def owned(intents: DataFrame, requests: DataFrame) -> DataFrame:
     """Intents asked for by their owner: both id and user must match."""
     return intents.join(requests, (intents["id"] == requests["upload_id"]) & (intents["user_id"] == requests["user_id"]), "left_semi")

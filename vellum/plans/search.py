@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.constants import (
-    CACHE_TTL_SECONDS, CACHE_WINDOW, MIN_PREFETCH, PAGE_LIMIT, PREFETCH_PER_GROUP, RERANK_REQUEST_CANDIDATES,
+    CACHE_TTL_SECONDS, CACHE_WINDOW, PAGE_LIMIT, RERANK_REQUEST_CANDIDATES,
 )
-from vellum.functions.scoring import grouped_limit, prefetch_limit
+from vellum.functions.scoring import group_size, grouped_limit, prefetch_limit, prefetch_size
 from vellum.operators import ranking
 from vellum.operators.merges import keep_first
 from vellum.operators.postings import build_postings, corpus_size
 from vellum.operators.retrieval import (
     BROADCAST_HITS, dense_top_k, distinct_terms, fuse, group_by_book, query_term_table, sparse_top_k, valid_hits,
 )
-from vellum.session import has_at_most, union_all
+from vellum.session import has_at_most, stage_table, union_all
 from vellum.sources import snapshots as snap
 
 PAYLOAD = [
@@ -73,8 +73,8 @@ def hybrid_search(
     if "offset" in queries.columns:
         asked = queries.withColumns(
             {
-                "_groups": F.col("offset") + limit + 1,
-                "_prefetch": F.greatest(F.lit(MIN_PREFETCH), (F.col("offset") + limit + 1) * PREFETCH_PER_GROUP),
+                "_groups": group_size(F.col("offset"), limit),
+                "_prefetch": prefetch_size(F.col("offset"), limit),
             }
         )
     groups, prefetch = grouped_limit(offset, limit), prefetch_limit(offset, limit)
@@ -98,6 +98,12 @@ def hybrid_search(
     ).drop("_found", "hit_rank", "book_rank")
 
 
+def with_read_model(hits: DataFrame, read_model: DataFrame) -> DataFrame:
+    """Hits of books that the read model knows, with its columns; ids are compared as text."""
+    books = read_model.withColumn("book_id", F.col("book_id").cast("string"))
+    return hits.withColumn("book_id", F.col("book_id").cast("string")).join(books, "book_id")
+
+
 def resolve_window(configured: int = CACHE_WINDOW, max_candidates: int = RERANK_REQUEST_CANDIDATES) -> int:
     return min(configured, max_candidates)
 
@@ -131,11 +137,12 @@ def search(
     unique = keep_first(misses.select("cache_key", "query_id", "query", "vector"), ["cache_key"], [F.col("query_id")])
     found = hybrid_search(unique.select("query_id", "query", "vector"), points, postings, 0, window, compatibility)
     reranked = reranker(found.drop("position"))
-    ranked = ranking.rank_books(reranked).join(unique.select("query_id", "cache_key"), "query_id")
+    # pages and snapshots both read it, so the search runs once; at most `window` rows per query
+    ranked = stage_table(ranking.rank_books(reranked).join(unique.select("query_id", "cache_key"), "query_id"))
     fresh = snap.snapshot_rows(ranked, now)
-    totals = ranked.groupBy("cache_key").agg(F.count(F.lit(1)).cast("int").alias("total"))
+    total = F.count(F.lit(1)).over(ranking.Window.partitionBy("cache_key")).cast("int")
     pieces.append(
-        ranked.join(totals, "cache_key").select(
+        ranked.withColumn("total", total).select(
             "cache_key", "position", F.col("book_id").cast("string").alias("book_id"), "score", "rerank_score", "total", "more_after"
         )
     )
@@ -154,6 +161,4 @@ def search(
         beyond = hybrid_search(deep.select("query_id", "query", "vector", "offset"), points, postings, farthest, PAGE_LIMIT, compatibility)
         pages = union_all(pages, beyond.select("query_id", "offset", F.col("book_id").cast("string").alias("book_id"), "score",
                           F.lit(None).cast("double").alias("rerank_score"), "next_offset"))
-    ordered = ranking.final_order(pages)
-    books = read_model.withColumn("book_id", F.col("book_id").cast("string"))
-    return ordered.join(books, "book_id"), fresh
+    return with_read_model(ranking.final_order(pages), read_model), fresh

@@ -11,7 +11,7 @@ from vellum.functions.html import chapter_html, chapter_plain_text, cover_figure
 from vellum.functions.keys import cover_object, data_url, media_extension, target_prefix
 from vellum.functions.text import resolve_title
 from vellum.operators.covers import cover_items, find_entries
-from vellum.operators.packing import batch_manifest, pack_chapters, stored_bytes, stored_json
+from vellum.operators.packing import batch_manifest, pack_chapters, stored_bytes, stored_json, stored_objects
 from vellum.operators.toc import best_toc_titles, chapter_descriptors, flow_items
 from vellum.session import stage_table, union_all
 from vellum.sources import archives as src
@@ -87,9 +87,7 @@ def unpack_books(archives: DataFrame, bucket: str, inject_cover: bool = True) ->
     sized = chapters.select("book_id", "chapter_id", "chapter_index", stored_bytes(json).alias("json_bytes"))
     packed = stage_table(pack_chapters(sized))
     manifest = batch_manifest(packed.join(prefixes, "book_id"), F.col("prefix"))
-    objects = chapters.select("book_id", "chapter_id", "chapter_index", json.alias("value")).join(
-        packed.select("book_id", "chapter_index", "batch_index"), ["book_id", "chapter_index"]
-    )
+    objects = stored_objects(manifest, chapters.select("book_id", "chapter_index", json.alias("json")))
 
     cover_keys = covers.select("book_id", F.col("object_key").alias("cover"), "media_type")
     located = manifest.join(cover_keys, "book_id", "left")

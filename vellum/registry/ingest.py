@@ -21,6 +21,7 @@ from vellum.registry.scalars import html_text_sql, paragraphs_sql
 from vellum.session import stage_table, union_all
 from vellum.sources import archives as src
 from vellum.sources.stored import parse_batches, parse_chapters
+from vellum.streaming.envelope import with_payload
 
 R = Registry()
 
@@ -118,14 +119,32 @@ def g5(spark, sf):
     return unpacked(spark, sf).covers.select("book_id", "object_key", "media_type", F.octet_length("bytes").cast("long").alias("bytes"))
 
 
-@R.add("t9_unpack_events", """
-  SELECT type, count(*)::BIGINT AS n, count(DISTINCT page_id)::BIGINT AS books FROM (
-    SELECT page_id, 'BookCoverExtracted' AS type FROM pages UNION ALL SELECT page_id, 'ChapterBatchExtracted' FROM pages) GROUP BY type""")
+_P1 = """
+  SELECT page_id AS book_id, 1 AS chapter_index, 'c1:a:top:1' AS chapter_id FROM pages UNION ALL SELECT page_id, 2, 'c1:a:end:2' FROM pages UNION ALL SELECT page_id, 3, 'c2' FROM pages"""
+
+
+@R.add("t9_unpack_events", f"{_P1} UNION ALL SELECT page_id, 0, 'cover' FROM pages")
 def t9_events(spark, sf):
-    """Chapters under the size limit travel as batches; see W6 for the packing itself."""
-    e = unpacked(spark, sf).events.filter("type <> 'ChapterExtracted'")
-    per_book = e.dropDuplicates(["type", "aggregate_id"])
-    return per_book.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("aggregate_id").alias("books"))
+    """What all events announce: each chapter once, alone or in a batch, and each cover."""
+    e = unpacked(spark, sf).events
+    book = F.col("p.bookId").cast("long").alias("book_id")
+    alone = with_payload(e, "ChapterExtracted").select(book, F.col("p.chapterIndex").alias("chapter_index"), F.col("p.chapterId").alias("chapter_id"))
+    batch = with_payload(e, "ChapterBatchExtracted").select("p", F.explode("p.chapters").alias("c")).select(
+        book, F.col("c.chapterIndex").alias("chapter_index"), F.col("c.chapterId").alias("chapter_id"))
+    cover = with_payload(e, "BookCoverExtracted").select(book, F.lit(0).alias("chapter_index"), F.lit("cover").alias("chapter_id"))
+    return union_all(union_all(alone, batch), cover)
+
+
+@R.add("s5_stored_objects", f"SELECT *, true AS same_bytes FROM ({_P1})")
+def s5(spark, sf):
+    """Stored objects read back: every chapter once, and each object as long as its manifest says."""
+    out = unpacked(spark, sf)
+    sized = out.objects.join(out.manifest.select("object_name", F.col("bytes").alias("announced")), "object_name").select(
+        "book_id", "kind", "value", (F.octet_length("value") + 1 == F.col("announced")).alias("same_bytes"))
+    alone, _ = parse_chapters(sized.filter("kind = 'chapter'"))
+    batch, _ = parse_batches(sized.filter("kind = 'batch'"))
+    columns = ["book_id", F.col("chapterIndex").alias("chapter_index"), F.col("chapterId").alias("chapter_id"), "same_bytes"]
+    return union_all(alone.select(*columns), batch.select(*columns))
 
 
 # --- spine and table of contents --------------------------------------------------------------
@@ -310,6 +329,19 @@ def g1(spark, sf):
         (F.max("chunk_index") == F.count(F.lit(1))).alias("dense"))
 
 
+@R.add("g1_boundaries", r"""
+  WITH RECURSIVE t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+  w AS (SELECT doc_id, len(list_aggregate(l[:i], 'string_agg', ' ')) AS e, len(l[i]) AS n FROM (SELECT doc_id, string_split(t, ' ') AS l, unnest(range(1, len(string_split(t, ' ')) + 1)) AS i FROM t WHERE t <> '')),
+  c AS (SELECT doc_id, 1 AS i, 0 AS s, max(e) AS e FROM w WHERE e <= 300 OR e = n GROUP BY doc_id
+    UNION ALL SELECT c.doc_id, any_value(c.i) + 1, c.e + 1, max(w.e) FROM c JOIN w ON w.doc_id = c.doc_id AND w.e > c.e AND (w.e - c.e - 1 <= 300 OR w.e - w.n = c.e + 1) GROUP BY c.doc_id, c.e)
+  SELECT doc_id, i::INTEGER AS chunk_index, s::INTEGER AS source_start_char, e::INTEGER AS source_end_char, (e - s)::INTEGER AS char_count, 0 AS context_chars FROM c""")
+def g1_boundaries(spark, sf):
+    """Every boundary of a split at blanks only, without overlap."""
+    text = F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " "))
+    chunks = split_to_rows(table(spark, sf, "documents").select("doc_id", text.alias("text")), max_chars=300, overlap=0, separators=[" "])
+    return chunks.select("doc_id", "chunk_index", "source_start_char", "source_end_char", "char_count", "context_chars")
+
+
 @R.add("w3_chunk_overlap", """
   SELECT l_orderkey, l_linenumber, greatest(0, coalesce(lag(l_linenumber * 10 + l_suppkey % 9 + 8) OVER w - (l_linenumber * 10 + l_suppkey % 9 - 2), 0))::INTEGER AS context_chars
   FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)""")
@@ -338,7 +370,7 @@ _TEXT = f"CASE WHEN page_id % 9 = 0 THEN 'short' ELSE {paragraphs_sql(html_text_
 def p2(spark, sf):
     """Chapters with at least one point, and points of finished books open to search."""
     chapters = page_chapters(spark, sf)
-    points, recorded = vectorize(chapters, completed_books=chapters.filter("book_id = 3").select("book_id"))
+    points, recorded, _ = vectorize(chapters, completed_books=chapters.filter("book_id = 3").select("book_id"))
     flags = points.groupBy("chapter_id").agg(F.bool_and("is_searchable").alias("searchable"))
     return recorded.join(flags, "chapter_id", "left").select("chapter_id", (F.col("chunks_count") > 0).alias("indexed"), F.coalesce("searchable", F.lit(False)).alias("searchable"))
 

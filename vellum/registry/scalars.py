@@ -150,18 +150,23 @@ def x8(spark, sf):
 
 
 def word_sim_sql(source: str, keys_: str) -> str:
-    """Brute force over every extent of the ordered list `vl` against the set `qs`."""
+    """Brute force over every extent of the ordered list `vl` that starts and ends on a member of the set `qs`; others score less."""
     return f"""
       SELECT {keys_}, max(len(list_intersect(list_distinct(vl[i:j]), qs))::DOUBLE /
         (len(qs) + len(list_distinct(vl[i:j])) - len(list_intersect(list_distinct(vl[i:j]), qs)))) AS ws
-      FROM (SELECT *, unnest(range(i, len(vl) + 1)) AS j FROM (SELECT *, unnest(range(1, len(vl) + 1)) AS i FROM {source}))
+      FROM (SELECT *, unnest(list_filter(range(i, len(vl) + 1), lambda x: list_contains(qs, vl[x]))) AS j
+        FROM (SELECT *, unnest(CASE WHEN list_has_any(vl, qs) THEN list_filter(range(1, len(vl) + 1), lambda x: list_contains(qs, vl[x])) ELSE [1::BIGINT] END) AS i FROM {source}))
       GROUP BY {keys_}"""
 
 
 @R.add("x9_word_similarity", f"WITH s AS ({_PAIR_SETS}) SELECT q, v, round(ws, 6) AS word_similarity FROM ({word_sim_sql('s', 'q, v')})")
 def x9(spark, sf):
-    ws = trigram.word_similarity(trigram.trigrams(F.col("q")), trigram.ordered_trigrams(F.col("v")))
-    return pairs(spark, sf).select("q", "v", F.round(ws, 6).alias("word_similarity"))
+    return _measured(pairs(spark, sf)).select("q", "v", F.round("ws", 6).alias("word_similarity"))
+
+
+def _measured(p):
+    listed = p.withColumns({"qs": trigram.trigrams(F.col("q")), "vl": trigram.ordered_trigrams(F.col("v"))})
+    return trigram.with_word_similarity(listed, "qs", "vl", "ws").drop("qs", "vl")
 
 
 def score_sql(q: str, v: str, sim: str, ws: str) -> str:
@@ -179,8 +184,7 @@ def x10(spark, sf):
     p = pairs(spark, sf)
     q, v = F.col("q"), F.col("v")
     sim = trigram.similarity(trigram.trigrams(v), trigram.trigrams(q))
-    ws = trigram.word_similarity(trigram.trigrams(q), trigram.ordered_trigrams(v))
-    scored = p.select("q", "v", trigram.suggestion_score(v, q, sim, ws).alias("score"))
+    scored = _measured(p).select("q", "v", trigram.suggestion_score(v, q, sim, F.col("ws")).alias("score"))
     prefix = F.substring("v", 1, 4)
     none = F.lit(0.0)
     return union_all(scored, p.select(prefix.alias("q"), "v", trigram.suggestion_score(v, prefix, none, none).alias("score")))
@@ -449,43 +453,45 @@ def x28(spark, sf):
 
 
 _MATCH = f"""
-  SELECT item_id, {terms('b.text')} AS terms, NOT list_has_any({toks('b.text')}, {FRONT_LIST}) AND len({terms('b.text')}) > 0 AS demote,
-    {norm("'Chapter ' || d.doc_id || chr(10) || d.text")} AS hay, (item_id % 3)::DOUBLE / 3 AS score,
+  SELECT doc_id, {terms('b.text')} AS terms, NOT list_has_any({toks('b.text')}, {FRONT_LIST}) AND len({terms('b.text')}) > 0 AS demote,
+    {norm("'Chapter ' || d.doc_id || chr(10) || d.text")} AS hay, (doc_id % 3)::DOUBLE / 3 AS score,
     regexp_matches({norm('ltrim(d.text)')}, '^({FRONT})') OR d.doc_id % 2 = 0 AS front
-  FROM benchmark b JOIN documents d ON d.doc_id = b.item_id"""
+  FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id"""
 _OVER = f"SELECT *, len(list_filter(terms, lambda t: contains(hay, t)))::INTEGER AS overlap FROM ({_MATCH})"
 
 
 def matches(spark, sf):
-    """Every benchmark text with the document of its number, as a search hit."""
+    """Every document as a search hit of one benchmark text."""
     from vellum.operators.ranking import query_features, with_policy_inputs
 
-    q = query_features(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query")))
+    b = table(spark, sf, "benchmark")
+    q = query_features(b.select("item_id", F.col("text").alias("query")))
+    n = b.agg(F.count(F.lit(1)).alias("n")).scalar()
     d = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("item_id"), "text", F.concat(F.lit("Chapter "), F.col("doc_id").cast("string")).alias("chapter_title"),
+        "doc_id", (F.col("doc_id") % n).alias("item_id"), "text", F.concat(F.lit("Chapter "), F.col("doc_id").cast("string")).alias("chapter_title"),
         (F.col("doc_id") % 2).cast("int").alias("source_start_char"), ((F.col("doc_id") % 3) / 3).alias("score"))
     return with_policy_inputs(q.join(d, "item_id"))
 
 
-@R.add("a9_term_overlap", f"SELECT item_id, overlap FROM ({_OVER})")
+@R.add("a9_term_overlap", f"SELECT doc_id, overlap FROM ({_OVER})")
 def a9(spark, sf):
-    return matches(spark, sf).select("item_id", "overlap")
+    return matches(spark, sf).select("doc_id", "overlap")
 
 
 @R.add("x29_representative_score", f"""
-  SELECT item_id, round(score + 2 * overlap + (overlap > 0)::INTEGER - CASE WHEN demote AND overlap = 0 AND front THEN 1.5::DOUBLE ELSE 0 END, 6) AS score FROM ({_OVER})""")
+  SELECT doc_id, round(score + 2 * overlap + (overlap > 0)::INTEGER - CASE WHEN demote AND overlap = 0 AND front THEN 1.5::DOUBLE ELSE 0 END, 6) AS score FROM ({_OVER})""")
 def x29(spark, sf):
     s = scoring.representative_score(F.col("score"), F.col("overlap"), F.col("demote"), F.col("front_matter"))
-    return matches(spark, sf).select("item_id", F.round(s, 6).alias("score"))
+    return matches(spark, sf).select("doc_id", F.round(s, 6).alias("score"))
 
 
 @R.add("x30_ranked_book_score", f"""
-  SELECT item_id, round(coalesce(CASE WHEN item_id % 2 = 0 THEN 0.25::DOUBLE END, score) + CASE WHEN overlap > 0 THEN 1 + 0.35::DOUBLE * overlap ELSE 0 END
+  SELECT doc_id, round(coalesce(CASE WHEN doc_id % 2 = 0 THEN 0.25::DOUBLE END, score) + CASE WHEN overlap > 0 THEN 1 + 0.35::DOUBLE * overlap ELSE 0 END
     - CASE WHEN demote AND overlap = 0 AND front THEN 0.8::DOUBLE ELSE 0 END + score * 0.05::DOUBLE, 6) AS score FROM ({_OVER})""")
 def x30(spark, sf):
-    rerank = F.when(F.col("item_id") % 2 == 0, 0.25)
+    rerank = F.when(F.col("doc_id") % 2 == 0, 0.25)
     s = scoring.ranked_book_score(F.col("score"), rerank, F.col("overlap"), F.col("demote"), F.col("front_matter"))
-    return matches(spark, sf).select("item_id", F.round(s, 6).alias("score"))
+    return matches(spark, sf).select("doc_id", F.round(s, 6).alias("score"))
 
 
 @R.add("x31_rerank_text", """

@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from vellum.functions import scoring
 from vellum.functions.scoring import grouped_limit, prefetch_limit
 from vellum.operators import ranking, retrieval
 from vellum.operators.embedding import embed, embed_by_hash
 from vellum.operators.postings import build_postings, corpus_size, term_counts
-from vellum.plans.search import grouped_hits, hybrid_search, point_postings, search
+from vellum.plans.catalogue import find_by_ids
+from vellum.plans.search import grouped_hits, hybrid_search, point_postings, search, with_read_model
 from vellum.registry import Registry, table
 from vellum.registry.scalars import FRONT, FRONT_LIST, norm, terms, toks
 from vellum.session import stage_table, union_all
@@ -114,19 +116,24 @@ def a4(spark, sf):
 _ALL_VECTORS = """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS point_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 8) AS score FROM embeddings a, embeddings b),"""
 
 
+def _whole(df):
+    """Scores are rounded once, to 8 digits, and compared as whole numbers."""
+    return df.select("query_id", "point_id", F.round(F.col("score") * 100000000).cast("long").alias("score_e8"), "rank0")
+
+
 def _vectors(spark, sf, name):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias(name), F.col("embedding").alias("vector"))
 
 
-@R.add("l1_dense_top_k", f"{_ALL_VECTORS} {ranked_sql('s', 'l', 10)} SELECT query_id, point_id, round(score, 6) AS score, rank0::INTEGER AS rank0 FROM l")
+@R.add("l1_dense_top_k", f"{_ALL_VECTORS} {ranked_sql('s', 'l', 10)} SELECT query_id, point_id, round(score * 100000000)::BIGINT AS score_e8, rank0::INTEGER AS rank0 FROM l")
 def l1(spark, sf):
-    return retrieval.dense_top_k(_vectors(spark, sf, "query_id"), _vectors(spark, sf, "point_id"), 10).withColumn("score", F.round("score", 6))
+    return _whole(retrieval.dense_top_k(_vectors(spark, sf, "query_id"), _vectors(spark, sf, "point_id"), 10))
 
 
-@R.add("j11_dense_all_pairs_salted", f"{_ALL_VECTORS} {ranked_sql('s', 'l', 3)} SELECT query_id, point_id, round(score, 6) AS score, rank0::INTEGER AS rank0 FROM l")
+@R.add("j11_dense_all_pairs", f"{_ALL_VECTORS} {ranked_sql('s', 'l', 3)} SELECT query_id, point_id, round(score * 100000000)::BIGINT AS score_e8, rank0::INTEGER AS rank0 FROM l")
 def j11(spark, sf):
-    """The same search on the path for query tables too big to broadcast."""
-    return retrieval.dense_top_k(_vectors(spark, sf, "query_id"), _vectors(spark, sf, "point_id"), 3, broadcast_bytes=0, rows=64).withColumn("score", F.round("score", 6))
+    """The same search for a query table that takes several broadcasts."""
+    return _whole(retrieval.dense_top_k(_vectors(spark, sf, "query_id"), _vectors(spark, sf, "point_id"), 3, broadcast_bytes=64 << 10, block_bytes=16 << 10))
 
 
 # --- sparse -----------------------------------------------------------------------------------
@@ -136,9 +143,9 @@ def _sparse(spark, sf, k):
     return retrieval.sparse_top_k(terms_, point_postings(pts), corpus_size(pts), k)
 
 
-@R.add("l2_bm25_top_k", f"WITH {INPUTS}, {SPARSE}, {ranked_sql('sparse_s', 'l', 10)} SELECT query_id, point_id, round(score, 6) AS score, rank0::INTEGER AS rank0 FROM l")
+@R.add("l2_bm25_top_k", f"WITH {INPUTS}, {SPARSE}, {ranked_sql('sparse_s', 'l', 10)} SELECT query_id, point_id, round(score * 100000000)::BIGINT AS score_e8, rank0::INTEGER AS rank0 FROM l")
 def l2(spark, sf):
-    return _sparse(spark, sf, 10).withColumn("score", F.round("score", 6))
+    return _whole(_sparse(spark, sf, 10))
 
 
 @R.add("j10_sparse_scores", f"WITH {INPUTS}, {SPARSE} SELECT query_id, count(*)::BIGINT AS hits, round(sum(score), 3) AS total FROM sparse_s GROUP BY query_id")
@@ -207,8 +214,7 @@ def f15(spark, sf):
   SELECT p_partkey, ((p_size - 1) * 20 + 20 + 1)::INTEGER AS groups, greatest(100, ((p_size - 1) * 20 + 20 + 1) * 4)::INTEGER AS prefetch FROM part""")
 def l3(spark, sf):
     offset = (F.col("p_size") - 1) * 20
-    groups = offset + 20 + 1
-    return table(spark, sf, "part").select("p_partkey", groups.alias("groups"), F.greatest(F.lit(100), groups * 4).alias("prefetch"))
+    return table(spark, sf, "part").select("p_partkey", scoring.group_size(offset, 20).alias("groups"), scoring.prefetch_size(offset, 20).alias("prefetch"))
 
 
 @R.add("w5_representative_hit", f"""
@@ -356,13 +362,13 @@ _MODEL = "model AS (SELECT source AS book_id, 'docs ' || count(*) AS title FROM
 @R.add("j2_read_model_join", f"""
   WITH {INPUTS}, {SPARSE}, {DENSE}, {hybrid_sql(0, 20)}, {_MODEL} SELECT query_id, book_id, model.title, score FROM items JOIN model USING (book_id)""")
 def j2(spark, sf):
-    return _items(spark, sf, 20).join(read_model(spark, sf), "book_id").select("query_id", "book_id", "title", "score")
+    return with_read_model(_items(spark, sf, 20), read_model(spark, sf)).select("query_id", "book_id", "title", "score")
 
 
 @R.add("f13_find_by_ids", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier)")
 def f13(spark, sf):
     ids = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("p_partkey"))
-    return table(spark, sf, "part").join(ids, "p_partkey", "left_semi").select("p_partkey", "p_name")
+    return find_by_ids(table(spark, sf, "part"), ids, "p_partkey").select("p_partkey", "p_name")
 
 
 # --- snapshots and full search ----------------------------------------------------------------

@@ -61,7 +61,7 @@ _SCORED = f"""
 
 def _prepared(spark, sf):
     b = books(spark, sf)
-    pool, grams = build_index(sug.suggestion_rows(b), b)
+    pool, grams, _ = build_index(sug.suggestion_rows(b), b)
     return sug.prepare_queries(asked(spark, sf)), grams, pool
 
 
@@ -89,9 +89,9 @@ def j1(spark, sf):
     return sug.live_suggestions(sug.suggestion_rows(b), b).groupBy("kind", "normalized_value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("f3_exclude_deleted", "SELECT p_partkey AS book_id, p_name AS title FROM part WHERE p_size <> 7")
+@R.add("f3_exclude_deleted", f"WITH {_ROWS} SELECT book_id, title FROM books WHERE status <> 'DELETED'")
 def f3(spark, sf):
-    return books(spark, sf).filter("status <> 'DELETED' and book_id < 1000000").select("book_id", "title")
+    return sug.not_deleted(books(spark, sf)).select("book_id", "title")
 
 
 @R.add("f4_prefix_predicates", """

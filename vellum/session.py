@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 UNION_CONF = "spark.sql.unionOutputPartitioning"
+INPUT_CONF = "spark.vellum.inputPartitions"
 
 
 def local_session(cpus: int | str = "*", app: str = "vellum") -> SparkSession:
@@ -19,6 +21,8 @@ def local_session(cpus: int | str = "*", app: str = "vellum") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", partitions)
+        # the test tables are single files of one row group
+        .config(INPUT_CONF, partitions)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -30,12 +34,14 @@ def local_session(cpus: int | str = "*", app: str = "vellum") -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh one only where none is set."""
+    """The shared folder the cluster names; a fresh one only on a local master, where all tasks see it."""
     named = spark.conf.get(CHECKPOINT_CONF, None)
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
         if named is None:
+            if not re.match(r"local($|\[)", context.master):
+                raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors reach")
             named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(named)
         current = context.getCheckpointDir()
@@ -54,12 +60,27 @@ def stage_table(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     For results that several branches use: computed once, pruned by column
     and by partition afterwards, and kept when executors are lost.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{_stages_of(spark)}{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _stages_of(spark: SparkSession) -> str:
+    return f"stage-{spark.sparkContext.applicationId}-"
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Remove the staged tables of this application; call it when no result built on them is read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_folder(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, _stages_of(spark) + "*"))
+    for status in found:
+        files.delete(status.getPath(), True)
+    return len(found)
 
 
 def keep_unions_plain(spark: SparkSession) -> None:
@@ -98,9 +119,10 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table of few files before CPU-heavy row work.
+    """Deal rows over as many tasks as the session asks for before CPU-heavy row work.
 
-    A table of many files already gives every core a share and is left alone.
+    Only where the session sets INPUT_CONF, because it knows that its tables
+    are few files that cannot be split; else the splits of the input hold.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    asked = df.sparkSession.conf.get(INPUT_CONF, None)
+    return df.repartition(int(asked)) if asked else df

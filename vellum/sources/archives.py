@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote
@@ -99,7 +100,11 @@ def _package_rows(book, content: bytes):
             files = [i for i in archive.infolist() if not i.is_dir()]
             names = {re.sub("^/+", "", i.filename.replace("\\", "/")): i.filename for i in files}
             for at, info in enumerate(files):
-                yield row("entry", at, href=info.filename, data=archive.read(info))
+                try:
+                    yield row("entry", at, href=info.filename, data=archive.read(info))
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as error:
+                    # a broken entry is missing for what refers to it; the rest of the book stays
+                    yield row("broken", at, href=info.filename, text=f"{type(error).__name__}: {error}")
             container = _find(names, CONTAINER)
             root_file = next(e.get("full-path") for e in _root(archive.read(container)).iter() if (e.get("full-path") or "").strip())
             package = _root(archive.read(_find(names, root_file)))
@@ -160,7 +165,10 @@ def parse_archives(archives: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for book, content in zip(batch["book_id"], batch["content"]):
-                yield pd.DataFrame(list(_package_rows(book, content)), columns=names)
+                rows = list(_package_rows(book, content))
+                if rows[-1][1] == "error":
+                    rows = rows[-1:]  # a book is unpacked as a whole or not at all
+                yield pd.DataFrame(rows, columns=names)
 
     return archives.select("book_id", "content").mapInPandas(run, schema)
 
@@ -210,4 +218,6 @@ def book_metadata(parsed: DataFrame) -> DataFrame:
 
 
 def failures(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("kind") == "error").select("book_id", F.col("text").alias("error"))
+    """Books that could not be read as a whole, and single entries that are broken."""
+    text = F.when(F.col("kind") == "broken", F.concat(F.lit("Broken entry "), F.col("href"), F.lit(": "), F.col("text"))).otherwise(F.col("text"))
+    return parsed.filter(F.col("kind").isin("error", "broken")).select("book_id", text.alias("error"))

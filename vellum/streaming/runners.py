@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,7 +21,9 @@ def read_log(spark: SparkSession, path: str, schema, before: int | None = None)
     """Rows of an append log, by default of all batches; an absent log is empty."""
     try:
         log = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(path)
-    except Exception:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
     return log if before is None else log.filter(F.col("batch") < before)
 
@@ -51,16 +54,15 @@ def once(effect: Step, processed: str) -> Step:
     return step
 
 
-def envelopes(messages: DataFrame, dead_letters: str | None = None, number: int = 0) -> DataFrame:
+def envelopes(messages: DataFrame, dead_letters: str, number: int) -> DataFrame:
     """Valid envelopes of a batch of messages; the others go to the dead-letter log."""
     named, poison = split_poison(without_tombstones(messages), allow_key=False)
     checked = check_contracts(parse_envelopes(named))
-    if dead_letters is not None:
-        bad = checked.filter(F.size(ERRORS) > 0).select("id", "type", "payload", F.array_join(ERRORS, ",").alias("error"))
-        lost = poison.select(
-            F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("type"), F.col("value").cast("string").alias("payload"), "error"
-        )
-        write_batch(union_all(bad, lost), dead_letters, number)
+    bad = checked.filter(F.size(ERRORS) > 0).select("id", "type", "payload", F.array_join(ERRORS, ",").alias("error"))
+    lost = poison.select(
+        F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("type"), F.col("value").cast("string").alias("payload"), "error"
+    )
+    write_batch(union_all(bad, lost), dead_letters, number)
     return checked.filter(F.size(ERRORS) == 0).drop(ERRORS)
 
 
@@ -121,13 +123,13 @@ def unpack_stream(
         sink(unpack_books(load(uploads), bucket), number)
 
     def step(batch: DataFrame, number: int) -> None:
-        once(effect, f"{folder}/processed")(envelopes(batch), number)
+        once(effect, f"{folder}/processed")(envelopes(batch, f"{folder}/dead", number), number)
 
     return start(stream, step, f"{folder}/checkpoint")
 
 
 def vectorize_stream(
-    stream: DataFrame, load: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, DataFrame, int], None], folder: str,
+    stream: DataFrame, load: Callable[[DataFrame], DataFrame], sink: Callable[[object, int], None], folder: str,
     **options,
 ) -> StreamingQuery:
     """ChapterExtracted and ChapterBatchExtracted events: load, check, vectorise.
@@ -146,10 +148,9 @@ def vectorize_stream(
             F.col("p.bookId").cast("long").alias("book_id"), F.col("c.chapterId").alias("chapter_id"), F.col("c.chapterIndex").alias("chapter_index"),
             F.col("p.batchIndex").alias("batch_index"), F.col("p.s3FilePath").alias("s3_file_path"), F.col("p.coverS3FilePath").alias("cover_s3_file_path"),
         )
-        points, recorded = vectorize(load(union_all(single, batched)), **options)
-        sink(points, recorded, number)
+        sink(vectorize(load(union_all(single, batched)), **options), number)
 
     def step(batch: DataFrame, number: int) -> None:
-        once(effect, f"{folder}/processed")(envelopes(batch), number)
+        once(effect, f"{folder}/processed")(envelopes(batch, f"{folder}/dead", number), number)
 
     return start(stream, step, f"{folder}/checkpoint")

@@ -28,9 +28,11 @@ class VectorizationState(StatefulProcessor):
         plan = self.plan.get() if self.plan.exists() else None
         done = self.count.get()[0] if self.count.exists() else 0
         book = int(key[0])
-        for batch in rows:
-            # the shuffle may disturb arrival order inside a micro-batch
-            batch = batch.sort_values(["ts", "event_id"])
+        chunks = list(rows)
+        known: dict[str, bool] = {}
+        if chunks:
+            # rows of a book come in chunks, and the shuffle may disturb their order: all of the micro-batch is sorted
+            batch = pd.concat(chunks).sort_values(["ts", "event_id"])
             out: list[tuple] = []
             for event_id, kind, chapter, expected in zip(batch["event_id"], batch["kind"], batch["chapter_id"], batch["expected"]):
                 event_id, fresh = int(event_id), False
@@ -40,8 +42,11 @@ class VectorizationState(StatefulProcessor):
                         out.append((book, event_id, "Started", done, wanted))
                     plan = (wanted, True, False, False)
                 elif kind == "chapter":
-                    fresh = not self.seen.containsKey((chapter,))
+                    if chapter not in known:
+                        known[chapter] = self.seen.containsKey((chapter,))
+                    fresh = not known[chapter]
                     if fresh:
+                        known[chapter] = True
                         self.seen.updateValue((chapter,), (event_id,))
                         done += 1
                         out.append((book, event_id, "ChapterVectorized", done, None))
