@@ -50,6 +50,13 @@ def _smallest(keys: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+def _span(length: int, depth: int) -> int:
+    """Positions that an anchor is chosen from, so that `depth` phrases behind it still lie inside the string."""
+    if length < GRAM + depth + 1 or depth < 1:
+        raise ValueError(f"strings of {length} bytes are too short for {depth} phrases")
+    return (length - GRAM) // (depth + 1)
+
+
 class Parse:
     """Phrases of texts. A window of `length` bytes is placed by its anchor: the smallest hash among its first `span` positions.
 
@@ -59,9 +66,7 @@ class Parse:
 
     def __init__(self, texts, length: int, depth: int) -> None:
         self.data, self.offsets = flat(texts)
-        self.length, self.depth, self.span = length, depth, (length - GRAM) // (depth + 1)
-        if self.span < 1:
-            raise ValueError(f"strings of {length} bytes are too short for {depth} phrases")
+        self.length, self.depth, self.span = length, depth, _span(length, depth)
         n, span = len(self.data), self.span
         ends, reach = self.offsets[1:], span + GRAM - 1
         anchor = low = high = np.zeros(0, np.int64)
@@ -261,7 +266,7 @@ def cut_repeated_bytes(docs: DataFrame, length: int = 400, text: str = "text", d
     own = [c for c in rows.columns if c != text]
     total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    buckets = max(1, -(-total // (((length - GRAM) // (depth + 1)) // 2 * range_entries)))
+    buckets = max(1, -(-total // (-(-_span(length, depth) // 2) * range_entries)))
     # numbered before the exchange, so that every round knows a row by the same number
     dealt = rows.select(F.col(text), *own, F.monotonically_increasing_id().alias("__row"))
     dealt = dealt.withColumn("__shard", F.pmod(F.xxhash64("__row", F.octet_length(text)), F.lit(shards)))

@@ -35,7 +35,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _SPACES = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
 #: Starting weights, used for tags that no labelled page shows.
-WORD, TAG, HEADING, AROUND_TAG = 1.0, -1.5, -0.25, -6.0
+WORD, TAG, HEADING, AROUND, LOWEST = 2.0, -1.5, -0.25, -0.5, -6.0
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -136,8 +136,8 @@ class Weights:
         self.word, self.tags = word, tags or {}
 
     def score(self, p: Piece) -> float:
-        if p.around:
-            return AROUND_TAG * max(1, len(p.text.split())) if p.kind == "text" and p.text.strip() else AROUND_TAG
+        if p.around:  # left out of the text anyway, so an advert of many words costs no more than one of few
+            return AROUND
         if p.kind == "text":
             return self.word * len(p.text.split())
         weight = self.tags.get(p.name, self.tags.get("/" + p.name, TAG))
@@ -233,7 +233,7 @@ def learn_weights(pages: DataFrame, html_column: str = "html", fit_pages: int =
     odds = {r.name: math.log((r.inside + 1) / (r.outside + 1)) for r in got}
     word = max(WORD, odds.pop("#word", WORD))
     top = max(odds.values(), default=0.0)
-    return Weights(word, {n: max(AROUND_TAG, min(-0.25, (v - top) / 2 + TAG / 3)) for n, v in odds.items()})
+    return Weights(word, {n: max(LOWEST, min(-0.25, (v - top) / 2 + TAG / 3)) for n, v in odds.items()})
 
 
 def extract(pages: DataFrame, weights: Weights, html_column: str = "html") -> DataFrame:

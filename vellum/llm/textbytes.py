@@ -36,11 +36,10 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
 
 def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts on end, offsets with one more entry than texts); a null counts as empty."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
-        if isinstance(texts, pa.ChunkedArray):
-            texts = pa.concat_arrays(texts.chunks)
-    texts = texts.cast(pa.large_binary())
+    # cast first: only then do the offsets hold more than 2 GB
+    parts = texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]
+    parts = [p.cast(pa.large_binary()) for p in parts]
+    texts = parts[0] if len(parts) == 1 else pa.concat_arrays(parts) if parts else pa.array([], pa.large_binary())
     if texts.null_count:
         texts = texts.fill_null(b"")
     if not len(texts):
