@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import bwt_dedup, decontamination, hamming_search, html_extraction, language_id, license_scan, mixing, ngram_join, substring_dedup, warc
 from vellum.registry import Registry, table
+from vellum.session import stage_table
 
 R = Registry()
 
@@ -31,9 +32,10 @@ def op2(spark, folder):
     archives = warc.write_archives(table(spark, folder, "pages").select("page_id", "url", "html"), "page_id", "url", "html")
     read = warc.read_payloads(archives)
     number = lambda c: F.split(c, ":")[2].cast("long")
-    found = read.select(
+    # ids and lengths only, staged so that the archives are read once
+    found = stage_table(read.select(
         number(F.col("record_id")).alias("page_id"), F.octet_length("payload").cast("long").alias("own_bytes"), "payload_digest", "record_type",
-        number(F.col("refers_to")).alias("refers_to"))
+        number(F.col("refers_to")).alias("refers_to")))
     # a revisit has the length of the response it refers to
     refers = found.filter("record_type = 'revisit'")
     wanted = refers.select(F.col("refers_to").alias("page_id")).distinct()
