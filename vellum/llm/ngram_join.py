@@ -228,7 +228,8 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     low, high = F.least("own", "other"), F.greatest("own", "other")
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", low, high))
     placed = placed.select(F.col("shown").alias("row"), "node", "root", "copies", "own", low.alias("low"), high.alias("high"), task.alias("task"))
-    texts = numbered.select("row", "text").join(placed, "row")
+    # the same plan at every size: texts are shuffled once, whatever the planner thinks of the other side
+    texts = numbered.select("row", "text").join(placed.hint("merge"), "row")
 
     def compare(table: pa.Table) -> pa.Table:
         root = np.asarray(table.column("root"))
@@ -285,4 +286,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     stay = linked.filter("node is not null").groupBy("component").agg(first).select("first.row").unionByName(linked.filter("node is null").select("row"))
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(stay.withColumnRenamed("row", "__row"), "__row", "left_semi").select(*docs.columns)
+    return numbered.join(stay.withColumnRenamed("row", "__row").hint("merge"), "__row", "left_semi").select(*docs.columns)
