@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.text import tokenize
 from vellum.session import spread as spread_out
+from vellum.session import union_all
 
 
 def build_postings(
@@ -56,3 +57,53 @@ def term_counts(postings: DataFrame) -> DataFrame:
 def corpus_size(points: DataFrame) -> Column:
     """Number of points as a scalar subquery."""
     return points.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+
+
+#: Folders that terms are spread over; a search reads only those of its terms.
+TERM_SLOTS = 64
+
+
+def term_slot(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_SLOTS)).cast("int")
+
+
+def change_postings(points: DataFrame, removed: DataFrame | None, path: str, batch: int, text_col: str = "text", compatibility: bool = True) -> None:
+    """Add one change to a stored index: `points` are new or changed, `removed(point_id)` are gone.
+
+    Earlier postings of both count no longer. A change writes its own folders
+    only and a repeated batch number replaces them, so it can be run again
+    after a failure; `compact_postings` merges the changes. The searchable flag
+    is not stored here, so setting it changes nothing.
+    """
+    ids = points.select("point_id")
+    gone = ids if removed is None else union_all(ids, removed.select("point_id"))
+    # the marks come second: until they are there the old postings still count as one of two
+    rows = build_postings(points, text_col, compatibility=compatibility).withColumn("slot", term_slot(F.col("term")))
+    rows.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/postings/batch={batch}")
+    gone.distinct().write.mode("overwrite").parquet(f"{path}/gone/batch={batch}")
+
+
+def read_postings(spark: SparkSession, path: str, terms: DataFrame | None = None) -> DataFrame:
+    """Postings that count now; with `terms(term)` only the folders of these terms are read.
+
+    At most TERM_SLOTS folder numbers pass through the driver.
+    """
+    stored = spark.read.parquet(f"{path}/postings")
+    if terms is not None:
+        slots = [r.slot for r in terms.select(term_slot(F.col("term")).alias("slot")).distinct().collect()]
+        stored = stored.filter(F.col("slot").isin(slots)).join(terms.select("term").distinct(), "term", "left_semi")
+    last = spark.read.parquet(f"{path}/gone").groupBy("point_id").agg(F.max("batch").alias("_last"))
+    # a point's postings come from the last change that named it
+    return stored.join(last, "point_id").filter(F.col("batch") == F.col("_last")).drop("_last", "batch", "slot")
+
+
+def compact_postings(spark: SparkSession, path: str, target: str) -> None:
+    """Write what counts now as the one change of a new index."""
+    live = read_postings(spark, path)
+    live.withColumn("slot", term_slot(F.col("term"))).write.mode("overwrite").partitionBy("slot").parquet(f"{target}/postings/batch=0")
+    live.select("point_id").distinct().write.mode("overwrite").parquet(f"{target}/gone/batch=0")
+
+
+def with_flags(postings: DataFrame, points: DataFrame) -> DataFrame:
+    """Postings with the searchable flag their points have now."""
+    return postings.join(points.select("point_id", "is_searchable"), "point_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -18,10 +19,12 @@ from vellum.plans.unpack import unpack_books
 from vellum.plans.vectorize import chunk_chapters, vectorize
 from vellum.registry import Registry, table
 from vellum.registry.scalars import html_text_sql, paragraphs_sql
-from vellum.session import stage_table, union_all
+from vellum.session import checkpoint_folder, stage_table, union_all
 from vellum.sources import archives as src
 from vellum.sources.stored import parse_batches, parse_chapters
+from vellum.sources.events import build_events, event_name_id, file_stream, route_outbox
 from vellum.streaming.envelope import with_payload
+from vellum.streaming.runners import unpack_stream, vectorize_stream, write_batch
 
 R = Registry()
 
@@ -135,6 +138,87 @@ def t9_events(spark, sf):
     return union_all(union_all(alone, batch), cover)
 
 
+def _folder(spark, name):
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@R.add("s1_archive_scan", "SELECT 'book-' || page_id || '.epub' AS name, true AS same FROM pages")
+def s1(spark, sf):
+    """Archives written to a folder and found again by name, with their content."""
+    made = stage_table(archives(spark, sf))
+    folder = _folder(spark, "archives")
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        store.create_dir(path, recursive=True)
+        for batch in batches:
+            for book, content in zip(batch["book_id"], batch["content"]):
+                with store.open_output_stream(f"{path}/book-{book}.epub") as out:
+                    out.write(content)
+            yield batch[["book_id"]]
+
+    made.mapInPandas(save, "book_id long").count()
+    found = src.scan_archives(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest"))
+    wanted = made.select(F.concat(F.lit("book-"), F.col("book_id").cast("string"), F.lit(".epub")).alias("name"), F.sha2("content", 256).alias("wanted"))
+    return found.join(wanted, "name", "left").select("name", F.coalesce(F.col("digest") == F.col("wanted"), F.lit(False)).alias("same"))
+
+
+def _twice(rows, folder):
+    """Every message delivered twice, over several micro-batches."""
+    sent = route_outbox(rows)
+    union_all(sent, sent).repartition(3).write.parquet(f"{folder}/messages")
+    return file_stream(rows.sparkSession, f"{folder}/messages")
+
+
+@R.add("t9_unpack_stream", f"{_P1} UNION ALL SELECT page_id, 0, 'dead' FROM pages WHERE page_id % 5 = 0")
+def t9_stream(spark, sf):
+    """BookUploaded messages, each delivered twice, some without a bucket: chapters once, the broken ones in the dead-letter log."""
+    folder = _folder(spark, "unpack")
+    made = stage_table(archives(spark, sf))
+    book = F.col("book_id").cast("string")
+    good = build_events(made, "BookUploaded", {"bookId": book, "bucket": F.lit("books"), "objectName": F.col("object_name")}, event_name_id(F.lit("up"), book))
+    bad = good.filter("aggregate_id % 5 = 0").withColumns({"id": F.concat(F.lit("bad-"), F.col("id")), "payload": F.lit("{}")})
+
+    def sink(out, number):
+        write_batch(out.chapters.select("book_id", "chapter_index", "chapter_id"), f"{folder}/chapters", number)
+
+    query = unpack_stream(_twice(union_all(good, bad), folder), lambda u: u.join(made.select("book_id", "content"), "book_id").select("book_id", "object_name", "content"), "books", sink, folder)
+    query.awaitTermination()
+    dead = spark.read.parquet(f"{folder}/dead").select("id").distinct()
+    named = bad.select("id", F.col("aggregate_id").cast("long").alias("book_id")).join(dead, "id")
+    return union_all(spark.read.parquet(f"{folder}/chapters").drop("batch"), named.select("book_id", F.lit(0).alias("chapter_index"), F.lit("dead").alias("chapter_id")))
+
+
+@R.add("t10_vectorize_stream", f"""
+  SELECT book_id, chapter_id, 'vectorized' AS state FROM ({_P1}) WHERE book_id % 7 <> 3
+  UNION ALL SELECT book_id, chapter_id, 'missing' FROM ({_P1}) WHERE book_id % 7 = 3 AND chapter_id = 'c2'""")
+def t10_stream(spark, sf):
+    """Extracted chapters, each message delivered twice; of every seventh book a stored chapter is lost, and its batch is not vectorised."""
+    folder = _folder(spark, "vectorize")
+    out = unpacked(spark, sf)
+    announced = out.events.filter("type <> 'BookCoverExtracted'")
+    place = stage_table(out.manifest.select("book_id", "batch_index", F.col("object_name").alias("s3_file_path"), F.explode("chapters").alias("c")).select(
+        "book_id", "batch_index", "s3_file_path", F.col("c.chapterIndex").alias("chapter_index")))
+    kept = out.chapters.filter("not (book_id % 7 = 3 and chapter_id = 'c2')").select("book_id", "chapter_id", "chapter_index", "chapter_title", "html")
+    objects = stage_table(kept.join(place, ["book_id", "chapter_index"]))
+
+    def load(asked):
+        wanted = asked.select("book_id", "s3_file_path", "cover_s3_file_path").distinct()
+        return objects.join(wanted, ["book_id", "s3_file_path"])
+
+    def sink(done, events, number):
+        write_batch(events.select("id", "payload", "type"), f"{folder}/events", number)
+
+    vectorize_stream(_twice(announced, folder), load, sink, folder).awaitTermination()
+    told = with_payload(spark.read.parquet(f"{folder}/events"), "ChapterVectorized")
+    broken = spark.read.parquet(f"{folder}/broken").filter("problem = 'missing'")
+    return union_all(
+        told.select(F.col("p.bookId").cast("long").alias("book_id"), F.col("p.chapterId").alias("chapter_id"), F.lit("vectorized").alias("state")),
+        broken.select("book_id", "chapter_id", F.lit("missing").alias("state")))
+
+
 @R.add("s5_stored_objects", f"SELECT *, true AS same_bytes FROM ({_P1})")
 def s5(spark, sf):
     """Stored objects read back: every chapter once, and each object as long as its manifest says."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,12 +11,12 @@ from vellum.functions import scoring
 from vellum.functions.scoring import grouped_limit, prefetch_limit
 from vellum.operators import ranking, retrieval
 from vellum.operators.embedding import embed, embed_by_hash
-from vellum.operators.postings import build_postings, corpus_size, term_counts
+from vellum.operators.postings import build_postings, change_postings, corpus_size, read_postings, term_counts, with_flags
 from vellum.plans.catalogue import find_by_ids
 from vellum.plans.search import grouped_hits, hybrid_search, point_postings, search, with_read_model
 from vellum.registry import Registry, table
 from vellum.registry.scalars import FRONT, FRONT_LIST, norm, terms, toks
-from vellum.session import stage_table, union_all
+from vellum.session import checkpoint_folder, stage_table, union_all
 from vellum.sources import snapshots as snap
 
 R = Registry()
@@ -148,6 +150,27 @@ def l2(spark, sf):
     return _whole(_sparse(spark, sf, 10))
 
 
+_CHANGED = INPUTS.replace("  points AS (SELECT", "  before AS (SELECT", 1) + """,
+  langs AS (SELECT doc_id AS point_id, lang FROM documents),
+  points AS (SELECT b.* REPLACE (CASE WHEN point_id % 10 = 0 THEN b.text || ' ' || lang ELSE b.text END AS text, is_searchable <> (point_id % 10 = 2) AS is_searchable)
+    FROM before b JOIN langs USING (point_id) WHERE point_id % 10 <> 1)"""
+
+
+@R.add("l2_maintained_index", f"WITH {_CHANGED}, {SPARSE}, {ranked_sql('sparse_s', 'l', 10)} SELECT query_id, point_id, round(score * 100000000)::BIGINT AS score_e8, rank0::INTEGER AS rank0 FROM l")
+def l2_maintained(spark, sf):
+    """Changed and removed points and flipped flags against an index that is only ever added to (S9, S10, S11)."""
+    path = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    pts = points(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("point_id"), "lang"), "point_id")
+    k = F.col("point_id") % 10
+    change_postings(pts.select("point_id", "text"), None, path, 0)
+    changed = pts.filter(k == 0).withColumn("text", F.concat_ws(" ", "text", "lang"))
+    change_postings(changed.select("point_id", "text"), pts.filter(k == 1), path, 1)
+    now = pts.filter(k != 1).withColumn("is_searchable", F.col("is_searchable") != (k == 2))
+    asked_terms = retrieval.query_term_table(asked(spark, sf))
+    postings = with_flags(read_postings(spark, path, asked_terms.select("term")), now)
+    return _whole(retrieval.sparse_top_k(asked_terms, postings, corpus_size(now), 10))
+
+
 @R.add("j10_sparse_scores", f"WITH {INPUTS}, {SPARSE} SELECT query_id, count(*)::BIGINT AS hits, round(sum(score), 3) AS total FROM sparse_s GROUP BY query_id")
 def j10(spark, sf):
     pts = points(spark, sf)

@@ -5,18 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vellum.functions.rules import ERRORS
 from vellum.operators.merges import unprocessed
 from vellum.streaming.envelope import check_contracts, parse_envelopes, split_poison, with_payload, without_tombstones
-from vellum.session import union_all
+from vellum.session import stage_table, union_all
 
 Step = Callable[[DataFrame, int], None]
 
 
+#: Folders of the log of processed ids; a micro-batch reads those of its own ids.
+ID_SLOTS = 64
+
+
+def id_slot(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(ID_SLOTS)).cast("int")
+
+
 def read_log(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
     """Rows of an append log, by default of all batches; an absent log is empty."""
     try:
@@ -28,9 +36,10 @@ def read_log(spark: SparkSession, path: str, schema, before: int | None = None)
     return log if before is None else log.filter(F.col("batch") < before)
 
 
-def write_batch(df: DataFrame, path: str, batch: int) -> None:
+def write_batch(df: DataFrame, path: str, batch: int, partition_by: str | None = None) -> None:
     """One folder per micro-batch: a repeated batch replaces its own output."""
-    df.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    writer = df.drop("batch").write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{path}/batch={batch}")
 
 
 def once(effect: Step, processed: str) -> Step:
@@ -43,11 +52,14 @@ def once(effect: Step, processed: str) -> Step:
     def step(batch: DataFrame, number: int) -> None:
         from pyspark.sql.types import StructType
 
-        seen = read_log(batch.sparkSession, processed, StructType().add("id", "string"), number)
+        seen = read_log(batch.sparkSession, processed, StructType().add("id", "string").add("slot", "integer"), number)
+        # at most ID_SLOTS numbers; they prune the folders of the log
+        slots = [r.slot for r in batch.select(id_slot(F.col("id")).alias("slot")).distinct().collect()]
+        seen = seen.filter(F.col("slot").isin(slots)) if slots else seen.limit(0)
         fresh = unprocessed(batch, seen.select("id"), [F.col("occurred_at")], key="id").persist()
         try:
             effect(fresh, number)
-            write_batch(fresh.select("id"), processed, number)
+            write_batch(fresh.select("id", id_slot(F.col("id")).alias("slot")), processed, number, "slot")
         finally:
             fresh.unpersist()
 
@@ -123,21 +135,31 @@ def unpack_stream(
         sink(unpack_books(load(uploads), bucket), number)
 
     def step(batch: DataFrame, number: int) -> None:
-        once(effect, f"{folder}/processed")(envelopes(batch, f"{folder}/dead", number), number)
+        batch.persist()
+        try:
+            once(effect, f"{folder}/processed")(envelopes(batch, f"{folder}/dead", number), number)
+        finally:
+            batch.unpersist()
 
     return start(stream, step, f"{folder}/checkpoint")
 
 
 def vectorize_stream(
-    stream: DataFrame, load: Callable[[DataFrame], DataFrame], sink: Callable[[object, int], None], folder: str,
+    stream: DataFrame, load: Callable[[DataFrame], DataFrame], sink: Callable[[object, DataFrame, int], None], folder: str,
     **options,
 ) -> StreamingQuery:
     """ChapterExtracted and ChapterBatchExtracted events: load, check, vectorise.
 
     `load` turns (book_id, chapter_id, chapter_index, batch_index, s3_file_path,
-    cover_s3_file_path) into stored chapters with title and html.
+    cover_s3_file_path) into the stored chapters of these objects with title
+    and html. A batch whose stored chapters differ from those announced is not
+    vectorised; it goes to `{folder}/broken` with what differs. `sink` gets the
+    result, ChapterVectorized events as outbox rows and the batch number, and
+    replaces its own output of a repeated number.
     """
+    from vellum.operators.packing import manifest_problems
     from vellum.plans.vectorize import vectorize
+    from vellum.sources.events import build_events, event_name_id
 
     def effect(fresh: DataFrame, number: int) -> None:
         single = with_payload(fresh, "ChapterExtracted").select(
@@ -148,9 +170,25 @@ def vectorize_stream(
             F.col("p.bookId").cast("long").alias("book_id"), F.col("c.chapterId").alias("chapter_id"), F.col("c.chapterIndex").alias("chapter_index"),
             F.col("p.batchIndex").alias("batch_index"), F.col("p.s3FilePath").alias("s3_file_path"), F.col("p.coverS3FilePath").alias("cover_s3_file_path"),
         )
-        sink(vectorize(load(union_all(single, batched)), **options), number)
+        announced = union_all(single, batched)
+        stored = stage_table(load(announced))
+        place = ["book_id", "batch_index", "chapter_id", "chapter_index"]
+        batches = lambda df: df.filter("batch_index is not null").select(*place)
+        broken = stage_table(manifest_problems(batches(announced), batches(stored)))
+        write_batch(broken, f"{folder}/broken", number)
+        whole = stored.join(broken.select("book_id", F.col("batch_index").alias("_b")).distinct(), (stored["book_id"] == broken["book_id"]) & (stored["batch_index"] == F.col("_b")), "left_anti")
+        done = vectorize(whole, **options)
+        book = F.col("book_id").cast("string")
+        events = build_events(
+            done.recorded, "ChapterVectorized", {"bookId": book, "chapterId": F.col("chapter_id"), "chunksCount": F.col("chunks_count")},
+            event_name_id(F.lit("ChapterVectorized"), book, F.col("chapter_id")))
+        sink(done, events, number)
 
     def step(batch: DataFrame, number: int) -> None:
-        once(effect, f"{folder}/processed")(envelopes(batch, f"{folder}/dead", number), number)
+        batch.persist()
+        try:
+            once(effect, f"{folder}/processed")(envelopes(batch, f"{folder}/dead", number), number)
+        finally:
+            batch.unpersist()
 
     return start(stream, step, f"{folder}/checkpoint")
