@@ -71,3 +71,78 @@ def test_a_snapshot_serves_the_same_page(spark):
     again, nothing = searching.search(*inputs, snapshots=kept, window=10)
     key = lambda df: {(r.query_id, r.page_rank, r.book_id, round(r.score, 6), r.next_offset) for r in df.collect()}
     assert key(page) == key(again) and nothing.count() == 0
+
+
+def test_a_broken_entry_costs_its_chapter_only(spark, tmp_path):
+    good, bad = bytearray(make_archive(0, PAGE)), bytearray(make_archive(1, PAGE))
+    at = bad.index(b"c2.xhtml") if b"c2.xhtml" in bad else bad.index(b"C2.xhtml")
+    bad[at + 12 : at + 16] = b"\xff\xff\xff\xff"  # inside the packed data of this entry
+    rows = spark.createDataFrame([(0, "in/a.epub", bytes(good)), (1, "in/b.epub", bytes(bad)), (2, "in/c.epub", bytes(good[:200]))], "book_id long, object_name string, content binary")
+    out = unpack_books(rows, "bucket")
+    chapters = {(r.book_id, r.chapter_id) for r in out.chapters.collect()}
+    assert {c for b, c in chapters if b == 0} - {c for b, c in chapters if b == 1} <= {"c2"} and (1, "c1:a:top:1") in chapters
+    assert not [c for b, c in chapters if b == 2] and {r.book_id for r in out.errors.collect()} >= {2}
+
+
+def test_objects_of_other_books_stay(spark, tmp_path):
+    from vellum.sources.stored import write_covers, write_objects
+
+    make = lambda rows: spark.createDataFrame(rows, "book_id long, object_name string, value string")
+    path = f"{tmp_path}/objects"
+    write_objects(make([(b, f"{b}/1", "old") for b in range(50)]), path)
+    write_objects(make([(7, "7/1", "new"), (7, "7/2", "more"), (99, "99/1", "x")]), path)
+    got = {(r.book_id, r.object_name): r.value for r in spark.read.parquet(path).collect()}
+    assert len(got) == 52 and got[7, "7/1"] == "new" and got[8, "8/1"] == "old"
+    covers = spark.createDataFrame([(1, "k", "image/png", b"a"), (2, "k", "image/png", b"b")], "book_id long, object_key string, media_type string, bytes binary")
+    write_covers(covers, f"{tmp_path}/covers")
+    write_covers(covers.filter("book_id = 2").selectExpr("book_id", "'j' as object_key", "media_type", "bytes"), f"{tmp_path}/covers")
+    assert {(r.book_id, r.object_key) for r in spark.read.parquet(f"{tmp_path}/covers").collect()} == {(1, "k"), (2, "j")}
+
+
+def test_an_index_answers_only_limits_it_was_cut_for(spark):
+    import pytest
+
+    from vellum.plans.suggest import build_index, suggest
+    from vellum.registry import suggesting as reg
+    from vellum.operators.suggestions import suggestion_rows
+
+    b = reg.books(spark, FOLDER)
+    rows = suggestion_rows(b)
+    index = build_index(rows, b, limit=2)
+    assert suggest(reg.asked(spark, FOLDER), rows, b, limit=2, index=index).count() > 0
+    with pytest.raises(ValueError):
+        suggest(reg.asked(spark, FOLDER), rows, b, limit=3, index=index)
+
+
+def test_invalid_stored_chapters_stop_the_job_by_default(spark):
+    import pytest
+
+    from vellum.sources.stored import parse_chapters
+
+    lines = spark.createDataFrame([('{"chapterId":"c","chapterTitle":"t","chapterIndex":1}',), ('{"chapterId":""}',)], "value string")
+    with pytest.raises(Exception, match="invalid row"):
+        parse_chapters(lines)[0].collect()
+    good, bad = parse_chapters(lines, "dead_letter")
+    assert good.count() == 1 and bad.count() == 1
+
+
+def test_wide_vectors_are_searched_without_a_shuffle_of_points(spark):
+    import numpy as np
+
+    from vellum.operators.retrieval import dense_top_k
+
+    r = np.random.default_rng(5)
+    m = r.normal(size=(60, 1536)).astype("float32")
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "point_id long, vector array<float>")
+    queries = points.filter("point_id < 9").withColumnRenamed("point_id", "query_id")
+    found = dense_top_k(queries, points, 4, broadcast_bytes=20_000, block_bytes=50_000)
+    unit = m.astype("float64") / np.linalg.norm(m.astype("float64"), axis=1, keepdims=True)
+    want = {(q, rank): int(p) for q in range(9) for rank, p in enumerate(np.argsort(-(unit @ unit[q]))[:4])}
+    assert {(x.query_id, x.rank0): x.point_id for x in found.collect()} == want
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from vellum.session import clear_stages, stage_table
+
+    kept = stage_table(spark.range(5))
+    assert kept.count() == 5 and clear_stages(spark) >= 1

@@ -236,22 +236,25 @@ def _lists(spark, sf):
     d = table(spark, sf, "documents")
     k = F.col("doc_id")
     n = k.cast("string")
-    spine = d.select(F.col("source").alias("book_id"), k.cast("int").alias("pos"), F.concat(F.lit("d"), n).alias("id"))
+    # a book is a part of a source: as an archive does, it holds a bounded number of chapters
+    book = F.concat_ws("-", "source", F.floor(k / 400).cast("string")).alias("book_id")
+    spine = d.select(book, k.cast("int").alias("pos"), F.concat(F.lit("d"), n).alias("id"))
     items = d.filter(k % 13 != 0).select(
-        F.col("source").alias("book_id"), k.cast("int").alias("pos"), F.concat(F.lit("d"), n).alias("id"), F.concat(F.lit("text/"), n, F.lit(".xhtml")).alias("href"),
+        book, k.cast("int").alias("pos"), F.concat(F.lit("d"), n).alias("id"), F.concat(F.lit("text/"), n, F.lit(".xhtml")).alias("href"),
         F.when(k % 11 == 0, F.lit("image/png")).when(k % 2 == 0, F.lit("application/xhtml+xml")).alias("media_type"))
     marks = F.when(k % 6 == 0, F.array(F.lit(""), F.lit("#a"), F.lit("#b"), F.lit("#a"), F.lit("#p"))).when(k % 3 == 0, F.array(F.lit("")))
-    entries = d.filter(k % 3 == 0).select(F.col("source").alias("book_id"), k, F.posexplode(marks).alias("i", "mark"))
+    entries = d.filter(k % 3 == 0).select(book, k, F.posexplode(marks).alias("i", "mark"))
     title = F.when(F.col("mark") == "#p", F.concat(F.lit("page "), n)).otherwise(F.concat(F.lit("Section "), n, F.lit("."), F.col("i").cast("string")))
     contents = entries.select("book_id", (k * 10 + F.col("i")).cast("int").alias("pos"), F.concat(F.lit("./text/"), n, F.lit(".xhtml"), F.col("mark")).alias("href"), title.alias("title"))
     return spine, items, contents
 
 
-_FLOW = """flow AS (SELECT source AS book_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents WHERE doc_id % 13 <> 0)"""
-_SEG = """seg AS (SELECT *, lead(anchor) OVER (PARTITION BY doc_id ORDER BY i) AS next_anchor, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS segment FROM (
-    SELECT doc_id, source AS book_id, 0 AS i, NULL AS anchor, 'Section ' || doc_id || '.0' AS title FROM documents WHERE doc_id % 3 = 0
-    UNION ALL SELECT doc_id, source, 1, 'a', 'Section ' || doc_id || '.1' FROM documents WHERE doc_id % 6 = 0
-    UNION ALL SELECT doc_id, source, 2, 'b', 'Section ' || doc_id || '.2' FROM documents WHERE doc_id % 6 = 0))"""
+_BOOK = "source || '-' || (doc_id // 400)"
+_FLOW = f"""flow AS (SELECT {_BOOK} AS book_id, doc_id, row_number() OVER (PARTITION BY {_BOOK} ORDER BY doc_id) - 1 AS pos FROM documents WHERE doc_id % 13 <> 0)"""
+_SEG = f"""seg AS (SELECT *, lead(anchor) OVER (PARTITION BY doc_id ORDER BY i) AS next_anchor, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS segment FROM (
+    SELECT doc_id, {_BOOK} AS book_id, 0 AS i, NULL AS anchor, 'Section ' || doc_id || '.0' AS title FROM documents WHERE doc_id % 3 = 0
+    UNION ALL SELECT doc_id, {_BOOK}, 1, 'a', 'Section ' || doc_id || '.1' FROM documents WHERE doc_id % 6 = 0
+    UNION ALL SELECT doc_id, {_BOOK}, 2, 'b', 'Section ' || doc_id || '.2' FROM documents WHERE doc_id % 6 = 0))"""
 _DESC = f"""WITH {_FLOW}, {_SEG}, described AS (SELECT f.book_id, f.doc_id, f.pos, s.anchor, s.next_anchor, s.title, s.segment,
     row_number() OVER (PARTITION BY f.book_id ORDER BY f.pos, coalesce(s.segment, 0)) AS chapter_index
   FROM flow f LEFT JOIN seg s USING (doc_id) WHERE f.doc_id % 11 <> 0)"""

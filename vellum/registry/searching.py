@@ -362,11 +362,11 @@ def l8(spark, sf):
 
 
 @R.add("l6_final_page_order", """
-  SELECT c_nationkey AS query_id, c_custkey AS book_id, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment
+  SELECT c_custkey // 100 AS query_id, c_custkey AS book_id, row_number() OVER (PARTITION BY c_custkey // 100, c_mktsegment
     ORDER BY CASE WHEN c_custkey % 3 = 0 THEN 0.5::DOUBLE ELSE round(c_acctbal / 1000) END DESC, c_custkey::VARCHAR)::INTEGER AS page_rank FROM customer""")
 def l6(spark, sf):
     page = table(spark, sf, "customer").select(
-        F.col("c_nationkey").alias("query_id"), F.col("c_custkey").alias("book_id"), F.col("c_mktsegment").alias("offset"),
+        F.floor(F.col("c_custkey") / 100).alias("query_id"), F.col("c_custkey").alias("book_id"), F.col("c_mktsegment").alias("offset"),
         F.round(F.col("c_acctbal") / 1000).alias("score"), F.when(F.col("c_custkey") % 3 == 0, 0.5).alias("rerank_score"))
     return ranking.final_order(page).select("query_id", "book_id", "page_rank")
 
