@@ -46,6 +46,11 @@ def test_trigrams_match_published_examples(spark):
     assert trigram.with_word_similarity(listed, "a", "b", "ws").first().ws == pytest.approx(0.8)
 
 
+def test_image_references(spark):
+    page = """<img alt=x src=a.png><img src='b&amp;c.png'><image xlink:href="d.svg"/><object data=e.gif type=x></object><img data="no.png"><p style=x><div style="background:url(f.jpg)">"""
+    assert value(spark, html.image_references(F.lit(page))) == ["a.png", "b&c.png", "d.svg", "e.gif", "f.jpg"]
+
+
 def test_paths(spark):
     path = lambda p: value(spark, keys.normalize_path(F.lit(p)))
     assert path("/a/../../b/./c") == "b/c" and path("..\\x\\..\\y") == "../y" and path("") == "."

@@ -159,14 +159,14 @@ def css_urls(c: Column) -> Column:
 
 
 def image_references(html: Column) -> Column:
-    """Distinct image targets of a document in the order of their kinds."""
-    value = r"""\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    """Distinct image targets of a document in the order of their kinds; attributes may stand without quotes, references are decoded."""
+    value = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|[^\s"'>]+)"""
     tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:img|image|object)\b[^>]*>"), F.lit(0))
 
     def attribute(tag: Column, name: str) -> Column:
         found = F.regexp_extract(tag, rf"(?i)[\s\"']{name}{value}", 0)
         return F.when(
-            F.length(found) > 0, F.regexp_replace(found, r"""(?i)^[^=]*=\s*["']|["']$""", "")
+            F.length(found) > 0, decode_entities(F.regexp_replace(found, r"""(?i)^[^=]*=\s*["']?|["']$""", ""))
         )
 
     def target(tag: Column) -> Column:
