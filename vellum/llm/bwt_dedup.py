@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from vellum.llm.textbytes import Prefix, flat, mix
 
 #: Bytes of text in a shard, and entries that one range of symbols or strings holds at a time.
-SHARD_BYTES, RANGE_ENTRIES = 4 << 20, 1_000_000
+SHARD_BYTES, RANGE_ENTRIES = 2 << 20, 1_000_000
 #: Phrases of common prefix that the merge refines to, and bytes whose hash places phrase borders.
 DEPTH, GRAM = 3, 8
 _MESSAGE = "bucket bigint, shard bigint, kind int, data binary"

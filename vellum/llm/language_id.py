@@ -17,8 +17,8 @@ from vellum.llm.textbytes import mix
 BITS, ORDERS, FIT_ROWS = 16, (1, 2, 3), 20_000
 #: Languages that one model may hold; the matrix has this many columns at most.
 MAX_LANGUAGES = 1_000
-#: Characters scored at once, which bounds a worker's arrays.
-_BATCH_CHARS = 1 << 20
+#: Characters and rows scored at once, which bounds a worker's arrays.
+_BATCH_CHARS, _BATCH_ROWS = 1 << 18, 1_000
 _letters: list[np.ndarray] = []
 
 
@@ -97,7 +97,7 @@ class Model:
 def _count(bits: int, orders: tuple[int, ...], slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (b.slice(at, _BATCH_ROWS) for b in batches for at in range(0, b.num_rows, _BATCH_ROWS)):
             langs = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
             for lang in set(langs):
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, _BATCH_ROWS) for b in batches for at in range(0, b.num_rows, _BATCH_ROWS)):
             lang, score = shared.value.score(batch.column(own.index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*own, "lang_pred", "score"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from vellum.llm.textbytes import Prefix, combine, covered, flat, mix, starts_inside, words
 
 #: Bytes of text that one task holds at a time, and suffixes of one subtree group.
-SHARD_BYTES, GROUP_SUFFIXES = 4 << 20, 1_000_000
+SHARD_BYTES, GROUP_SUFFIXES = 2 << 20, 1_000_000
 #: Heavy prefixes that may be broadcast; groups grow before the table does.
 MAX_PREFIXES = 1_000_000
 
