@@ -33,7 +33,7 @@ _HIDDEN, _BOILER, _BLOCKS, _VOID, _AROUND = map(frozenset, (HIDDEN, BOILERPLATE,
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-_SPACES = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
+_SPACES = re.compile(r"\s+")
 #: Starting weights, used for tags that no labelled page shows.
 WORD, TAG, HEADING, AROUND, LOWEST = 2.0, -1.5, -0.25, -0.5, -6.0
 
@@ -163,7 +163,7 @@ def _blocks(chosen: list[Piece]) -> list[str]:
     open_: list[str] = []
 
     def close() -> None:
-        text = _SPACES.sub(" ", html.unescape("".join(open_))).strip(" ")
+        text = _SPACES.sub(" ", html.unescape("".join(open_))).strip()
         open_.clear()
         if text:
             out.append(text)
