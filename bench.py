@@ -14,7 +14,7 @@ from vellum.session import local_session  # noqa: E402
 
 HEADLINE = [
     "a4_corpus_stats", "l1_dense_top_k", "l2_bm25_top_k", "p3_hybrid_search", "p5_suggest", "x11_html_to_text", "g1_text_splitter",
-    "p2_vectorize", "t4_idempotent_consumption", "t5_projection", "t6_state_machine", "w6_batch_packing", "j9_reconcile", "j14_upsert",
+    "p2_vectorize", "t4_idempotent_consumption", "t5_projection", "t6_state_machine", "w6_batch_packing", "j9_reconcile", "j14_upsert", "p1_unpack_books", "p4_search",
 ]
 
 

@@ -13,7 +13,7 @@ from vellum.functions.html import html_to_text
 from vellum.functions.keys import point_id
 from vellum.operators.chunking import indexable, split_to_rows
 from vellum.operators.embedding import embed_by_hash
-from vellum.operators.points import replace_chapters
+from vellum.operators.points import check_dimension, replace_chapters
 from vellum.session import stage_table
 
 KEYS = ["book_id", "chapter_id"]
@@ -35,14 +35,15 @@ def chunk_chapters(chapters: DataFrame, max_chars: int = CHUNK_CHARS, overlap: i
 
 def vectorize(
     chapters: DataFrame, existing: DataFrame | None = None, embedder: Callable[[DataFrame], DataFrame] = embed_by_hash,
-    min_chars: int = MIN_CHUNK_CHARS, completed_books: DataFrame | None = None, strict_reference: bool = False,
+    min_chars: int = MIN_CHUNK_CHARS, completed_books: DataFrame | None = None, strict_reference: bool = False, dim: int | None = None,
 ) -> Vectorized:
     """Point table after the change, chunks_count per chapter, and chapters that could not be split.
 
     The chunk table is staged, so texts are split once. Old points of the given
     chapters go first; a chapter with an error keeps its old points and is not
     recorded. Points of a book that is already complete are searchable at once;
-    `strict_reference` leaves them hidden, as the original does.
+    `strict_reference` leaves them hidden, as the original does. With `dim` a
+    vector of another size stops the job.
     """
     split = stage_table(chunk_chapters(chapters))
     errors = split.filter("split_error is not null").select(*KEYS, F.col("split_error").alias("error"))
@@ -54,6 +55,8 @@ def vectorize(
             "is_searchable": F.lit(False),
         }
     )
+    if dim is not None:
+        points = check_dimension(points, dim)
     if completed_books is not None and not strict_reference:
         done = completed_books.select("book_id", F.lit(True).alias("_done")).distinct()
         points = points.join(done, "book_id", "left").withColumn("is_searchable", F.coalesce("_done", F.lit(False))).drop("_done")

@@ -457,7 +457,7 @@ _TEXT = f"CASE WHEN page_id % 9 = 0 THEN 'short' ELSE {paragraphs_sql(html_text_
 def p2(spark, sf):
     """Chapters with at least one point, and points of finished books open to search."""
     chapters = page_chapters(spark, sf)
-    points, recorded, _ = vectorize(chapters, completed_books=chapters.filter("book_id = 3").select("book_id"))
+    points, recorded, _ = vectorize(chapters, completed_books=chapters.filter("book_id = 3").select("book_id"), dim=64)
     flags = points.groupBy("chapter_id").agg(F.bool_and("is_searchable").alias("searchable"))
     return recorded.join(flags, "chapter_id", "left").select("chapter_id", (F.col("chunks_count") > 0).alias("indexed"), F.coalesce("searchable", F.lit(False)).alias("searchable"))
 
