@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.text import let
 from vellum.session import broadcast_if_small
 
 #: Digests up to which the known table is broadcast; more are joined by a shuffle.
@@ -60,18 +61,24 @@ def canonical(text: Column) -> Column:
     # whole lines that only say who holds the copyright, and "all rights reserved"
     kept = F.regexp_replace(F.lower(text), r"(?m)^[^\p{L}\p{N}\n©]*(?:copyright\b[^\n]{0,2}|\(c\)|©)\s*(?:\(c\)|©|[0-9<\[{]|by\b|copyright\b)[^\n]*$", " ")
     kept = F.regexp_replace(kept, r"(?m)^\W*all rights reserved\W*$", " ")
-    plain = F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " "))
+    return let(F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " ")), _one_spelling)
+
+
+def _one_spelling(plain: Column) -> Column:
+    """Equivalent words in one spelling; a text that holds none of them, found by one hash lookup per word, is done."""
     said = F.concat(F.lit(" "), F.replace(plain, F.lit(" "), F.lit("  ")), F.lit(" "))
     for was, now in SPELLINGS:
         # blanks are doubled, so that neighbouring words do not share one
         said = F.replace(said, F.lit(f" {was.replace(' ', '  ')} "), F.lit(f" {now.replace(' ', '  ')} "))
-    return F.trim(F.replace(said, F.lit("  "), F.lit(" ")))
+    # of several words the longest has to be there
+    told = sorted({max(was.split(), key=len) for was, _ in SPELLINGS})
+    respelled = F.trim(F.replace(said, F.lit("  "), F.lit(" ")))
+    return F.when(F.arrays_overlap(F.split(plain, " "), F.array(*[F.lit(w) for w in told])), respelled).otherwise(plain)
 
 
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form; null for null texts and texts without a letter or digit."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+    return let(canonical(text), lambda form: F.when(form != "", F.sha2(form, 256)))
 
 
 def known_digests(licenses: DataFrame, license_id: str = "license_id", text: str = "text") -> DataFrame:
