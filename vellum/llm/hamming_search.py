@@ -1,10 +1,10 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A code is cut into m segments, each with an index from segment value to codes.
-Two codes at distance d differ by at most d // m bits in some segment, so after
-all segments were searched to radius r, every code up to distance
-m (r + 1) - 1 has been seen. The radius grows for those queries whose kth
-verified distance is not yet covered.
+After all segments were searched to radius r - 1 and the first j + 1 of them to
+radius r, every code up to distance m r + j has been seen: a code further than
+that in each segment differs in m r + j + 1 bits. The radius grows, segment by
+segment, for those queries whose kth verified distance is not yet covered.
 """
 
 from __future__ import annotations
@@ -26,18 +26,40 @@ def sign_bits(vector: Column, dims: int) -> list[Column]:
     return [F.aggregate(F.slice(padded, at + 1, min(64, dims - at)), F.lit(0).cast("long"), bit) for at in range(0, dims, 64)]
 
 
-def segments(dims: int, rows: int) -> list[tuple[int, int, int]]:
-    """(word, shift, bits) of segments of about log2(rows) bits, none across two words, at most 16 bits so that masks stay few."""
-    width = max(4, min(16, round(math.log2(max(2, rows)))))
+def segments(dims: int, count: int) -> list[tuple[int, int, int]]:
+    """(word, shift, bits) of at least `count` segments of about equal width, none across two words."""
     out = []
     for word in range(-(-dims // 64)):
         bits = min(64, dims - 64 * word)
-        count = -(-bits // width)
-        edge = [bits * k // count for k in range(count + 1)]
-        out += [(word, a, b - a) for a, b in zip(edge, edge[1:])]
+        own = max(1, -(-count * bits // dims))
+        edge = [bits * k // own for k in range(own + 1)]
+        out += [(word, a, b - a) for a, b in zip(edge, edge[1:]) if b > a]
     return out
 
 
+def expected_distance(dims: int, rows: int, k: int) -> int:
+    """Distance within which k of `rows` random codes lie."""
+    total, d = 0, 0
+    while True:
+        total += math.comb(dims, d)
+        if d == dims or rows * total >= k * 2**dims:
+            return d
+        d += 1
+
+
+def best_segments(dims: int, rows: int, k: int) -> list[tuple[int, int, int]]:
+    """The cut with the least expected probes and candidates of a query, as if codes were random."""
+    far = expected_distance(dims, rows, k)
+
+    def work(parts: list[tuple[int, int, int]]) -> float:
+        radius, last = divmod(far, len(parts))
+        probes = [sum(math.comb(b, r) for r in range(radius + (j <= last))) for j, (_, _, b) in enumerate(parts)]
+        return sum(p * (1 + rows / 2.0**b) for p, (_, _, b) in zip(probes, parts))
+
+    cuts = [segments(dims, m) for m in range(max(1, -(-dims // 24)), max(2, dims // 4 + 1))]
+    return min(cuts, key=work)
+
+
 def _masks(bits: int, radius: int) -> list[int]:
     """All patterns of `radius` set bits."""
     return [sum(1 << b for b in chosen) for chosen in combinations(range(bits), radius)] if radius <= bits else []
@@ -47,6 +69,7 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10, point_id: str = "v
     """(query_id, rank, neighbor_id, distance) of the k nearest points of every query; ties go to the smaller id.
 
     Both tables hold ids and vectors; codes are the signs of the components.
+    The number of segments is the one with the least expected work.
     Equal codes are one entry of the index, with their k smallest ids (cut
     inside the tasks before anything is shuffled), and equal queries are
     searched once. A code is accepted only from the segment that finds it first
@@ -61,7 +84,7 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10, point_id: str = "v
     empty = points.sparkSession.createDataFrame([], "query_id bigint, rank int, neighbor_id bigint, distance int")
     if not n_bits:
         return empty
-    parts = segments(n_bits, rows)
+    parts = best_segments(n_bits, rows, k)
     words = [f"w{i}" for i in range(-(-n_bits // 64))]
     coded = lambda df: df.filter(F.col(vector).isNotNull() & F.col(point_id).isNotNull()).select(
         F.col(point_id).alias("id"), *[c.alias(w) for w, c in zip(words, sign_bits(F.col(vector), n_bits))])
@@ -69,32 +92,40 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10, point_id: str = "v
     codes = coded(points).distinct().withColumn("n", F.row_number().over(nth)).filter(F.col("n") <= k)
     codes = stage_table(codes.groupBy(*words).agg(F.sort_array(F.collect_list("id")).alias("ids")))
     asked = stage_table(coded(queries).distinct())
+    total = codes.agg(F.sum(F.size("ids"))).first()[0] or 0
     piece = lambda w, s, b: F.shiftrightunsigned(F.col(w), s).bitwiseAND(F.lit((1 << b) - 1))
     index = codes.select("*", F.posexplode(F.array(*[piece(words[w], s, b) for w, s, b in parts])).alias("seg", "value"))
     query_words = [f"q{w}" for w in words]
     open_ = asked.select(*[F.col(w).alias(q) for w, q in zip(words, query_words)]).distinct().withColumn("worst", F.lit(None).cast("int"))
     done = []
     best = None
-    for radius in range(max(b for _, _, b in parts) + 1):
-        probes = F.concat(*[_probes(j, piece(query_words[w], s, b), b, radius) for j, (w, s, b) in enumerate(parts) if radius <= b])
-        asked_for = open_.select("*", F.explode(probes).alias("p")).select(*query_words, "worst", "p.seg", "p.value")
-        apart = [F.bit_count(piece(words[w], s, b).bitwiseXOR(piece(query_words[w], s, b))) for w, s, b in parts]
-        first = F.lit(False)
-        for j in range(len(parts)):
-            first = first | ((F.col("seg") == j) & _all([a > radius for a in apart[:j]]) & _all([a >= radius for a in apart[j + 1 :]]))
-        distance = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(q))) for w, q in zip(words[1:], query_words[1:])), F.bit_count(F.col(words[0]).bitwiseXOR(F.col(query_words[0]))))
-        found = index.join(asked_for, ["seg", "value"]).filter(first).withColumn("distance", distance.cast("int"))
-        found = found.filter(F.col("worst").isNull() | (F.col("distance") <= F.col("worst"))).select(*query_words, "distance", F.explode("ids").alias("id"))
-        if best is not None:
-            found = best.unionByName(found)
-        place = W.partitionBy(*query_words).orderBy("distance", "id")
-        best = stage_table(found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select(*query_words, "distance", "id"))
-        covered = len(parts) * (radius + 1) - 1
+    # radii that the expected distance goes beyond are searched at once, then one segment after another
+    sure = expected_distance(n_bits, rows, k) // len(parts)
+    steps = [([(r, j) for r in range(sure) for j in range(len(parts))], len(parts) * sure - 1)] if sure else []
+    steps += [([(r, j)], len(parts) * r + j) for r in range(sure, max(b for _, _, b in parts) + 1) for j in range(len(parts))]
+    apart = [F.bit_count(piece(words[w], s, b).bitwiseXOR(piece(query_words[w], s, b))) for w, s, b in parts]
+    first = F.lit(False)
+    for j in range(len(parts)):
+        ahead = _all([a > F.col("radius") for a in apart[:j]]) & _all([a >= F.col("radius") for a in apart[j + 1 :]])
+        first = first | ((F.col("seg") == j) & ahead)
+    distance = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(q))) for w, q in zip(words[1:], query_words[1:])), F.bit_count(F.col(words[0]).bitwiseXOR(F.col(query_words[0]))))
+    for searched, covered in steps:
+        wanted = [(j, w, s, b, r) for r, j in searched for w, s, b in [parts[j]] if r <= b]
+        if wanted:
+            probes = F.concat(*[_probes(j, piece(query_words[w], s, b), b, r) for j, w, s, b, r in wanted])
+            asked_for = open_.select("*", F.explode(probes).alias("p")).select(*query_words, "worst", "p.seg", "p.value", "p.radius")
+            # the planner takes the probes for as few as the queries they are made from, so the join is named
+            found = index.join(asked_for.hint("merge"), ["seg", "value"]).filter(first).withColumn("distance", distance.cast("int"))
+            found = found.filter(F.col("worst").isNull() | (F.col("distance") <= F.col("worst"))).select(*query_words, "distance", F.explode("ids").alias("id"))
+            if best is not None:
+                found = best.unionByName(found)
+            place = W.partitionBy(*query_words).orderBy("distance", "id")
+            best = stage_table(found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select(*query_words, "distance", "id"))
         state = open_.drop("worst").join(best.groupBy(*query_words).agg(F.count("*").alias("n"), F.max("distance").alias("far")), query_words, "left")
-        state = stage_table(state.withColumn("worst", F.when(F.col("n") >= k, F.col("far"))).select(*query_words, "worst"))
-        ready = F.coalesce(F.col("worst") <= covered, F.lit(False))
-        open_ = state.filter(~ready)
+        state = stage_table(state.withColumn("worst", F.when(F.col("n") >= k, F.col("far"))).select(*query_words, "worst", "n"))
+        ready = F.coalesce(F.col("worst") <= covered, F.lit(False)) | (F.coalesce("n", F.lit(0)) >= total)
         done.append(best.join(state.filter(ready), query_words, "left_semi"))
+        open_ = state.filter(~ready).drop("n")
         if open_.limit(1).count() == 0:
             break
         best = best.join(open_, query_words, "left_semi")
@@ -111,9 +142,9 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10, point_id: str = "v
 
 
 def _probes(segment: int, value: Column, bits: int, radius: int) -> Column:
-    """(segment, value) of all values that differ from `value` in `radius` bits."""
+    """(segment, value, radius) of all values that differ from `value` in `radius` bits."""
     masks = F.expr(f"array({', '.join(f'{m}L' for m in _masks(bits, radius))})")
-    return F.transform(masks, lambda m: F.struct(F.lit(segment).alias("seg"), value.bitwiseXOR(m).alias("value")))
+    return F.transform(masks, lambda m: F.struct(F.lit(segment).alias("seg"), value.bitwiseXOR(m).alias("value"), F.lit(radius).alias("radius")))
 
 
 def _all(conditions: list[Column]) -> Column:
