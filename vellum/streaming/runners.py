@@ -18,7 +18,7 @@ Step = Callable[[DataFrame, int], None]
 
 
 #: Folders of the log of processed ids; a micro-batch reads those of its own ids.
-ID_SLOTS = 64
+ID_SLOTS = 16
 
 
 def id_slot(id_: Column) -> Column:
@@ -59,7 +59,7 @@ def once(effect: Step, processed: str) -> Step:
         fresh = unprocessed(batch, seen.select("id"), [F.col("occurred_at")], key="id").persist()
         try:
             effect(fresh, number)
-            write_batch(fresh.select("id", id_slot(F.col("id")).alias("slot")), processed, number, "slot")
+            write_batch(fresh.select("id", id_slot(F.col("id")).alias("slot")).repartition("slot"), processed, number, "slot")
         finally:
             fresh.unpersist()
 
