@@ -35,6 +35,24 @@ def test_region_is_the_best_of_all():
         assert sum(s[a:b]) == best and (best > 0 or a == b)
 
 
+def test_labelled_pages_are_scanned():
+    """A label is a bonus in the score: weights and scan choose the region of labelled pages too."""
+    said = lambda page, w=html_extraction.Weights(): html_extraction.main_blocks(page, w)
+    story = "".join(f"<p>Paragraph {k} of the story has quite a few words.</p>" for k in range(6))
+    lines = [f"Paragraph {k} of the story has quite a few words." for k in range(6)]
+    links = "<ul>" + "".join(f"<li><a href='/{k}'>Other {k}</a></li>" for k in range(9)) + "</ul>"
+    thread = "<div><p>Nobody named this thread of answers.</p></div>"
+    # <main> counts only without <article>
+    assert said(f"<main><article>{story}</article>{thread}</main>") == lines
+    assert said(f"<main>{story}</main>{thread}") == lines
+    # a list of links inside the article is scored out, a link does not cut its paragraph
+    assert said(f"<article>{story}<p>Read <a>this</a></p>{links}</article>", html_extraction.Weights(2.0, {"a": -6.0, "p": -0.5})) == [*lines, "Read this"]
+    # a teaser marked as an article does not hide the text of the page
+    assert said(f"<article><p>Just a teaser</p></article><div>{story * 2}</div>")[-12:] == lines * 2
+    # two articles side by side are one region
+    assert said(f"<article>{story}</article>\n<article>{story}</article>") == lines * 2
+
+
 def test_extraction_of_odd_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain words only"), (3, "u", "plain words only"), (None, "u", "<p>x"), (4, "u", "<article>" + "<p>long words</p>" * 20000 + "</article>"), (5, "u", "<article>a < b <b>c</b")]
     df = spark.createDataFrame([(*r, "mine", 9) for r in rows], "page_id bigint, url string, html string, text string, n_chars int")

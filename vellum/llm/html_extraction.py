@@ -36,6 +36,8 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _SPACES = re.compile(r"\s+")
 #: Starting weights, used for tags that no labelled page shows.
 WORD, TAG, HEADING, AROUND, LOWEST = 2.0, -1.5, -0.25, -0.5, -6.0
+#: How many times its own score the region inside the labelled element counts against the best one of the whole page.
+LABEL_BONUS = 2.0
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -78,28 +80,32 @@ class Piece:
 
     __slots__ = ("kind", "name", "text", "around", "label")
 
-    def __init__(self, kind: str, name: str, text: str, around: bool, label: bool) -> None:
+    def __init__(self, kind: str, name: str, text: str, around: bool, label: int) -> None:
         self.kind, self.name, self.text, self.around, self.label = kind, name, text, around, label
 
 
 def pieces(page: str) -> list[Piece]:
-    """Tokens of a page. `around`: inside an element that stands around an article; `label`: inside <article> or <main>."""
+    """Tokens of a page. `around`: inside an element that stands around an article; `label`: inside <article>; inside <main> where no <article> has text."""
     out: list[Piece] = []
     stack: list[tuple[str, bool]] = []
-    around = labelled = 0
+    around = articles = mains = 0
 
     def leave() -> None:
-        nonlocal around, labelled
+        nonlocal around, articles, mains
         name, was = stack.pop()
         around -= was
-        labelled -= name in ("article", "main")
+        articles -= name == "article"
+        mains -= name == "main"
+
+    def level() -> int:
+        return 2 if articles else 1 if mains else 0
 
     for kind, name, rest in tokens(page):
         if kind == "text":
-            out.append(Piece("text", "", name, around > 0, labelled > 0))
+            out.append(Piece("text", "", name, around > 0, level()))
         elif kind == "open":
             # the header of an article is a part of it, unless it names what stands around
-            own = name in _HIDDEN or name in _BOILER and not (name == "header" and labelled) or _named_around(rest) and name not in ("html", "body", "main", "article")
+            own = name in _HIDDEN or name in _BOILER and not (name == "header" and level()) or _named_around(rest) and name not in ("html", "body", "main", "article")
             if name == "article" and around == 0 and rest and _named_around(rest):
                 own = bool(re.search(r"comment|reply|sponsor|advert|promo", rest, re.I))
             if name == "p":  # a paragraph ends where the next begins
@@ -113,8 +119,9 @@ def pieces(page: str) -> list[Piece]:
             if name not in _VOID and not rest.rstrip().endswith("/"):
                 stack.append((name, own))
                 around += own
-                labelled += name in ("article", "main")
-            out.append(Piece("tag", name, "", around > 0 or own, labelled > 0))
+                articles += name == "article"
+                mains += name == "main"
+            out.append(Piece("tag", name, "", around > 0 or own, level()))
         else:
             if any(n == name for n, _ in stack):
                 # an end tag closes what is still open inside, but an inline one does not leave a block
@@ -125,7 +132,10 @@ def pieces(page: str) -> list[Piece]:
                 else:
                     _, was = stack.pop(k)
                     around -= was
-            out.append(Piece("tag", "/" + name, "", around > 0, labelled > 0))
+            out.append(Piece("tag", "/" + name, "", around > 0, level()))
+    least = max((p.label for p in out if p.kind == "text" and not p.around and p.text.strip()), default=1) or 1
+    for p in out:
+        p.label = p.label >= least
     return out
 
 
@@ -178,25 +188,37 @@ def _blocks(chosen: list[Piece]) -> list[str]:
     return out
 
 
+def _whole_blocks(found: list[Piece], start: int, end: int) -> tuple[int, int]:
+    """The region with the rest of its first and last block, so that a link does not cut a paragraph."""
+    inline = lambda p: p.label and (p.kind == "text" or p.name.lstrip("/") not in _BLOCKS)
+    while start > 0 and inline(found[start]) and inline(found[start - 1]):
+        start -= 1
+    while end < len(found) and inline(found[end - 1]) and inline(found[end]):
+        end += 1
+    return start, end
+
+
 def main_blocks(page: str | None, weights: Weights) -> list[str]:
     """Blocks of the article of a page.
 
-    Where a page says which element is its article (<article>, else <main>),
-    the region is searched inside that element; else over the whole page. A
-    region may run over an advert or notice in the middle: what stands around
-    an article is left out of the text wherever it is.
+    The scan chooses the region on every page. Where a page says which element
+    is its article (<article>, else <main>), the best region inside it counts
+    LABEL_BONUS times its score; it gives way to the best region of the whole
+    page only if that scores more. A region may run over an advert or notice
+    in the middle: what stands around an article is left out of the text
+    wherever it is.
     """
     if not page:
         return []
     found = pieces(page)
-    if any(p.label and p.kind == "text" and not p.around and p.text.strip() for p in found):
-        # labelled content is taken whole: outside it nothing can score
-        scores = [max(weights.score(p), 0.0) if p.label and not p.around else 0.0 if p.label else -1e9 for p in found]
-        if sum(1 for a, b in zip([False] + [p.label for p in found], [p.label for p in found]) if b and not a) > 1:
-            scores = [max(s, 0.0) for s in scores]
-        start, end = best_region(scores)
-        return _blocks([p for p in found[start:end] if p.label])
-    start, end = best_region([weights.score(p) for p in found])
+    scores = [weights.score(p) for p in found]
+    start, end = best_region(scores)
+    # outside the labelled element nothing scores, but tags between two labelled elements cost what they cost
+    inside = [s if p.label else min(s, 0.0) for s, p in zip(scores, found)]
+    first, last = best_region(inside)
+    if first < last and LABEL_BONUS * sum(inside[first:last]) >= sum(scores[start:end]):
+        first, last = _whole_blocks(found, first, last)
+        return _blocks([p for p in found[first:last] if p.label])
     return _blocks(found[start:end])
 
 
