@@ -214,3 +214,22 @@ def test_licence_digests(spark):
     lines = license_scan.scan_lines(df.filter("doc_id = 7").limit(1), license_scan.published(spark)).collect()
     assert [(r.line_no, r.license_id) for r in lines] == [(0, "MIT-statement")]
     assert license_scan.scan(df.limit(0), license_scan.published(spark)).count() == 0
+
+
+def test_copyright_notices_end(spark):
+    """Only the notice goes: what follows on its line, and clauses numbered (c), count."""
+    mit = dict(license_scan.KNOWN)["MIT"]
+    flat = " ".join(mit.split())
+    head, body = "Copyright (c) <year> <copyright holders>", flat.split("holders> ", 1)[1]
+    mits = {f"{opening} {body}" for opening in (
+        "MIT License Copyright 2020 X.", "MIT License Copyright (c) 2020-2024 Acme, Inc.", "MIT License Copyright (c) 2020 J. R. Smith and others", "MIT License\n(c) 2019, 2021 Acme GmbH.\n",
+        "MIT License\nCopyright © 2020 A\nCopyright 2021 B. All rights reserved.\n", "MIT License\n© Copyright 2020 by A, B and C <a@b.org>\n", "MIT License\nCopyright (c) Acme Inc. and contributors\n")}
+    article = "tells at length and with no stop " * 20
+    others = [mit + "\n(c) 30 days after notice this ends.", mit + "\n(c) [..]", mit + "\n(c) copies are counted", f"(c) 2024 Acme {article}\nReleased under the MIT License.", f"(c) 2024 Acme. {article}", f"Copyright 2020 X. {body} And more.",
+              f"Copyright 2020 X {article}", mit.replace(head, head + " " + article)]
+    rows = [(t,) for t in [*sorted(mits), *others, "Copyright 2020 X. Released under the MIT License.", "(c) 2020 Acme"]]
+    got = {r.text: r for r in license_scan.scan(spark.createDataFrame(rows, "text string"), license_scan.published(spark)).collect()}
+    assert {t for t in mits if got[t].license_id != "MIT"} == set()
+    assert all(got[t].license_id is None and got[t].license_digest for t in others) and len({got[t].license_digest for t in others}) == len(others)
+    assert got["Copyright 2020 X. Released under the MIT License."].license_id == "MIT-statement"
+    assert got["(c) 2020 Acme"].license_digest is None

@@ -1,7 +1,7 @@
 """Licence scan by canonical digest; DataFrame functions only.
 
 A text is a licence if its canonical form is that of a known one: lower case,
-no copyright lines, no punctuation, one spelling of equivalent words. The hash
+no copyright notices, no punctuation, one spelling of equivalent words. The hash
 join compares whole texts; nothing is looked up by prefix.
 """
 
@@ -56,10 +56,29 @@ KNOWN = [
 ]
 
 
+_SIGN, _GAP = r"(?:\(c\)|©)", r"[^\p{L}\p{N}\n(©<\[{]{0,3}"
+_YEARS = r"(?:19|20)\d\d\b(?:[^\S\n]*[-–,][^\S\n]*(?:(?:19|20)\d\d|\d\d|present|now)\b)*"
+_BLANK = r"[<\[{][^\n<>\[\]{}]{1,60}[>\]}]"
+# how a notice opens: "(c)" says so only beside "copyright" or a year, and inside a line only "copyright" with a year does
+_OPENING = (
+    rf"(?:^[^\p{{L}}\p{{N}}\n©]*(?:copyright\b{_GAP}(?:{_SIGN}{_GAP}(?:{_YEARS}|{_BLANK})?|{_YEARS}|{_BLANK}|by\b)"
+    rf"|{_SIGN}{_GAP}(?:copyright\b{_GAP}(?:{_SIGN}{_GAP})?(?:{_YEARS}|{_BLANK}|by\b)?|{_YEARS})|©{_GAP}(?:{_BLANK}|by\b))"
+    rf"|\bcopyright\b{_GAP}(?:{_SIGN}{_GAP})?{_YEARS})"
+)
+# words that open a grant, where a text flattened to one line goes on after the holder
+_GRANT = rf"\b(?:permission (?:is|to)\b|redistribution and use\b|licensed under\b|released under\b|all rights reserved\b|this (?:software|program|work|file|library|code)\b|copyright[^\S\n]+(?:{_SIGN}|(?:19|20)\d\d))"
+#: Code points of a holder at most; where neither a sentence, a line nor a grant says that it ends, only marker and years go.
+HOLDER = 120
+_NOTICE = (
+    rf"(?m){_OPENING}(?:[^\n]{{0,{HOLDER}}}?(?:(?<!\b\p{{L}})(?<!\b(?:inc|ltd|corp|co|llc|jr|sr|dr|univ))\.(?=\s|$)|(?={_GRANT})|[^\S\n]*$))?"
+    r"(?:\.?[^\S\n]*all rights reserved\b\.?)?"
+)
+
+
 def canonical(text: Column) -> Column:
-    """Case, copyright lines, punctuation, spellings and white space made equal; null stays null."""
-    # whole lines that only say who holds the copyright, and "all rights reserved"
-    kept = F.regexp_replace(F.lower(text), r"(?m)^[^\p{L}\p{N}\n©]*(?:copyright\b[^\n]{0,2}|\(c\)|©)\s*(?:\(c\)|©|[0-9<\[{]|by\b|copyright\b)[^\n]*$", " ")
+    """Case, copyright notices, punctuation, spellings and white space made equal; null stays null."""
+    # only the notice itself goes, not what follows it on its line; and lines that only say "all rights reserved"
+    kept = F.regexp_replace(F.lower(text), _NOTICE, " ")
     kept = F.regexp_replace(kept, r"(?m)^\W*all rights reserved\W*$", " ")
     return let(F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " ")), _one_spelling)
 
@@ -77,7 +96,7 @@ def _one_spelling(plain: Column) -> Column:
 
 
 def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form; null for null texts and texts without a letter or digit."""
+    """SHA-256 of the canonical form; null for null texts and texts without a letter or digit outside copyright notices."""
     return let(canonical(text), lambda form: F.when(form != "", F.sha2(form, 256)))
 
 
