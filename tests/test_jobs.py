@@ -8,9 +8,9 @@ from vellum.registry import events as ev
 from vellum.registry import searching
 from vellum.registry.ingest import make_archive
 from vellum.sources.archives import scan_archives
-from vellum.sources.events import append_outbox, file_stream
+from vellum.sources.events import append_outbox, build_events, file_stream, route_outbox
 from vellum.streaming.envelope import with_payload
-from vellum.streaming.runners import projection
+from vellum.streaming.runners import projection, vectorize_stream, write_batch
 
 FOLDER = "/root/testdata/sf0.001"
 PAGE = "<html><body><h1>Head</h1><p>text</p><footer>end</footer></body></html>"
@@ -146,3 +146,28 @@ def test_staged_tables_can_be_cleared(spark):
 
     kept = stage_table(spark.range(5))
     assert kept.count() == 5 and clear_stages(spark) >= 1
+
+
+def test_chapters_announced_alone_are_checked_as_well(spark, tmp_path):
+    """A lost object and one that holds another chapter go to the broken ones; the other chapter is not vectorised in its place."""
+    folder = f"file://{tmp_path}"
+    told = spark.createDataFrame([(1, "a", 1, "o/a"), (1, "lost", 2, "o/lost"), (1, "b", 3, "o/b"), (1, "c", 4, "o/c"), (1, "d", 5, "o/d")], "book_id long, chapter_id string, chapter_index int, path string")
+    events = build_events(told, "ChapterExtracted", {"bookId": F.col("book_id").cast("string"), "chapterId": F.col("chapter_id"), "chapterIndex": F.col("chapter_index"),
+                                                     "bucket": F.lit("b"), "s3FilePath": F.col("path"), "coverS3FilePath": F.lit(None).cast("string")}, F.col("path"))
+    route_outbox(events).write.parquet(f"{folder}/messages")
+    # o/b holds another id, o/c another index, o/d holds the chapter of o/a
+    html = f"<p>{'Some words of a chapter. ' * 30}</p>"
+    stored = spark.createDataFrame([(1, "a", 1, "o/a"), (1, "x", 3, "o/b"), (1, "c", 9, "o/c"), (1, "a", 1, "o/d")], "book_id long, chapter_id string, chapter_index int, s3_file_path string")
+    objects = stored.withColumns({"batch_index": F.lit(None).cast("int"), "chapter_title": F.lit("t"), "html": F.lit(html)})
+
+    def sink(done, events, number):
+        write_batch(events.select("id", "payload", "type"), f"{folder}/events", number)
+        write_batch(done.points.select("chapter_id", "chunk_index", "s3_file_path"), f"{folder}/points", number)
+
+    load = lambda asked: objects.join(asked.select("book_id", "s3_file_path", "cover_s3_file_path").distinct(), ["book_id", "s3_file_path"])
+    vectorize_stream(file_stream(spark, f"{folder}/messages"), load, sink, folder).awaitTermination()
+    broken = {(r.batch_index, r.chapter_id, r.chapter_index, r.problem) for r in spark.read.parquet(f"{folder}/broken").collect()}
+    assert broken == {(None, "lost", 2, "missing"), (None, "b", 3, "missing"), (None, "x", 3, "unexpected"), (None, "c", 4, "missing"), (None, "c", 9, "unexpected"), (None, "d", 5, "missing"), (None, "a", 1, "unexpected")}
+    done = with_payload(spark.read.parquet(f"{folder}/events"), "ChapterVectorized").select("p.chapterId").collect()
+    assert [r.chapterId for r in done] == ["a"]
+    assert {(r.chapter_id, r.s3_file_path) for r in spark.read.parquet(f"{folder}/points").collect()} == {("a", "o/a")}

@@ -153,10 +153,14 @@ def vectorize_stream(
     `load` turns (book_id, chapter_id, chapter_index, batch_index, s3_file_path,
     cover_s3_file_path) into the stored chapters of these objects with title
     and html. A batch whose stored chapters differ from those announced is not
-    vectorised; it goes to `{folder}/broken` with what differs. `sink` gets the
+    vectorised; it goes to `{folder}/broken` with what differs. So does a chapter
+    announced alone whose object is missing or holds another chapter; its
+    batch_index is null there. `load` hands on s3_file_path if it can, so that
+    a chapter in the wrong object does not pass for another one. `sink` gets the
     result, ChapterVectorized events as outbox rows and the batch number, and
     replaces its own output of a repeated number.
     """
+    from vellum.operators.merges import differences
     from vellum.operators.packing import manifest_problems
     from vellum.plans.vectorize import vectorize
     from vellum.sources.events import build_events, event_name_id
@@ -174,9 +178,14 @@ def vectorize_stream(
         stored = stage_table(load(announced))
         place = ["book_id", "batch_index", "chapter_id", "chapter_index"]
         batches = lambda df: df.filter("batch_index is not null").select(*place)
-        broken = stage_table(manifest_problems(batches(announced), batches(stored)))
+        own = ["book_id", "chapter_id", "chapter_index", *(["s3_file_path"] if "s3_file_path" in stored.columns else [])]
+        singles = lambda df: df.filter("batch_index is null").select(*own)
+        alone = differences(singles(announced), singles(stored), own).withColumn("batch_index", F.lit(None).cast("int")).select(*place, "problem")
+        broken = stage_table(union_all(manifest_problems(batches(announced), batches(stored)), alone))
         write_batch(broken, f"{folder}/broken", number)
         whole = stored.join(broken.select("book_id", F.col("batch_index").alias("_b")).distinct(), (stored["book_id"] == broken["book_id"]) & (stored["batch_index"] == F.col("_b")), "left_anti")
+        told = stored.filter("batch_index is null").join(singles(announced).distinct(), own, "left_semi").select(*stored.columns)
+        whole = union_all(whole.filter("batch_index is not null"), told)
         done = vectorize(whole, **options)
         book = F.col("book_id").cast("string")
         events = build_events(
