@@ -53,6 +53,17 @@ def test_labelled_pages_are_scanned():
     assert said(f"<article>{story}</article>\n<article>{story}</article>") == lines * 2
 
 
+def test_named_parts_of_an_article_stay():
+    story = "<p>The story has quite a few words, and it goes on here.</p>" * 3
+    line = "The story has quite a few words, and it goes on here."
+    links = "<ul>" + "".join(f"<li><a href='/{k}'>Other {k}</a></li>" for k in range(9)) + "</ul>"
+    page = (f"<body><div class='site-header'>Site name and motto</div><article><header class='entry-header'><h1>The head line</h1></header>{story}<section id='related-work'><h2>Related work</h2>{story}</section>"
+            f"<section id='responses'>{story}</section><div class='newsletter'>Sign up for our letter now</div><div class='comments'><p>I liked this very much indeed</p></div><div class='related'>{links}</div></article></body>")
+    weights = html_extraction.Weights(2.7, {"a": -6.0, "li": -6.0, "ul": -6.0, "div": -6.0, "p": -0.5})
+    assert html_extraction.main_blocks(page, weights) == ["The head line", *[line] * 3, "Related work", *[line] * 6]
+    assert html_extraction.main_blocks(f"<main><div class='page-header'><h1>The head line</h1></div>{story}<div class='share'>Tell it to all</div></main>", html_extraction.Weights()) == ["The head line", *[line] * 3]
+
+
 def test_extraction_of_odd_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain words only"), (3, "u", "plain words only"), (None, "u", "<p>x"), (4, "u", "<article>" + "<p>long words</p>" * 20000 + "</article>"), (5, "u", "<article>a < b <b>c</b")]
     df = spark.createDataFrame([(*r, "mine", 9) for r in rows], "page_id bigint, url string, html string, text string, n_chars int")

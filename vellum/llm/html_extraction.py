@@ -30,6 +30,9 @@ AROUND = """ad ads advert adverts advertisement advertising banner breadcrumb br
 menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted reader recommended related reply replies responses share sharing
 sidebar signup social sponsor sponsored subscribe toolbar widget""".split()
 _HIDDEN, _BOILER, _BLOCKS, _VOID, _AROUND = map(frozenset, (HIDDEN, BOILERPLATE, BLOCKS, VOID, AROUND))
+# inside an article these also name its own parts ("entry-header", "related-work"): there the scan decides; a <main> has its own header
+_IN_ARTICLE = _AROUND - frozenset("header reader recommended related responses share sharing".split())
+_IN_MAIN = _AROUND - {"header"}
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -63,10 +66,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", name, ""
 
 
-def _named_around(attributes: str) -> bool:
+def _named_around(attributes: str, words: frozenset[str] = _AROUND) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and not _AROUND.isdisjoint(re.split(r"[\W_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
+        if name in ("class", "id") and not words.isdisjoint(re.split(r"[\W_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
             return True
         if name == "role" and value.strip().lower() in _ROLES:
             return True
@@ -105,7 +108,7 @@ def pieces(page: str) -> list[Piece]:
             out.append(Piece("text", "", name, around > 0, level()))
         elif kind == "open":
             # the header of an article is a part of it, unless it names what stands around
-            own = name in _HIDDEN or name in _BOILER and not (name == "header" and level()) or _named_around(rest) and name not in ("html", "body", "main", "article")
+            own = name in _HIDDEN or name in _BOILER and not (name == "header" and level()) or _named_around(rest, _IN_ARTICLE if articles else _IN_MAIN if mains else _AROUND) and name not in ("html", "body", "main", "article")
             if name == "article" and around == 0 and rest and _named_around(rest):
                 own = bool(re.search(r"comment|reply|sponsor|advert|promo", rest, re.I))
             if name == "p":  # a paragraph ends where the next begins
