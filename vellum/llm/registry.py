@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.llm import bwt_dedup, decontamination, hamming_search, html_extraction, language_id, license_scan, mixing, ngram_join, substring_dedup, warc
+from vellum.llm import bwt_dedup, decontamination, hamming_search, html_extraction, language_id, license_scan, merkle, mixing, ngram_join, substring_dedup, warc
 from vellum.registry import Registry, table
 from vellum.session import stage_table
 
@@ -159,3 +159,47 @@ SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
 def op6(spark, folder):
     points = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return hamming_search.top_k(points, points.filter("vec_id % 50 = 0"), 10)
+
+
+def _crc_sql(column: str) -> str:
+    """CTEs that end in crc(id, crc): CRC-32 of the decimal digits of an id column of documents."""
+    shift = "b"
+    for _ in range(8):
+        shift = f"(SELECT CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM (SELECT {shift} AS x))"
+    return f"""ids AS (SELECT DISTINCT {column} AS id FROM documents WHERE {column} IS NOT NULL),
+bytes AS (SELECT b, {shift} AS v FROM (SELECT unnest(range(0, 256)) AS b)),
+crcs AS (SELECT id, 0 AS pos, 4294967295::BIGINT AS c FROM ids UNION ALL
+  SELECT id, pos + 1, xor(c >> 8, v) FROM crcs JOIN bytes ON b = xor(c & 255, ascii(substr(id::VARCHAR, pos + 1, 1))) WHERE pos < length(id::VARCHAR)),
+crc AS (SELECT id, xor(c, 4294967295) AS crc FROM crcs WHERE pos = length(id::VARCHAR))"""
+
+
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+_MERKLE = """
+WITH RECURSIVE """ + _crc_sql("doc_id") + """,
+d AS (SELECT row_number() OVER () AS row, doc_id, coalesce('1' || source, '0') AS key, """ + _LEAF.format(_FIELD.format("text")) + """ AS leaf,
+  CASE WHEN crc % 2 = 0 THEN """ + _LEAF.format(_FIELD.format("replace(text, chr(10), '')")) + """ END AS changed FROM documents LEFT JOIN crc ON id = doc_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS i FROM d),
+low AS (SELECT 0 AS level, key, i, leaf AS h, count(*) OVER (PARTITION BY key) AS n FROM p UNION ALL
+  SELECT level + 1, key, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM low WHERE n > 1 GROUP BY level, key, i // 3),
+sub AS (SELECT key, h, level AS depth, row_number() OVER (ORDER BY encode(key)) - 1 AS i FROM low WHERE n = 1),
+high AS (SELECT 0 AS level, i, h, count(*) OVER () AS n FROM sub UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM high WHERE n > 1 GROUP BY level, i // 3),
+top AS (SELECT h FROM high WHERE n = 1),
+steps_low AS (SELECT a.level, a.key, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM low a JOIN low b ON a.level = b.level AND a.key = b.key AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL),
+steps_high AS (SELECT a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM high a JOIN high b ON a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL),
+steps AS (SELECT row, s.level AS pos, before, after FROM p JOIN steps_low s ON s.key = p.key AND s.i = p.i // (3 ** s.level)::BIGINT UNION ALL
+  SELECT row, depth + s.level, before, after FROM p JOIN sub USING (key) JOIN steps_high s ON s.i = sub.i // (3 ** s.level)::BIGINT),
+fold AS (SELECT row, 0 AS pos, coalesce(changed, leaf) AS h FROM p UNION ALL SELECT row, pos + 1, sha256(before || h || after) FROM fold JOIN steps USING (row, pos)),
+ends AS (SELECT row, arg_max(h, pos) AS folded FROM fold GROUP BY 1),
+way AS (SELECT row, string_agg(before || after, '' ORDER BY pos) AS siblings FROM steps GROUP BY 1)
+SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(coalesce(siblings, '')) AS proof_sha256, folded AS folded_root, folded = top.h AS verified
+FROM p JOIN sub USING (key) CROSS JOIN top JOIN ends USING (row) LEFT JOIN way USING (row)
+"""
+
+
+@R.add("op13_merkle_manifest", _MERKLE)
+def op13(spark, folder):
+    return merkle.manifest(table(spark, folder, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
