@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.llm import bwt_dedup, decontamination, hamming_search, html_extraction, language_id, license_scan, merkle, mixing, ngram_join, substring_dedup, warc
+from vellum.llm import bwt_dedup, decontamination, hamming_search, html_extraction, language_id, license_scan, merkle, mixing, ngram_join, periodic_runs, substring_dedup, warc
 from vellum.registry import Registry, table
 from vellum.session import stage_table
 
@@ -161,6 +161,12 @@ def op6(spark, folder):
     return hamming_search.top_k(points, points.filter("vec_id % 50 = 0"), 10)
 
 
+@R.add("op11_periodic_runs")
+def op11(spark, folder):
+    found = periodic_runs.describe_runs(table(spark, folder, "documents").select("doc_id", "text"), plant=True)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 def _crc_sql(column: str) -> str:
     """CTEs that end in crc(id, crc): CRC-32 of the decimal digits of an id column of documents."""
     shift = "b"
