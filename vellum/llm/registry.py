@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.llm import bwt_dedup, decontamination, hamming_search, html_extraction, language_id, license_scan, merkle, mixing, ngram_join, periodic_runs, substring_dedup, warc
+from vellum.llm import adaptive_scan, bwt_dedup, decontamination, hamming_search, html_extraction, language_id, license_scan, merkle, mixing, ngram_join, periodic_runs, substring_dedup, warc
 from vellum.registry import Registry, table
 from vellum.session import stage_table
 
@@ -167,6 +167,12 @@ def op11(spark, folder):
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
+@R.add("op12_adaptive_scan")
+def op12(spark, folder):
+    points = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return adaptive_scan.search(points, points.filter("vec_id % 100 = 0"), 10)
+
+
 def _crc_sql(column: str) -> str:
     """CTEs that end in crc(id, crc): CRC-32 of the decimal digits of an id column of documents."""
     shift = "b"
