@@ -37,6 +37,10 @@ def segments(dims: int, count: int) -> list[tuple[int, int, int]]:
     return out
 
 
+#: What a probe costs, in candidates: it is a row that is made, shuffled and sorted; a candidate is compared inside the join.
+PROBE_COST = 25
+
+
 def expected_distance(dims: int, rows: int, k: int) -> int:
     """Distance within which k of `rows` random codes lie."""
     total, d = 0, 0
@@ -48,13 +52,18 @@ def expected_distance(dims: int, rows: int, k: int) -> int:
 
 
 def best_segments(dims: int, rows: int, k: int) -> list[tuple[int, int, int]]:
-    """The cut with the least expected probes and candidates of a query, as if codes were random."""
+    """The cut with the least expected cost of a query's probes and candidates, as if codes were random.
+
+    Wide segments find fewer candidates but need many more probes, so the count
+    of probes jumps where a cut gets wider; weighing probes by what they cost
+    keeps it even over the sizes.
+    """
     far = expected_distance(dims, rows, k)
 
     def work(parts: list[tuple[int, int, int]]) -> float:
         radius, last = divmod(far, len(parts))
         probes = [sum(math.comb(b, r) for r in range(radius + (j <= last))) for j, (_, _, b) in enumerate(parts)]
-        return sum(p * (1 + rows / 2.0**b) for p, (_, _, b) in zip(probes, parts))
+        return sum(p * (PROBE_COST + rows / 2.0**b) for p, (_, _, b) in zip(probes, parts))
 
     cuts = [segments(dims, m) for m in range(max(1, -(-dims // 24)), max(2, dims // 4 + 1))]
     return min(cuts, key=work)
