@@ -5,8 +5,10 @@ that of its sequence of phrases: one symbol per ~50 bytes instead of one per
 byte. The merge is the iterative refinement of the interleave: in each round a
 shard sends, for every row of its transform, the symbol in front and the place
 its suffix has so far; ranges of symbols put the rows of all shards in order,
-so that after k rounds suffixes are ordered by their first k phrases. No shard
-sorts its suffixes again. Rows whose interval holds one suffix only are done
+so that after k rounds suffixes are ordered by their first k phrases. The order
+across shards comes from the rounds alone; a shard makes its own transform anew
+in each round from the texts that still hold repeats, which is cheaper than to
+keep it in a table. Rows whose interval holds one suffix only are done
 and drop out, so later rounds touch repeats alone. What remains after the last
 round are intervals with a common prefix of that many phrases; every repeated
 string of `length` bytes holds such a prefix at a place its bytes determine.

@@ -130,7 +130,7 @@ def op9(spark, folder):
 @R.add("op4_repeated_bytes")
 def op4(spark, folder):
     cut = bwt_dedup.cut_repeated_bytes(table(spark, folder, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), F.expr("make_valid_utf8(cast(kept_bytes AS string))").alias("text"))
 
 
 @R.add("op3_jaccard_join", r"""
