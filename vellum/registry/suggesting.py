@@ -53,7 +53,10 @@ _SCORED = f"""
   vals AS (SELECT nv, list_distinct({trg_list('nv')}) AS vs, {trg_list('nv')} AS vl FROM (SELECT DISTINCT nv FROM sugg JOIN books USING (book_id) WHERE status <> 'DELETED')),
   qs AS (SELECT query_id, q, list_distinct({trg_list('q')}) AS qs FROM asked),
   cross_ AS (SELECT * FROM qs, vals),
-  wsim AS ({word_sim_sql('(SELECT * FROM cross_ WHERE length(q) >= 3 AND list_has_any(qs, vs))', 'query_id, nv')}),
+  -- no extent scores above the share of the query's trigrams that the value holds, so only these pairs can match and be scored
+  near AS (SELECT * FROM cross_ WHERE length(q) >= 3 AND list_has_any(qs, vs) AND (nv LIKE q || '%' OR nv LIKE '% ' || q || '%'
+    OR {_SIM} >= 0.179 OR len(list_intersect(qs, vs)) >= 0.279 * len(qs))),
+  wsim AS ({word_sim_sql('near', 'query_id, nv')}),
   sims AS (SELECT c.*, CASE WHEN length(q) >= 3 THEN {_SIM} ELSE 0 END AS sim, coalesce(ws, 0) AS ws FROM cross_ c LEFT JOIN wsim USING (query_id, nv)),
   scored AS (SELECT query_id, nv, {score_sql('q', 'nv', 'sim', 'ws')} AS score FROM sims
     WHERE nv LIKE q || '%' OR nv LIKE '% ' || q || '%' OR (length(q) >= 3 AND (sim::FLOAT >= 0.18::DOUBLE OR ws::FLOAT >= 0.28::DOUBLE)))"""
