@@ -15,6 +15,7 @@ from vellum.operators.chunking import indexable, split_to_rows
 from vellum.operators.embedding import embed_by_hash
 from vellum.operators.points import check_dimension, replace_chapters
 from vellum.session import stage_table
+from vellum.sources.point_store import PointStore
 
 KEYS = ["book_id", "chapter_id"]
 
@@ -64,6 +65,12 @@ def vectorize(
     recorded = good.select(*KEYS, "chapter_index").join(counts, KEYS, "left").select(
         *KEYS, "chapter_index", F.coalesce("_n", F.lit(0)).cast("int").alias("chunks_count")
     )
+    # a table kept as a log (`store_points`) needs no pass over what is there
     if existing is not None:
         points = replace_chapters(existing, points.select(*existing.columns), good)
     return Vectorized(points, recorded, errors)
+
+
+def store_points(store: PointStore, done: Vectorized, number: int | None = None) -> int:
+    """Add a run's points to a stored point table: its chapters' older points go, others are not read."""
+    return store.change(points=done.points, chapters=done.recorded, number=number)

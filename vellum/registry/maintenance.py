@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vellum.operators import merges, points, uploads
 from vellum.plans.catalogue import assign_ids, create_books, owned
 from vellum.registry import Registry, table
-from vellum.session import union_all
+from vellum.session import checkpoint_folder, union_all
+from vellum.sources.point_store import PointStore
 
 R = Registry()
 NOW = "1997-01-01 00:00:00"
@@ -44,6 +47,45 @@ def s11(spark, sf):
     return points.set_searchable(_points(spark, sf), flags).select("point_id", "is_searchable")
 
 
+def _store(spark, like):
+    return PointStore(spark, f"{checkpoint_folder(spark)}/points-{uuid.uuid4().hex}", like.schema)
+
+
+@R.add("s9_point_log", f"""WITH {_POINTS},
+  a AS (SELECT point_id, book_id, chapter_id, CASE WHEN book_id % 2 = 0 THEN -v ELSE v END AS v FROM p UNION ALL SELECT 'new:' || point_id, book_id, chapter_id, v FROM p WHERE book_id % 4 = 0),
+  b AS (SELECT *, false AS fresh FROM a WHERE (book_id, chapter_id) NOT IN (SELECT (p_partkey, p_size) FROM part)
+    UNION ALL SELECT point_id, book_id, chapter_id, v + 1, true FROM p WHERE book_id % 3 = 0 AND (book_id, chapter_id) IN (SELECT (p_partkey, p_size) FROM part))
+  SELECT point_id, v, NOT fresh AND p_size <= 25 AS is_searchable FROM b JOIN part ON p_partkey = book_id""")
+def s9_log(spark, sf):
+    """The point table as a log: a first load, an upsert delivered twice, flags, and replaced chapters on top of a compacted base."""
+    p = _points(spark, sf)
+    store = _store(spark, p)
+    store.change(points=p)
+    changed = union_all(
+        p.filter("book_id % 2 = 0").withColumn("v", -F.col("v")), p.filter("book_id % 4 = 0").withColumn("point_id", F.concat(F.lit("new:"), F.col("point_id"))))
+    store.change(points=changed, number=1)
+    store.change(points=changed, number=1)
+    part = table(spark, sf, "part")
+    store.change(flags=part.filter("p_size < 40").select(F.col("p_partkey").alias("book_id"), (F.col("p_size") <= 25).alias("is_searchable")))
+    store.compact()
+    chapters = part.select(F.col("p_partkey").alias("book_id"), F.col("p_size").cast("long").alias("chapter_id"))
+    again = p.join(chapters, ["book_id", "chapter_id"], "left_semi").filter("book_id % 3 = 0").withColumn("v", F.col("v") + 1)
+    store.change(points=again.select(*p.columns), chapters=chapters)
+    return store.read().select("point_id", "v", "is_searchable")
+
+
+@R.add("s10_point_log", f"""WITH {_POINTS} SELECT 'pinned' AS version, point_id FROM p UNION ALL
+  SELECT 'last', point_id FROM p WHERE (book_id, chapter_id) NOT IN (SELECT (p_partkey, p_size) FROM part) AND v % 3 <> 0""")
+def s10_log(spark, sf):
+    """Deletes by chapter and by point id as marks; a reader of the version before them still sees every point."""
+    p = _points(spark, sf)
+    store = _store(spark, p)
+    first = store.change(points=p)
+    store.change(chapters=table(spark, sf, "part").select(F.col("p_partkey").alias("book_id"), F.col("p_size").cast("long").alias("chapter_id")))
+    store.change(removed=p.filter("v % 3 = 0").select("point_id"))
+    return union_all(store.read(first).select(F.lit("pinned").alias("version"), "point_id"), store.read().select(F.lit("last").alias("version"), "point_id"))
+
+
 # --- keyed merges -----------------------------------------------------------------------------
 @R.add("j8_idempotent_events", """
   SELECT event_id % 4000 AS event_id, min(event_id) AS first FROM events WHERE event_id % 4000 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1""")
