@@ -108,9 +108,10 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10, point_id: str = "v
     open_ = asked.select(*[F.col(w).alias(q) for w, q in zip(words, query_words)]).distinct().withColumn("worst", F.lit(None).cast("int"))
     done = []
     best = None
-    # radii that the expected distance goes beyond are searched at once, then one segment after another
+    # radii that the expected distance goes beyond are searched in all segments at once, then one segment after another;
+    # each step knows the bound that the one before has found, so the joins hand on only what can still be among the k
     sure = expected_distance(n_bits, rows, k) // len(parts)
-    steps = [([(r, j) for r in range(sure) for j in range(len(parts))], len(parts) * sure - 1)] if sure else []
+    steps = [([(r, j) for j in range(len(parts))], len(parts) * (r + 1) - 1) for r in range(sure)]
     steps += [([(r, j)], len(parts) * r + j) for r in range(sure, max(b for _, _, b in parts) + 1) for j in range(len(parts))]
     apart = [F.bit_count(piece(words[w], s, b).bitwiseXOR(piece(query_words[w], s, b))) for w, s, b in parts]
     first = F.lit(False)
