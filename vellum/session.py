@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 UNION_CONF = "spark.sql.unionOutputPartitioning"
 INPUT_CONF = "spark.vellum.inputPartitions"
+_scopes = threading.local()
 
 
 def local_session(cpus: int | str = "*", app: str = "vellum") -> SparkSession:
@@ -66,9 +70,24 @@ def stage_table(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    for scope in getattr(_scopes, "open", [])[-1:]:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def stages_removed(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end; nothing built on them may be read after that."""
+    open_ = _scopes.__dict__.setdefault("open", [])
+    open_.append([])
+    try:
+        yield
+    finally:
+        for path in open_.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _stages_of(spark: SparkSession) -> str:
     return f"stage-{spark.sparkContext.applicationId}-"
 

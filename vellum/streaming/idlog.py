@@ -90,13 +90,14 @@ class IdLog:
     """The ids handled so far under one folder; a single writer, as the checkpoint of a stream is."""
 
     def __init__(self, spark: SparkSession, path: str, folder_ids: int = FOLDER_IDS, fan: int = FAN) -> None:
-        self.spark, self.path, self.folder_ids, self.fan = spark, path, folder_ids, fan
+        self.spark, self.folder_ids, self.fan = spark, folder_ids, fan
+        self.ids_at, self.blooms_at = path, f"{path}_filters"
 
     def segments(self, before: int | None = None) -> list[Segment]:
         """Finished segments, of overlapping ones the widest, of all batches or of those before one."""
         found = []
-        for name in names_in(self.spark, f"{self.path}/ids"):
-            if name.startswith("segment=") and exists(self.spark, f"{self.path}/blooms/{name}/_SUCCESS"):
+        for name in names_in(self.spark, self.ids_at):
+            if name.startswith("segment=") and exists(self.spark, f"{self.blooms_at}/{name}/_SUCCESS"):
                 found.append(Segment(*map(int, name.removeprefix("segment=").split("-"))))
         out: list[Segment] = []
         for s in sorted(found, key=lambda s: (s.low - s.high, s.low)):
@@ -108,10 +109,10 @@ class IdLog:
         """Ids first, then their filters; the filters' end mark finishes the segment."""
         segment = Segment(low, high, count, max(1, -(-count // self.folder_ids)))
         hashed = ids.select("id", *_hashes(F.col("id"))).withColumn("folder", _folder(F.col("h1"), F.lit(segment.folders)))
-        hashed.select("id", "folder").repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/ids/{segment.name}")
-        written = self.spark.read.schema(T.StructType([_IDS["id"], _IDS["folder"]])).parquet(f"{self.path}/ids/{segment.name}")
+        hashed.select("id", "folder").repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(f"{self.ids_at}/{segment.name}")
+        written = self.spark.read.schema(T.StructType([_IDS["id"], _IDS["folder"]])).parquet(f"{self.ids_at}/{segment.name}")
         blooms = written.select("folder", *_hashes(F.col("id"))).groupBy("folder").applyInArrow(_filter_of, "folder int, bloom binary")
-        blooms.write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/blooms/{segment.name}")
+        blooms.write.mode("overwrite").partitionBy("folder").parquet(f"{self.blooms_at}/{segment.name}")
         return segment
 
     def add(self, ids: DataFrame, batch: int) -> None:
@@ -124,12 +125,12 @@ class IdLog:
             self._write(ids, batch, batch, count)
 
     def _drop(self, segment: Segment) -> None:
-        for table in ("blooms", "ids"):
-            remove(self.spark, f"{self.path}/{table}/{segment.name}")
+        # the filters first: without them the segment does not count
+        for root in (self.blooms_at, self.ids_at):
+            remove(self.spark, f"{root}/{segment.name}")
 
-    def _read(self, table: str, schema: T.StructType, places: DataFrame, segments: list[Segment]) -> DataFrame:
+    def _read(self, root: str, schema: T.StructType, places: DataFrame, segments: list[Segment]) -> DataFrame:
         """Rows of the named folders places(segment, folder) alone, if they are few enough to be named."""
-        root = f"{self.path}/{table}"
         stored = self.spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/{s.name}" for s in segments])
         named = places.limit(NAMED_FOLDERS + 1).collect()
         if len(named) <= NAMED_FOLDERS:
@@ -149,7 +150,7 @@ class IdLog:
         if not segments:
             return self.spark.createDataFrame([], "segment string, folder int, id string"), segments
         asked = ids.select("id", *_hashes(F.col("id")), F.explode(listed).alias("s")).select("s.segment", _folder(F.col("h1"), F.col("s.folders")).alias("folder"), "id", "h1", "h2")
-        blooms = self._read("blooms", _BLOOMS, asked.select("segment", "folder").distinct(), segments)
+        blooms = self._read(self.blooms_at, _BLOOMS, asked.select("segment", "folder").distinct(), segments)
         key = ["segment", "folder"]
         return asked.groupBy(*key).cogroup(blooms.groupBy(*key)).applyInArrow(_tested, "segment string, folder int, id string"), segments
 
@@ -161,7 +162,7 @@ class IdLog:
         # few rows: the duplicates and one in 70,000 of the others
         maybe = maybe.persist()
         places = maybe.select("segment", "folder").distinct()
-        return self._read("ids", _IDS, places, segments).join(maybe, ["segment", "folder", "id"], "left_semi").select("id").distinct()
+        return self._read(self.ids_at, _IDS, places, segments).join(maybe, ["segment", "folder", "id"], "left_semi").select("id").distinct()
 
     def compact(self) -> list[Segment]:
         """Merge neighbouring segments wherever `fan` of about one size have come together; returns what was merged."""
@@ -175,7 +176,7 @@ class IdLog:
                     break
             else:
                 return merged
-            root = f"{self.path}/ids"
+            root = self.ids_at
             ids = self.spark.read.schema(_IDS).option("basePath", root).parquet(*[f"{root}/{s.name}" for s in run])
             self._write(ids.select("id"), run[0].low, run[-1].high, sum(s.ids for s in run))
             for s in run:

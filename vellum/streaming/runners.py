@@ -4,42 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vellum.functions.rules import ERRORS
-from vellum.operators.merges import unprocessed
+from vellum.operators.merges import keep_first
+from vellum.schemas import ALL_PAYLOADS
+from vellum.session import stage_table, stages_removed, union_all
 from vellum.streaming.envelope import check_contracts, parse_envelopes, split_poison, with_payload, without_tombstones
-from vellum.session import stage_table, union_all
+from vellum.streaming.idlog import IdLog
 
 Step = Callable[[DataFrame, int], None]
 
 
-#: Folders of the log of processed ids; a micro-batch reads those of its own ids.
-ID_SLOTS = 16
-
-
-def id_slot(id_: Column) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(ID_SLOTS)).cast("int")
-
-
-def read_log(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
-    """Rows of an append log, by default of all batches; an absent log is empty."""
-    try:
-        log = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    return log if before is None else log.filter(F.col("batch") < before)
-
-
-def write_batch(df: DataFrame, path: str, batch: int, partition_by: str | None = None) -> None:
+def write_batch(df: DataFrame, path: str, batch: int) -> None:
     """One folder per micro-batch: a repeated batch replaces its own output."""
-    writer = df.drop("batch").write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{path}/batch={batch}")
+    df.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def once(effect: Step, processed: str) -> Step:
@@ -50,26 +31,34 @@ def once(effect: Step, processed: str) -> Step:
     with the same number and the same unseen events, so it counts once.
     """
     def step(batch: DataFrame, number: int) -> None:
-        from pyspark.sql.types import StructType
-
-        seen = read_log(batch.sparkSession, processed, StructType().add("id", "string").add("slot", "integer"), number)
-        # at most ID_SLOTS numbers; they prune the folders of the log
-        slots = [r.slot for r in batch.select(id_slot(F.col("id")).alias("slot")).distinct().collect()]
-        seen = seen.filter(F.col("slot").isin(slots)) if slots else seen.limit(0)
-        fresh = unprocessed(batch, seen.select("id"), [F.col("occurred_at")], key="id").persist()
-        try:
-            effect(fresh, number)
-            write_batch(fresh.select("id", id_slot(F.col("id")).alias("slot")).repartition("slot"), processed, number, "slot")
-        finally:
-            fresh.unpersist()
+        log = IdLog(batch.sparkSession, processed)
+        log.compact()
+        own = stage_table(keep_first(batch, ["id"], [F.col("occurred_at")]))
+        fresh = stage_table(own.join(log.known(own.select("id"), number), "id", "left_anti"))
+        effect(fresh, number)
+        log.add(fresh.select("id"), number)
+
+    return step
+
+
+def each_batch(effect: Step, folder: str) -> Step:
+    """Apply an effect to the new, valid envelopes of a batch of messages; tables staged on the way are removed after it."""
+    def step(batch: DataFrame, number: int) -> None:
+        with stages_removed(batch.sparkSession):
+            once(effect, f"{folder}/processed")(envelopes(batch, f"{folder}/dead", number), number)
 
     return step
 
 
 def envelopes(messages: DataFrame, dead_letters: str, number: int) -> DataFrame:
-    """Valid envelopes of a batch of messages; the others go to the dead-letter log."""
+    """Valid envelopes of a batch of messages; the others go to the dead-letter log.
+
+    The batch is read, parsed and checked once and staged, so that what follows
+    plans a scan of it and none of the rules.
+    """
+    messages = stage_table(messages)
     named, poison = split_poison(without_tombstones(messages), allow_key=False)
-    checked = check_contracts(parse_envelopes(named))
+    checked = stage_table(check_contracts(parse_envelopes(named)))
     bad = checked.filter(F.size(ERRORS) > 0).select("id", "type", "payload", F.array_join(ERRORS, ",").alias("error"))
     lost = poison.select(
         F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("type"), F.col("value").cast("string").alias("payload"), "error"
@@ -97,14 +86,7 @@ def projection(
     def effect(fresh: DataFrame, number: int) -> None:
         write_batch(partials(fresh), f"{folder}/states", number)
 
-    def step(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            once(effect, f"{folder}/processed")(envelopes(batch, f"{folder}/dead", number), number)
-        finally:
-            batch.unpersist()
-
-    return start(stream, step, f"{folder}/checkpoint", available_now=available_now)
+    return start(stream, each_batch(effect, folder), f"{folder}/checkpoint", available_now=available_now)
 
 
 def compact(spark: SparkSession, folder: str, merge: Callable[[DataFrame], DataFrame], target: str) -> DataFrame:
@@ -134,14 +116,42 @@ def unpack_stream(
         )
         sink(unpack_books(load(uploads), bucket), number)
 
-    def step(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            once(effect, f"{folder}/processed")(envelopes(batch, f"{folder}/dead", number), number)
-        finally:
-            batch.unpersist()
+    return start(stream, each_batch(effect, folder), f"{folder}/checkpoint")
+
+
+def announced_chapters(fresh: DataFrame) -> DataFrame:
+    """Chapters that ChapterExtracted (batch_index is null) and ChapterBatchExtracted envelopes announce; each payload is parsed once."""
+    alone = F.col("type") == "ChapterExtracted"
+    parsed = fresh.filter(alone | (F.col("type") == "ChapterBatchExtracted")).withColumn("p", F.from_json("payload", ALL_PAYLOADS))
+    one = F.struct(F.col("p.chapterId").alias("chapterId"), F.col("p.chapterIndex").alias("chapterIndex"))
+    return parsed.select("p", alone.alias("alone"), F.explode(F.when(alone, F.array(one)).otherwise(F.col("p.chapters"))).alias("c")).select(
+        F.col("p.bookId").cast("long").alias("book_id"), F.col("c.chapterId").alias("chapter_id"), F.col("c.chapterIndex").cast("int").alias("chapter_index"),
+        F.when(~F.col("alone"), F.col("p.batchIndex")).cast("int").alias("batch_index"), F.col("p.s3FilePath").alias("s3_file_path"), F.col("p.coverS3FilePath").alias("cover_s3_file_path"))
+
 
-    return start(stream, step, f"{folder}/checkpoint")
+def compare_stored(asked: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what differs, stored chapters that may be vectorised) of announced and stored chapters.
+
+    Both sides are counted per chapter in one aggregate and staged. A batch
+    with a missing or unexpected chapter, or with another number of them, is
+    left out as a whole; a chapter announced alone stands for itself.
+    """
+    place = ["book_id", "batch_index", "chapter_id", "chapter_index", *(["s3_file_path"] if "s3_file_path" in stored.columns else [])]
+    # the object of a batch is not compared, as before: its chapters are
+    keyed = lambda df: df.select(*[F.when(F.col("batch_index").isNull(), F.col(c)).alias(c) if c == "s3_file_path" else F.col(c) for c in place])
+    both = union_all(keyed(asked).withColumns({"_a": F.lit(1), "_s": F.lit(0)}), keyed(stored).withColumns({"_a": F.lit(0), "_s": F.lit(1)}))
+    judged = stage_table(both.groupBy(*place).agg(F.sum("_a").alias("_a"), F.sum("_s").alias("_s")))
+    problem = F.when(F.col("_s") == 0, "missing").when(F.col("_a") == 0, "unexpected")
+    columns = ["book_id", "batch_index", "chapter_id", "chapter_index"]
+    single = judged.filter(problem.isNotNull()).select(*columns, problem.alias("problem"))
+    per_batch = judged.filter("batch_index is not null").groupBy("book_id", "batch_index").agg(
+        F.max(problem.isNotNull()).alias("_bad"), (F.sum("_a") != F.sum("_s")).alias("_count"))
+    counts = per_batch.filter("_count").select("book_id", "batch_index", F.lit(None).cast("string").alias("chapter_id"), F.lit(None).cast("int").alias("chapter_index"), F.lit("count").alias("problem"))
+    good = per_batch.filter("not _bad and not _count").select("book_id", "batch_index")
+    batched = stored.filter("batch_index is not null").join(good, ["book_id", "batch_index"], "left_semi")
+    own = [c for c in place if c != "batch_index"]
+    alone = stored.filter("batch_index is null").join(judged.filter("batch_index is null and _a > 0 and _s > 0").select(*own), own, "left_semi")
+    return union_all(single, counts), stage_table(union_all(batched.select(*stored.columns), alone.select(*stored.columns)))
 
 
 def vectorize_stream(
@@ -160,32 +170,14 @@ def vectorize_stream(
     result, ChapterVectorized events as outbox rows and the batch number, and
     replaces its own output of a repeated number.
     """
-    from vellum.operators.merges import differences
-    from vellum.operators.packing import manifest_problems
     from vellum.plans.vectorize import vectorize
     from vellum.sources.events import build_events, event_name_id
 
     def effect(fresh: DataFrame, number: int) -> None:
-        single = with_payload(fresh, "ChapterExtracted").select(
-            F.col("p.bookId").cast("long").alias("book_id"), F.col("p.chapterId").alias("chapter_id"), F.col("p.chapterIndex").alias("chapter_index"),
-            F.lit(None).cast("int").alias("batch_index"), F.col("p.s3FilePath").alias("s3_file_path"), F.col("p.coverS3FilePath").alias("cover_s3_file_path"),
-        )
-        batched = with_payload(fresh, "ChapterBatchExtracted").select("p", F.explode("p.chapters").alias("c")).select(
-            F.col("p.bookId").cast("long").alias("book_id"), F.col("c.chapterId").alias("chapter_id"), F.col("c.chapterIndex").alias("chapter_index"),
-            F.col("p.batchIndex").alias("batch_index"), F.col("p.s3FilePath").alias("s3_file_path"), F.col("p.coverS3FilePath").alias("cover_s3_file_path"),
-        )
-        announced = union_all(single, batched)
-        stored = stage_table(load(announced))
-        place = ["book_id", "batch_index", "chapter_id", "chapter_index"]
-        batches = lambda df: df.filter("batch_index is not null").select(*place)
-        own = ["book_id", "chapter_id", "chapter_index", *(["s3_file_path"] if "s3_file_path" in stored.columns else [])]
-        singles = lambda df: df.filter("batch_index is null").select(*own)
-        alone = differences(singles(announced), singles(stored), own).withColumn("batch_index", F.lit(None).cast("int")).select(*place, "problem")
-        broken = stage_table(union_all(manifest_problems(batches(announced), batches(stored)), alone))
+        asked = stage_table(announced_chapters(fresh))
+        stored = stage_table(load(asked))
+        broken, whole = compare_stored(asked, stored)
         write_batch(broken, f"{folder}/broken", number)
-        whole = stored.join(broken.select("book_id", F.col("batch_index").alias("_b")).distinct(), (stored["book_id"] == broken["book_id"]) & (stored["batch_index"] == F.col("_b")), "left_anti")
-        told = stored.filter("batch_index is null").join(singles(announced).distinct(), own, "left_semi").select(*stored.columns)
-        whole = union_all(whole.filter("batch_index is not null"), told)
         done = vectorize(whole, **options)
         book = F.col("book_id").cast("string")
         events = build_events(
@@ -193,11 +185,4 @@ def vectorize_stream(
             event_name_id(F.lit("ChapterVectorized"), book, F.col("chapter_id")))
         sink(done, events, number)
 
-    def step(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            once(effect, f"{folder}/processed")(envelopes(batch, f"{folder}/dead", number), number)
-        finally:
-            batch.unpersist()
-
-    return start(stream, step, f"{folder}/checkpoint")
+    return start(stream, each_batch(effect, folder), f"{folder}/checkpoint")
