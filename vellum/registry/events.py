@@ -12,7 +12,9 @@ from vellum.registry import Registry, table
 from vellum.session import checkpoint_folder, union_all
 from vellum.sources.events import build_events, file_stream, route_outbox
 from vellum.streaming.envelope import check_contracts, parse_envelopes, route, split_poison, with_payload, without_tombstones
-from vellum.streaming.runners import projection
+from vellum.streaming.idlog import IdLog
+from vellum.streaming.parked import projected_stream
+from vellum.streaming.runners import projection, state_machine_stream
 
 R = Registry()
 
@@ -239,6 +241,21 @@ def t6_stream(spark, sf):
     return spark.read.parquet(f"{folder}/out").withColumn("done", F.col("done").cast("long"))
 
 
+@R.add("t6_event_time_stream", f"WITH {_STATE}")
+def t6_event_time(spark, sf):
+    """The machine in event time over a shuffled log: every micro-batch holds events of all times. A last event long after all others lets the watermark pass them."""
+    folder = _fresh_folder(spark, "event-time")
+    source = steps(spark, sf)
+    source.repartition(6, F.xxhash64("event_id")).write.parquet(f"{folder}/log/a")
+    end = source.agg((F.max("ts") + F.expr("interval 1000 days")).alias("ts")).select(
+        F.lit(-1).cast("long").alias("book_id"), F.lit(-1).cast("long").alias("event_id"), "ts", F.lit("failed").alias("kind"), F.lit(None).cast("string").alias("chapter_id"), F.lit(None).cast("int").alias("expected"))
+    end.coalesce(1).write.parquet(f"{folder}/log/z")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/log/*")
+    span = source.agg(F.ceil((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("s")).first().s or 0
+    state_machine_stream(stream, f"{span + 1} seconds", folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/emitted").drop("batch").withColumn("done", F.col("done").cast("long")).filter("book_id >= 0")
+
+
 @R.add("t5_projection_stream", f"""
   WITH {_ENV}, l AS (SELECT user_id AS book_id, event_id, epoch_us(ts) // 1000 * 1000 AS us, k AS expected, 'e' || k AS reason,
     CASE event_type WHEN 'signup' THEN 'Started' WHEN 'error' THEN 'Failed' WHEN 'click' THEN 'Completed' ELSE 'Progress' END AS type
@@ -291,6 +308,72 @@ def t7_orphans(spark, sf):
     return _read_model(spark, sf)[1].select("event_id")
 
 
+def _parked(spark, sf):
+    """Covers, chapters and books as three topics, of which that of the books starts last; the log of events that passed."""
+    folder = _fresh_folder(spark, "parked")
+    o, line = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    ts = F.col("o_orderdate").cast("timestamp").alias("ts")
+    n = F.col("o_orderkey").cast("string")
+    book = F.col("o_custkey").alias("book_id")
+    body = lambda **fields: F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])).alias("body")
+    none = F.lit(None).cast("int").alias("attempts")
+    covers = o.filter("o_orderstatus = 'O'").select(book, n.alias("event_id"), F.lit("BookCoverExtracted").alias("type"), ts, body(cover=F.concat(F.lit("cover "), n)), none)
+    created = o.filter("o_orderstatus = 'F'").select(book, n.alias("event_id"), F.lit("BookCreated").alias("type"), ts, body(title=F.concat(F.lit("title "), n)), none)
+    chapters = line.filter("l_linenumber <= 2").join(o.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        book, F.concat_ws("-", "l_orderkey", "l_linenumber").alias("event_id"), F.lit("ChapterExtracted").alias("type"), ts,
+        body(chapter=F.concat(F.lit("c"), (F.col("l_orderkey") % 5).cast("string")), index=F.col("l_linenumber").cast("int"), html=F.concat_ws("-", F.lit("h"), "l_orderkey", "l_linenumber")), none)
+    for k, topic in enumerate((covers, chapters, created)):
+        topic.coalesce(2).write.parquet(f"{folder}/log/topic={k}")
+    stream = spark.readStream.schema(covers.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/log/*")
+    # the orders span years, and every topic does
+    projected_stream(stream, folder, max_attempts=10, retry_ms=1000 * 86_400_000).awaitTermination()
+    return spark.read.schema(covers.schema).parquet(f"{folder}/passed")
+
+
+@R.add("t7_parked_stream", """
+  WITH c AS (SELECT o_custkey AS book_id, max_by(o_orderkey, (o_orderdate, o_orderkey::VARCHAR)) AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+  v AS (SELECT o_custkey AS book_id, max_by(o_orderkey, (o_orderdate, o_orderkey::VARCHAR)) AS k FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+  SELECT c.book_id, 'title ' || c.k AS title, CASE WHEN v.k IS NOT NULL THEN 'cover ' || v.k END AS cover_object_key FROM c LEFT JOIN v USING (book_id)""")
+def t7_parked(spark, sf):
+    """Read model of streams whose covers come before the books: they wait, and the result is that of the batch projection."""
+    p = _parked(spark, sf)
+    field = lambda name: F.get_json_object("body", f"$.{name}")
+    none = F.lit(None).cast("string")
+    created = p.filter("type = 'BookCreated'").select(
+        "book_id", "event_id", "ts", field("title").alias("title"), none.alias("description"), F.array(F.lit("a")).alias("authors"), none.alias("cover_object_key"), F.col("ts").alias("created_at"))
+    covers = p.filter("type = 'BookCoverExtracted'").select("book_id", "event_id", "ts", field("cover").alias("s3_file_path"))
+    return lifecycle.read_model(created, covers)[0].select("book_id", "title", "cover_object_key")
+
+
+@R.add("t8_parked_stream", """
+  SELECT o_custkey AS book_id, 'c' || l_orderkey % 5 AS external_chapter_id, max_by(l_linenumber, (o_orderdate, l_orderkey || '-' || l_linenumber))::INTEGER AS chapter_index,
+    min_by('h-' || l_orderkey || '-' || l_linenumber, (o_orderdate, l_orderkey || '-' || l_linenumber)) AS html
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 2 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL""")
+def t8_parked(spark, sf):
+    """Chapters that came before their books."""
+    field = lambda name: F.get_json_object("body", f"$.{name}")
+    e = _parked(spark, sf).filter("type = 'ChapterExtracted'").select(
+        "book_id", field("chapter").alias("external_chapter_id"), field("index").cast("int").alias("chapter_index"), F.lit("t").alias("title"), field("html").alias("html"),
+        F.lit("b").alias("bucket"), F.lit("k").alias("object_key"), "ts", "event_id")
+    return lifecycle.chapter_rows(e).select("book_id", "external_chapter_id", "chapter_index", "html")
+
+
+@R.add("t4_id_log", """
+  SELECT c_custkey AS id, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'P') AS handled FROM customer""")
+def t4_log(spark, sf):
+    """Which ids of a batch the batches before it have handled; each of those was repeated, and all were merged."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("id"), "o_orderstatus", "o_orderkey")
+    log = IdLog(spark, _fresh_folder(spark, "ids"), fan=2)
+    for number, batch in enumerate((o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'O' and o_orderkey % 2 = 0"), o.filter("o_orderstatus = 'O' and o_orderkey % 2 = 1"))):
+        for _ in range(2):
+            ids = batch.select("id").distinct()
+            log.add(ids.join(log.known(ids, number), "id", "left_anti"), number)
+        log.compact()
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"))
+    known = log.known(asked).withColumn("handled", F.lit(True))
+    return asked.join(known, "id", "left").select(F.col("id").cast("long").alias("id"), F.coalesce("handled", F.lit(False)).alias("handled"))
+
+
 @R.add("t8_chapter_projection", """
   SELECT l_orderkey AS book_id, 'c' || l_linenumber AS external_chapter_id, max_by(l_suppkey, (l_shipdate, l_partkey, l_suppkey, l_extendedprice))::INTEGER AS chapter_index,
     'h' || min_by(l_partkey, (l_shipdate, l_partkey, l_suppkey, l_extendedprice)) AS html FROM lineitem GROUP BY ALL""")

@@ -186,3 +186,20 @@ def vectorize_stream(
         sink(done, events, number)
 
     return start(stream, each_batch(effect, folder), f"{folder}/checkpoint")
+
+
+def state_machine_stream(events: DataFrame, delay: str, folder: str, available_now: bool = True) -> StreamingQuery:
+    """The vectorisation state machine in event time: what it emits goes to `{folder}/emitted`, late events to `{folder}/dead`.
+
+    `events(book_id, event_id, ts, kind, chapter_id, expected)`; events up to
+    `delay` behind the latest one may come in any order.
+    """
+    from vellum.streaming.stateful import LATE, event_time_stream
+
+    def step(batch: DataFrame, number: int) -> None:
+        with stages_removed(batch.sparkSession):
+            said = stage_table(batch)
+            write_batch(said.filter(F.col("emitted") != LATE), f"{folder}/emitted", number)
+            write_batch(said.filter(F.col("emitted") == LATE).select("book_id", "event_id"), f"{folder}/dead", number)
+
+    return start(event_time_stream(events, delay), step, f"{folder}/checkpoint", available_now=available_now)
