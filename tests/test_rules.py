@@ -206,3 +206,25 @@ def test_too_many_candidates_are_an_error(spark):
 def test_tolerant_timestamp(spark):
     made = value(spark, keys.tolerant_timestamp(F.lit("1700000000000")))
     assert made == datetime.datetime(2023, 11, 14, 22, 13, 20) and value(spark, keys.tolerant_timestamp(F.lit("soon"))) is None
+
+
+def test_extents_of_batches_equal_the_plain_form(monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from vellum.functions import trigram
+
+    r = random.Random(2)
+    pick = lambda n, top: [f"g{r.randrange(top)}" for _ in range(n)]
+    queries = [None, [], ["a"], ["a"], *[list(dict.fromkeys(pick(r.randrange(12), 15))) for _ in range(400)]]
+    ordered = [["a"], ["a"], None, [], *[pick(r.randrange(40), r.choice([4, 15, 40])) for _ in range(400)]]
+    want = [trigram.best_extent(q or [], o or []) for q, o in zip(queries, ordered)]
+    kind = pa.list_(pa.string())
+    for elements in (1 << 21, 50, 1):
+        monkeypatch.setattr(trigram, "_ELEMENTS", elements)
+        assert np.allclose(trigram.best_extents(pa.array(queries, kind), pa.array(ordered, kind)), want, atol=1e-12)
+    cut = slice(100, 200)
+    assert np.allclose(trigram.best_extents(pa.array(queries, kind)[cut], pa.array(ordered, kind)[cut]), want[cut], atol=1e-12)
+    assert trigram.best_extents(pa.array([], kind), pa.array([], kind)).tolist() == [] and max(want) > 0.5

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +41,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def best_extent(query: list[str], ordered: list[str]) -> float:
-    """One pass with running counts from every start; runs start and end on a trigram of the query."""
+    """One pass with running counts from every start; runs start and end on a trigram of the query. The plain form that `best_extents` is tested against."""
     asked = set(query)
     best = 0.0
     for start, first in enumerate(ordered):
@@ -58,6 +60,70 @@ def best_extent(query: list[str], ordered: list[str]) -> float:
     return best
 
 
+#: Window elements that one sweep holds.
+_ELEMENTS = 1 << 21
+
+
+def _numbered(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row of each item, items on end) of a list column; null lists have none."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(column)), lengths), column.flatten()
+
+
+def best_extents(queries: pa.Array, ordered: pa.Array) -> np.ndarray:
+    """`best_extent` of every row of two list columns, as one sweep over arrays.
+
+    A run's score is c / (q + u): distinct trigrams it shares with the query,
+    trigrams of the query, and distinct others. Runs begin and end on shared
+    trigrams, so the sweep visits those only; others that occur once are counted
+    by a prefix sum, and the few that repeat are visited too. An item is new in
+    a run if it did not occur between the run's start and itself.
+    """
+    rows = len(queries)
+    q_row, q_items = _numbered(queries)
+    o_row, o_items = _numbered(ordered)
+    best = np.zeros(rows)
+    if not len(q_items) or not len(o_items):
+        return best
+    coded = pa.concat_arrays([q_items.cast(pa.string()), o_items.cast(pa.string())]).dictionary_encode(null_encoding="encode")
+    code, size = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+    asked = np.unique(q_row * size + code[: len(q_items)])
+    total = np.bincount(asked // size, minlength=rows)
+    key = o_row * size + code[len(q_items) :]
+    at = np.minimum(np.searchsorted(asked, key), len(asked) - 1)
+    shared = asked[at] == key
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    before = np.full(len(key), -1)
+    before[order[1:][same]] = order[:-1][same]
+    again = np.zeros(len(key), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    lone = np.cumsum(~shared & ~again)
+    visited = np.flatnonzero(shared | again)
+    row = o_row[visited]
+    end = np.searchsorted(row, row, side="right")
+    start = np.flatnonzero(shared[visited])
+    span = end[start] - start
+    done = np.concatenate([[0], np.cumsum(span)])
+    low = 0
+    while low < len(start):
+        high = max(low + 1, int(np.searchsorted(done, done[low] + _ELEMENTS, "right")) - 1)
+        own, length = start[low:high], span[low:high]
+        base = np.cumsum(length) - length
+        k = np.arange(int(length.sum())) - np.repeat(base - own, length)
+        begin = np.repeat(visited[own], length)
+        item = visited[k]
+        new, common = before[item] < begin, shared[item]
+        c, u = np.cumsum(new & common), np.cumsum(new & ~common)
+        c = c - np.repeat(np.concatenate([[0], c])[base], length)
+        u = u - np.repeat(np.concatenate([[0], u])[base], length) + lone[item] - lone[begin]
+        score = np.where(common, c / (total[o_row[begin]] + u), 0.0)
+        np.maximum.at(best, row[own], np.maximum.reduceat(score, base))
+        low = high
+    return best
+
+
 def with_word_similarity(rows: DataFrame, query: str, ordered: str, out: str = "word_sim") -> DataFrame:
     """Add the best similarity of a query set to any run of an ordered list.
 
@@ -69,7 +135,7 @@ def with_word_similarity(rows: DataFrame, query: str, ordered: str, out: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [best_extent(q or [], o or []) for q, o in zip(batch.column(query).to_pylist(), batch.column(ordered).to_pylist())]
+            found = best_extents(batch.column(query), batch.column(ordered))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, out])
 
     return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(out, T.DoubleType())]))
