@@ -58,30 +58,39 @@ def lookup_manifest(refs: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def find_entries(paths: DataFrame, entries: DataFrame) -> DataFrame:
+def entry_names(entries: DataFrame) -> DataFrame:
+    """(book_id, exact, lower): entry number by name and by name in lower case; a later entry of the same name replaces an earlier one.
+
+    One row per book, which is one archive of bounded size; no entry's bytes are read.
+    """
+    by_name = entries.groupBy("book_id", "entry").agg(F.max("entry_pos").alias("_pos"))
+    by_lower = by_name.groupBy("book_id", F.lower("entry").alias("_lower")).agg(F.max("_pos").alias("_last"), F.collect_list(F.struct("entry", "_pos")).alias("_exact"))
+    return by_lower.groupBy("book_id").agg(
+        F.map_from_entries(F.flatten(F.collect_list("_exact"))).alias("exact"), F.map_from_entries(F.collect_list(F.struct("_lower", "_last"))).alias("lower"))
+
+
+def locate_entries(paths: DataFrame, names: DataFrame) -> DataFrame:
+    """Paths with the number of their entry, `entry_pos`: exact, any case, decoded, decoded any case; null without one."""
+    exact = normalize_path(F.col("path"))
+    keyed = paths.withColumn("_p", exact).withColumn("_d", decode_uri(F.col("_p")))
+    found = [F.try_element_at(F.col(column), key) for column, key in (("exact", F.col("_p")), ("lower", F.lower("_p")), ("exact", F.col("_d")), ("lower", F.lower("_d")))]
+    return keyed.join(names.select("book_id", "exact", "lower"), "book_id", "left").select(*paths.columns, F.coalesce(*found).alias("entry_pos"))
+
+
+def find_entries(paths: DataFrame, entries: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Archive entry of each path: exact, any case, decoded, decoded any case.
 
     `paths(book_id, path, ...)`, `entries(book_id, entry, data)` with entry
-    names normalised. Paths without an entry get a null `data`.
+    names normalised. Paths without an entry get a null `data`. Names are
+    resolved first, so that bytes meet the chosen paths alone.
     """
-    exact = normalize_path(F.col("path"))
-    decoded = decode_uri(exact)
-    keyed = paths.withColumns({"_p1": exact, "_p2": F.lower(exact), "_p3": decoded, "_p4": F.lower(decoded)})
-    # a later entry of the same name replaces an earlier one
-    names = entries.select("book_id", "entry", "entry_pos")
-    by_name = names.groupBy("book_id", "entry").agg(F.max("entry_pos").alias("_pos"))
-    by_lower = names.groupBy("book_id", F.lower("entry").alias("entry")).agg(F.max("entry_pos").alias("_pos"))
-    out = keyed
-    for at, source in enumerate([by_name, by_lower, by_name, by_lower], 1):
-        side = source.select("book_id", F.col("entry").alias(f"_p{at}"), F.col("_pos").alias(f"_e{at}"))
-        out = out.join(side, ["book_id", f"_p{at}"], "left")
-    located = out.select(*paths.columns, F.coalesce("_e1", "_e2", "_e3", "_e4").alias("entry_pos"))
-    return located.join(entries.select("book_id", "entry_pos", "data"), ["book_id", "entry_pos"], "left")
-
-
-def _with_document_images(docs: DataFrame, entries: DataFrame, manifest: DataFrame) -> DataFrame:
+    located = locate_entries(paths, entry_names(entries) if names is None else names)
+    return located.join(entries.select("book_id", "entry_pos", "data"), ["book_id", "entry_pos"], "left").select(*paths.columns, "entry_pos", "data")
+
+
+def _with_document_images(docs: DataFrame, entries: DataFrame, manifest: DataFrame, names: DataFrame) -> DataFrame:
     """First image item that each document shows: (book_id, ref_id, item_id)."""
-    texts = find_entries(docs, entries).filter(F.col("data").isNotNull())
+    texts = find_entries(docs, entries, names).filter(F.col("data").isNotNull())
     refs = texts.select(
         "book_id", F.col("ref_id").alias("_doc"), F.col("path").alias("base"),
         F.posexplode(image_references(F.col("data").cast("string"))).alias("_n", "reference"),
@@ -90,14 +99,16 @@ def _with_document_images(docs: DataFrame, entries: DataFrame, manifest: DataFra
     return images.groupBy("book_id", F.col("_doc").alias("ref_id")).agg(F.min_by("item_id", "_n").alias("item_id"))
 
 
-def cover_items(references: DataFrame, manifest: DataFrame, flow: DataFrame, entries: DataFrame) -> DataFrame:
+def cover_items(references: DataFrame, manifest: DataFrame, flow: DataFrame, entries: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(book_id, item_id) of the cover by the first rule that finds an image.
 
     Rules in order: declared references (meta, then guide), the `cover-image`
     property, cover-like items and the first spine item (documents opened for
     their first image), a cover-like image name.
-    `references(book_id, seq, base, reference)`.
+    `references(book_id, seq, base, reference)`; `names` are those of the
+    entries, if they are at hand. All documents to open are opened in one pass.
     """
+    names = entry_names(entries) if names is None else names
     refs = references.filter(F.length(strip(F.col("reference"))) > 0).withColumn("ref_id", F.concat(F.lit("r"), F.col("seq").cast("string")))
     resolved = lookup_manifest(refs, manifest)
     direct = resolved.filter(is_image(F.col("item_type"))).select("book_id", F.lit(1).alias("rule"), "seq", "item_id")
@@ -106,10 +117,6 @@ def cover_items(references: DataFrame, manifest: DataFrame, flow: DataFrame, ent
     opened = as_document.select(
         "book_id", "ref_id", "seq", F.when(no_item, resolve_href(F.col("base"), F.col("reference"))).otherwise(F.col("item_href")).alias("path")
     )
-    shown = opened.select("book_id", "ref_id", "seq").join(
-        _with_document_images(opened.select("book_id", "ref_id", "path"), entries, manifest), ["book_id", "ref_id"]
-    ).select("book_id", F.lit(1).alias("rule"), "seq", "item_id")
-
     image = is_image(F.col("media_type"))
     flagged = manifest.filter(image & F.array_contains(F.split(F.coalesce("properties", F.lit("")), WS + "+"), "cover-image")).select(
         "book_id", F.lit(2).alias("rule"), F.col("pos").alias("seq"), F.col("id").alias("item_id")
@@ -125,12 +132,13 @@ def cover_items(references: DataFrame, manifest: DataFrame, flow: DataFrame, ent
     documents = likely.filter(~image & is_document(F.col("media_type"), F.col("href"))).select(
         "book_id", F.concat(F.lit("m"), F.col("id")).alias("ref_id"), F.col("href").alias("path"), F.col("pos").alias("seq")
     )
-    likely_docs = documents.select("book_id", "ref_id", "seq").join(
-        _with_document_images(documents.select("book_id", "ref_id", "path"), entries, manifest), ["book_id", "ref_id"]
-    ).select("book_id", F.lit(3).alias("rule"), "seq", "item_id")
+    documents = union_all(opened.withColumn("rule", F.lit(1)).select("book_id", "ref_id", "path", "rule", "seq"), documents.withColumn("rule", F.lit(3)).select("book_id", "ref_id", "path", "rule", "seq"))
+    shown = documents.select("book_id", "ref_id", "rule", "seq").join(
+        _with_document_images(documents.select("book_id", "ref_id", "path"), entries, manifest, names), ["book_id", "ref_id"]
+    ).select("book_id", "rule", "seq", "item_id")
     last = named.filter(image).select("book_id", F.lit(4).alias("rule"), F.col("pos").alias("seq"), F.col("id").alias("item_id"))
 
     every = direct
-    for part in (shown, flagged, likely_images, likely_docs, last):
+    for part in (shown, flagged, likely_images, last):
         every = union_all(every, part)
     return every.groupBy("book_id").agg(F.min_by("item_id", F.struct("rule", "seq")).alias("item_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellum.functions.html import chapter_html, chapter_plain_text, cover_figure, slice_by_anchors, title_hint
 from vellum.functions.keys import cover_object, data_url, media_extension, target_prefix
 from vellum.functions.text import resolve_title
-from vellum.operators.covers import cover_items, find_entries
+from vellum.operators.covers import cover_items, entry_names, find_entries
 from vellum.operators.packing import batch_manifest, pack_chapters, stored_bytes, stored_json, stored_objects
 from vellum.operators.toc import best_toc_titles, chapter_descriptors, flow_items
 from vellum.session import stage_table, union_all
@@ -30,15 +30,33 @@ class Unpacked:
     errors: DataFrame
 
 
-def extract_chapters(parsed: DataFrame, covers: DataFrame, inject_cover: bool = True) -> tuple[DataFrame, DataFrame]:
+@dataclass
+class Contents:
+    """What the packages of archives list, staged: small tables that several steps join; only `entries` holds bytes."""
+
+    items: DataFrame
+    flow: DataFrame
+    names: DataFrame
+    entries: DataFrame
+
+
+def contents_of(parsed: DataFrame) -> Contents:
+    items = stage_table(src.manifest(parsed))
+    files = src.entries(parsed)
+    return Contents(items, stage_table(flow_items(src.spine(parsed), items)), stage_table(entry_names(files)), files)
+
+
+def extract_chapters(parsed: DataFrame, covers: DataFrame, inject_cover: bool = True, contents: Contents | None = None) -> tuple[DataFrame, DataFrame]:
     """(chapters, chapters skipped with a reason) of parsed archives.
 
     The ordinal is given before bad chapters drop out, so numbers have gaps.
     """
-    items = src.manifest(parsed)
-    described = chapter_descriptors(flow_items(src.spine(parsed), items), best_toc_titles(src.toc(parsed)))
+    known = contents or contents_of(parsed)
+    items = known.items
+    described = chapter_descriptors(known.flow, best_toc_titles(src.toc(parsed)))
     placed = described.join(items.select("book_id", F.col("id").alias("source_id"), F.col("href").alias("path")), ["book_id", "source_id"], "left")
-    read = find_entries(placed, src.entries(parsed))
+    # staged as bytes of the chosen entries only: errors, chapters and first chapters all read it
+    read = stage_table(find_entries(placed, known.entries, known.names))
     missing = F.col("data").isNull()
     skipped = read.filter(missing).select(
         "book_id", "chapter_index", "chapter_id", F.concat(F.lit("Archive entry not found: "), F.col("path")).alias("error")
@@ -62,12 +80,13 @@ def extract_chapters(parsed: DataFrame, covers: DataFrame, inject_cover: bool =
     return chapters, skipped
 
 
-def cover_assets(parsed: DataFrame, prefixes: DataFrame) -> DataFrame:
+def cover_assets(parsed: DataFrame, prefixes: DataFrame, contents: Contents | None = None) -> DataFrame:
     """(book_id, object_key, media_type, bytes) of the books that have a cover."""
-    items, files = src.manifest(parsed), src.entries(parsed)
-    chosen = cover_items(src.cover_references(parsed), items, flow_items(src.spine(parsed), items), files)
+    known = contents or contents_of(parsed)
+    items, files = known.items, known.entries
+    chosen = cover_items(src.cover_references(parsed), items, known.flow, files, known.names)
     images = chosen.join(items.select("book_id", F.col("id").alias("item_id"), F.col("href").alias("path"), "media_type"), ["book_id", "item_id"])
-    found = find_entries(images, files).filter(F.col("data").isNotNull() & F.col("media_type").startswith("image/"))
+    found = find_entries(images, files, known.names).filter(F.col("data").isNotNull() & F.col("media_type").startswith("image/"))
     return found.join(prefixes, "book_id").select(
         "book_id", cover_object(F.col("prefix"), media_extension(F.col("path"), F.col("media_type"))).alias("object_key"),
         "media_type", F.col("data").alias("bytes"),
@@ -79,8 +98,9 @@ def unpack_books(archives: DataFrame, bucket: str, inject_cover: bool = True) ->
     parsed = stage_table(src.parse_archives(archives), ["kind"])
     given = F.col("target_prefix") if "target_prefix" in archives.columns else None
     prefixes = archives.select("book_id", target_prefix(F.col("object_name"), given).alias("prefix"))
-    covers = stage_table(cover_assets(parsed, prefixes))
-    chapters, skipped = extract_chapters(parsed, covers, inject_cover)
+    contents = contents_of(parsed)
+    covers = stage_table(cover_assets(parsed, prefixes, contents))
+    chapters, skipped = extract_chapters(parsed, covers, inject_cover, contents)
     chapters = stage_table(chapters)
 
     json = stored_json(F.col("chapter_id"), F.col("chapter_title"), F.col("chapter_index"), F.col("html"))
