@@ -228,14 +228,20 @@ def main_blocks(page: str | None, weights: Weights) -> list[str]:
 def learn_weights(pages: DataFrame, html_column: str = "html", fit_pages: int = FIT_PAGES) -> Weights:
     """Weights from labelled pages: those that mark their article with <article> or <main>.
 
-    At most `fit_pages` pages are read, chosen by the smallest hash of their
-    markup, so reruns agree. A tag's weight is the log odds of standing inside
+    About `fit_pages` different pages are read, those whose hash falls below
+    their share of all, so reruns agree, no task gets more than its part of
+    them, and copies of a page count once. A tag's weight is the log odds of standing inside
     the article, shifted below zero; a word's weight is the log odds of a word.
     Only counts per tag name reach the driver. Without labelled pages the
     starting weights hold.
     """
     labelled = pages.select(F.col(html_column).alias("html")).filter(F.col("html").rlike(r"(?i)<(article|main)\b"))
-    sample = labelled.orderBy(F.xxhash64("html"), "html").limit(fit_pages) if fit_pages else labelled
+    sample = labelled
+    if fit_pages:
+        known = labelled.agg(F.approx_count_distinct(F.xxhash64("html"), 0.01)).first()[0]
+        if known > fit_pages:
+            sample = labelled.filter(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < int(fit_pages / known * (1 << 30)))
+        sample = sample.dropDuplicates()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside: Counter = Counter()
