@@ -23,6 +23,7 @@ from vellum.registry import Registry, table
 from vellum.registry.scalars import html_text_sql, paragraphs_sql
 from vellum.session import checkpoint_folder, stage_table, union_all
 from vellum.sources import archives as src
+from vellum.sources.object_store import cover_store, object_store
 from vellum.sources.stored import parse_batches, parse_chapters
 from vellum.sources.events import build_events, event_name_id, file_stream, route_outbox
 from vellum.streaming.envelope import with_payload
@@ -237,6 +238,36 @@ def t10_stream(spark, sf):
         broken.select("book_id", "chapter_id", F.lit("missing").alias("state")))
 
 
+@R.add("s5_object_log", """
+  SELECT page_id % 50 AS book_id, url AS object_name, length(CASE WHEN page_id % 3 = 0 THEN html || 'new' ELSE html END)::BIGINT AS chars FROM pages
+  UNION ALL SELECT page_id % 50, 'copy of ' || url, length(html)::BIGINT FROM pages WHERE page_id % 5 = 0""")
+def s5_log(spark, sf):
+    """Objects in versions: a load, and a write of changed and new ones delivered twice; the last of each name holds."""
+    pages = table(spark, sf, "pages")
+    book = (F.col("page_id") % 50).alias("book_id")
+    store = object_store(spark, _folder(spark, "objects"))
+    store.write(pages.select(book, F.col("url").alias("object_name"), F.col("html").alias("value")))
+    changed = pages.filter("page_id % 3 = 0").select(book, F.col("url").alias("object_name"), F.concat("html", F.lit("new")).alias("value"))
+    added = pages.filter("page_id % 5 = 0").select(book, F.concat(F.lit("copy of "), F.col("url")).alias("object_name"), F.col("html").alias("value"))
+    for _ in range(2):
+        store.write(union_all(changed, added), 1)
+    return store.read().select("book_id", "object_name", F.length("value").cast("long").alias("chars"))
+
+
+@R.add("s6_cover_log", """
+  SELECT page_id % 97 AS book_id, CASE WHEN bool_or(page_id % 2 = 1) THEN 'odd/' || max(page_id) FILTER (page_id % 2 = 1) ELSE 'even/' || max(page_id) END AS object_key FROM pages GROUP BY 1""")
+def s6_log(spark, sf):
+    """One cover per book: those of even pages, and then, for the books that have them, those of odd ones on top of a compacted base."""
+    pages = table(spark, sf, "pages")
+    covers = lambda odd, name: pages.filter(f"page_id % 2 = {odd}").groupBy((F.col("page_id") % 97).alias("book_id")).agg(F.max("page_id").alias("p")).select(
+        "book_id", F.concat(F.lit(name), F.col("p").cast("string")).alias("object_key"), F.lit("image/png").alias("media_type"), F.lit(PIXEL).alias("bytes"))
+    store = cover_store(spark, _folder(spark, "covers"))
+    store.write(covers(0, "even/"))
+    store.compact()
+    store.write(covers(1, "odd/"))
+    return store.read().select("book_id", "object_key")
+
+
 @R.add("s5_stored_objects", f"SELECT *, true AS same_bytes FROM ({_P1})")
 def s5(spark, sf):
     """Stored objects read back: every chapter once, and each object as long as its manifest says."""
