@@ -255,11 +255,11 @@ def s5_log(spark, sf):
 
 
 @R.add("s6_cover_log", """
-  SELECT page_id % 97 AS book_id, CASE WHEN bool_or(page_id % 2 = 1) THEN 'odd/' || max(page_id) FILTER (page_id % 2 = 1) ELSE 'even/' || max(page_id) END AS object_key FROM pages GROUP BY 1""")
+  SELECT page_id // 3 AS book_id, CASE WHEN bool_or(page_id % 2 = 1) THEN 'odd/' || max(page_id) FILTER (page_id % 2 = 1) ELSE 'even/' || max(page_id) END AS object_key FROM pages GROUP BY 1""")
 def s6_log(spark, sf):
     """One cover per book: those of even pages, and then, for the books that have them, those of odd ones on top of a compacted base."""
     pages = table(spark, sf, "pages")
-    covers = lambda odd, name: pages.filter(f"page_id % 2 = {odd}").groupBy((F.col("page_id") % 97).alias("book_id")).agg(F.max("page_id").alias("p")).select(
+    covers = lambda odd, name: pages.filter(f"page_id % 2 = {odd}").groupBy(F.floor(F.col("page_id") / 3).cast("long").alias("book_id")).agg(F.max("page_id").alias("p")).select(
         "book_id", F.concat(F.lit(name), F.col("p").cast("string")).alias("object_key"), F.lit("image/png").alias("media_type"), F.lit(PIXEL).alias("bytes"))
     store = cover_store(spark, _folder(spark, "covers"))
     store.write(covers(0, "even/"))

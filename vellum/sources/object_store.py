@@ -37,12 +37,6 @@ class ObjectStore(PointStore):
         self._publish(number, False, folder)
         return number
 
-    def _write(self, rows: DataFrame, number: int, folder: str) -> None:
-        bucketed = rows.withColumn("bucket", bucket_of(F.col("book_id"), self.buckets))
-        # objects of a large book are several tasks
-        tasks = F.pmod(F.xxhash64(*self.keys), F.lit(4))
-        bucketed.repartition("bucket", tasks).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/points/change={number}/folder={folder}")
-
     def read(self, version: int | None = None, books: DataFrame | None = None) -> DataFrame:
         """The objects that hold at a version, by default at the last; with `books(book_id)` only files of their buckets are read."""
         seen = self.commits(version)

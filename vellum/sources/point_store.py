@@ -103,9 +103,8 @@ class PointStore:
 
     def _write(self, rows: DataFrame, number: int, folder: str) -> None:
         bucketed = rows.withColumn("bucket", bucket_of(F.col("book_id"), self.buckets))
-        # dealt by bucket and by point, so that a large book is several tasks and a small change few files
-        tasks = F.pmod(F.xxhash64("point_id"), F.lit(4))
-        bucketed.repartition("bucket", tasks).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/points/change={number}/folder={folder}")
+        # adaptive execution splits large buckets and joins small ones, so a large book is several tasks and a small change few files
+        bucketed.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/points/change={number}/folder={folder}")
 
     # --- reading ----------------------------------------------------------------------------
     def read(self, version: int | None = None, books: DataFrame | None = None) -> DataFrame:
