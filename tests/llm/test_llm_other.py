@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -244,3 +245,32 @@ def test_copyright_notices_end(spark):
     assert all(got[t].license_id is None and got[t].license_digest for t in others) and len({got[t].license_digest for t in others}) == len(others)
     assert got["Copyright 2020 X. Released under the MIT License."].license_id == "MIT-statement"
     assert got["(c) 2020 Acme"].license_digest is None
+
+
+def test_planted_licences_and_their_sql(spark, tmp_path):
+    """Whole texts with holders, other spellings, line breaks and markers are found; changed ones are not; the SQL gives the same rows."""
+    import duckdb
+
+    from vellum.llm.registry import R
+
+    texts = list(license_scan.KNOWN)
+    fill = lambda t: t.replace("<year>", "2021").replace("<owner>", "Acme, Inc.").replace("<copyright holders>", "J. R. Smith")
+    rows, want = [], {}
+    for k, (name, text) in enumerate(texts):
+        made = fill(text)
+        for j, said in enumerate([made, made.upper().replace(",", ""), "\n".join(" * " + x for x in made.replace(" the ", " the\n").split("\n")), re.sub(r"\b(sub)?license\b", r"\1licence", made).replace(" ", "  ")]):
+            rows.append((10 * k + j, said))
+            want[10 * k + j] = name
+        rows.append((10 * k + 5, made + " As amended."))
+        want[10 * k + 5] = None
+    odd = ["Copyright 2020 A Copyright 2021 B\nReleased under the MIT License.", "© Copyright 2020 by A, B\nx (c) 2019 y", "", "?!", None, "a.b. e.g. Inc. co.", "Copyright (c) 2020 Acme. All rights reserved. Released under the MIT License.",
+           "(c) 30 days after notice", "\x01 copyright 2020 X\x01tail", "All rights reserved.\n text"]
+    rows += [(9000 + k, t) for k, t in enumerate(odd)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in R.queries["op8_license_digest"](spark, str(tmp_path)).collect()}
+    assert {i: (got[i].license_id or None) for i in want} == want
+    assert got[9000].license_id == got[9006].license_id == "MIT-statement"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    twin = {i: (d, n) for i, d, n in con.execute(f"SELECT doc_id, license_digest, license_id FROM ({R.sql['op8_license_digest']})").fetchall()}
+    assert {i: (r.license_digest, r.license_id) for i, r in got.items()} == twin

@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import let
-from vellum.session import broadcast_if_small
+from vellum.llm.license_texts import KNOWN
+from vellum.session import has_at_most, union_all
 
 #: Digests up to which the known table is broadcast; more are joined by a shuffle.
 BROADCAST_DIGESTS = 100_000
 
 # Spellings that licence matching guidelines treat as equal, as (pattern, word).
 SPELLINGS = [
-    ("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licence", "sublicense"), ("copyright holder", "copyright owner"),
+    ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("sub licence", "sublicense"), ("copyright holder", "copyright owner"),
     ("copyright holders", "copyright owners"), ("favour", "favor"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"),
     ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"),
     ("capitalisations", "capitalizations"), ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"), ("emphasised", "emphasized"),
@@ -29,35 +30,10 @@ SPELLINGS = [
     ("per cent", "percent"), ("owner s", "owners"), ("http", "https"),
 ]
 
-_MIT = """MIT License
 
-Copyright (c) <year> <copyright holders>
-
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-_ISC = """ISC License
-
-Copyright (c) <year> <owner>
-
-Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-# Public licence texts and short licence statements.
-KNOWN = [
-    ("MIT", _MIT),
-    ("ISC", _ISC),
-    ("MIT-statement", "Released under the MIT License."),
-    ("Apache-2.0-statement", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0-statement", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0-statement", "Licensed under CC BY-NC 4.0."),
-]
-
-
-_SIGN, _GAP = r"(?:\(c\)|©)", r"[^\p{L}\p{N}\n(©<\[{]{0,3}"
-_YEARS = r"(?:19|20)\d\d\b(?:[^\S\n]*[-–,][^\S\n]*(?:(?:19|20)\d\d|\d\d|present|now)\b)*"
+_SIGN, _GAP = r"(?:\(c\)|©)", r"[^\p{L}\p{N}\n(©<\[{]{0,4}"
+_TAB = r"[ \t\x0B\f\r]"
+_YEARS = rf"(?:19|20)\d\d\b(?:{_TAB}*[-–,]{_TAB}*(?:(?:19|20)\d\d|\d\d|present|now)\b)*"
 _BLANK = r"[<\[{][^\n<>\[\]{}]{1,60}[>\]}]"
 # how a notice opens: "(c)" says so only beside "copyright" or a year, and inside a line only "copyright" with a year does
 _OPENING = (
@@ -65,22 +41,41 @@ _OPENING = (
     rf"|{_SIGN}{_GAP}(?:copyright\b{_GAP}(?:{_SIGN}{_GAP})?(?:{_YEARS}|{_BLANK}|by\b)?|{_YEARS})|©{_GAP}(?:{_BLANK}|by\b))"
     rf"|\bcopyright\b{_GAP}(?:{_SIGN}{_GAP})?{_YEARS})"
 )
-# words that open a grant, where a text flattened to one line goes on after the holder
-_GRANT = rf"\b(?:permission (?:is|to)\b|redistribution and use\b|licensed under\b|released under\b|all rights reserved\b|this (?:software|program|work|file|library|code)\b|copyright[^\S\n]+(?:{_SIGN}|(?:19|20)\d\d))"
 #: Code points of a holder at most; where neither a sentence, a line nor a grant says that it ends, only marker and years go.
 HOLDER = 120
-_NOTICE = (
-    rf"(?m){_OPENING}(?:[^\n]{{0,{HOLDER}}}?(?:(?<!\b\p{{L}})(?<!\b(?:inc|ltd|corp|co|llc|jr|sr|dr|univ))\.(?=\s|$)|(?={_GRANT})|[^\S\n]*$))?"
-    r"(?:\.?[^\S\n]*all rights reserved\b\.?)?"
+# The rule needs no looking around, so that any engine can apply it: (pattern, what is put before the groups kept, those groups).
+#: The full stop of an abbreviation or initial ends no sentence, so it becomes a blank.
+ABBREVIATION = r"(^|[^\p{L}\p{N}])((?:\p{L}\.)*(?:\p{L}|inc|ltd|corp|co|llc|jr|sr|dr|univ))\."
+#: Words that open a grant, where a text flattened to one line goes on after the holder; the character MARK is put before them.
+GRANT = rf"(\b(?:permission (?:is|to)\b|redistribution and use\b|licensed under\b|released under\b|all rights reserved\b|this (?:software|program|work|file|library|code)\b|copyright{_TAB}+(?:{_SIGN}|(?:19|20)\d\d)))"
+MARK = "\x01"
+NOTICE = (
+    rf"{_OPENING}(?:[^\n]{{0,{HOLDER}}}?(?:\.(?:{_TAB}|$)|{MARK}|{_TAB}*$))?"
+    rf"(?:\.?{_TAB}*{MARK}?all rights reserved\b\.?)?"
 )
+RESERVED = r"^\W*all rights reserved\W*$"
 
 
 def canonical(text: Column) -> Column:
-    """Case, copyright notices, punctuation, spellings and white space made equal; null stays null."""
-    # only the notice itself goes, not what follows it on its line; and lines that only say "all rights reserved"
-    kept = F.regexp_replace(F.lower(text), _NOTICE, " ")
-    kept = F.regexp_replace(kept, r"(?m)^\W*all rights reserved\W*$", " ")
-    return let(F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " ")), _one_spelling)
+    """Case, copyright notices, punctuation, spellings and white space made equal; null stays null.
+
+    Only the notice itself goes, not what follows it on its line; and lines
+    that only say "all rights reserved". A text without any sign of either is
+    not searched for them.
+    """
+    lines = "(?md)"  # a line ends at a line feed and nowhere else
+
+    def without(said: Column) -> Column:
+        kept = F.regexp_replace(said, ABBREVIATION, "$1$2 ")
+        kept = F.regexp_replace(kept, GRANT, f"{MARK}$1")
+        kept = F.regexp_replace(kept, lines + NOTICE, " ")
+        return F.regexp_replace(kept, lines + RESERVED, " ")
+
+    def plain(said: Column) -> Column:
+        signs = said.contains("copyright") | said.contains("(c)") | said.contains("©") | said.contains("all rights reserved")
+        return F.trim(F.regexp_replace(F.when(signs, without(said)).otherwise(said), r"[^\p{L}\p{N}]+", " "))
+
+    return let(let(F.lower(text), plain), _one_spelling)
 
 
 def _one_spelling(plain: Column) -> Column:
@@ -118,13 +113,16 @@ def scan(texts: DataFrame, licenses: DataFrame, text: str = "text") -> DataFrame
 
     The digest is computed where the text is read and the hash join is on it
     alone. The known table is broadcast behind a check of its size; beyond it
-    both sides are shuffled by digest, the null digests apart. Null and
-    letterless texts have no digest. Columns that carry an added name are
+    both sides are shuffled by digest, and rows without a digest take no part
+    in that. Null and letterless texts have no digest. Columns that carry an added name are
     replaced.
     """
     rows = texts.drop("license_digest", "license_id").withColumn("license_digest", digest(F.col(text)))
-    known = broadcast_if_small(known_digests(licenses).withColumnRenamed("digest", "__digest"), BROADCAST_DIGESTS)
-    return rows.join(known, F.col("license_digest") == F.col("__digest"), "left").drop("__digest")
+    known = known_digests(licenses).withColumnRenamed("digest", "__digest")
+    if has_at_most(known, BROADCAST_DIGESTS):
+        return rows.join(F.broadcast(known), F.col("license_digest") == F.col("__digest"), "left").drop("__digest")
+    found = rows.filter("license_digest is not null").join(known, F.col("license_digest") == F.col("__digest"), "left").drop("__digest")
+    return union_all(found, rows.filter("license_digest is null").withColumn("license_id", F.lit(None).cast("string")))
 
 
 def scan_lines(texts: DataFrame, licenses: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

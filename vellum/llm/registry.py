@@ -68,17 +68,17 @@ def _op8_sql() -> str:
     for was, now in license_scan.SPELLINGS:
         said = f"replace({said}, ' {was.replace(' ', '  ')} ', ' {now.replace(' ', '  ')} ')"
     known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in license_scan.KNOWN)
-    first = r"(?m)^[^\p{L}\p{N}\n©]*(?:copyright\b[^\n]{0,2}|\(c\)|©)[ \t\n\r\f\v]*(?:\(c\)|©|[0-9<\[{]|by\b|copyright\b)[^\n]*$"
-    return f"""
+    return rf"""
 WITH known(license_id, text) AS (VALUES {known}),
 every AS (SELECT 'd' AS kind, doc_id, NULL AS license_id, text FROM documents UNION ALL SELECT 'k', NULL, license_id, text FROM known),
-kept AS (SELECT *, regexp_replace(regexp_replace(lower(text), '{first}', ' ', 'g'), '(?m)^\\W*all rights reserved\\W*$', ' ', 'g') AS k FROM every),
-plain AS (SELECT *, trim(regexp_replace(k, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS plain FROM kept),
+marked AS (SELECT *, regexp_replace(regexp_replace(lower(text), '{license_scan.ABBREVIATION}', '\1\2 ', 'g'), '{license_scan.GRANT}', chr(1) || '\1', 'g') AS m FROM every),
+kept AS (SELECT *, regexp_replace(regexp_replace(m, '(?m){license_scan.NOTICE}', ' ', 'g'), '(?m){license_scan.RESERVED}', ' ', 'g') AS k FROM marked),
+plain AS (SELECT *, trim(regexp_replace(k, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS plain FROM kept),
 form AS (SELECT *, trim(replace({said}, '  ', ' ')) AS form FROM plain),
 dig AS (SELECT *, CASE WHEN form <> '' THEN sha256(form) END AS license_digest FROM form),
 ids AS (SELECT license_digest AS d, min(license_id) AS license_id FROM dig WHERE kind = 'k' GROUP BY 1)
 SELECT dig.doc_id, dig.license_digest, ids.license_id FROM dig LEFT JOIN ids ON ids.d = dig.license_digest WHERE kind = 'd'
-""".replace("\\\\", "\\")
+"""
 
 
 @R.add("op8_license_digest", _op8_sql())
