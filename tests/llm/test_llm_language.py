@@ -48,3 +48,18 @@ def test_query_by_brute_force(spark):
         mine = got[r.doc_id]
         assert mine.held_out == held[r.doc_id] and mine.lang_pred == best
         assert abs(mine.score - 1 / sum(math.exp(s - score[best]) for s in score.values())) < 1e-6
+
+
+def test_rare_languages_and_copies_in_the_sample(spark):
+    """Each language has its share; a text that many ids share is thinned out like any other."""
+    rows = [(i, f"gewoehnlich und haeufig {i}", "de") for i in range(400)] + [(1000 + i, "the same text again", "en") for i in range(400)] + [(2000 + i, f"rara lingua {i}", "la") for i in range(5)]
+    df = spark.createDataFrame([*rows, (None, "no id", "en"), (7, None, "xx"), (8, "none", None)], "doc_id bigint, text string, lang string")
+    model = language_id.fit(df, fit_rows=120)
+    assert model.languages == ["de", "en", "la"]
+    texts = ["gewoehnlich", "the same text", "rara lingua"]
+    assert model.score(texts)[0] == ["de", "en", "la"]
+    whole = language_id.fit(df.filter("lang = 'la'"), fit_rows=120)
+    assert (whole.matrix[0] == model.matrix[2]).all()
+    again = language_id.fit(df.repartition(7), fit_rows=120)
+    assert (again.matrix == model.matrix).all()
+    assert language_id.fit(df.drop("doc_id"), fit_rows=120).languages[0] == "de"

@@ -119,26 +119,34 @@ def _add(table: pa.Table) -> pa.Table:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, bits: int = BITS,
-        orders: tuple[int, ...] = ORDERS, smoothing: float = 0.5) -> Model:
+        orders: tuple[int, ...] = ORDERS, smoothing: float = 0.5, row_id: str | None = "doc_id") -> Model:
     """Train on rows with a language and a text.
 
-    At most about `fit_rows` rows are used: with more, a row is taken if a hash
-    of its text falls below fit_rows / rows, so reruns agree. Counts per
+    At most about `fit_rows` rows are used. With more, each language has an
+    equal share of them: one with fewer rows gives all of them, of any other a
+    row is taken if a hash of its text and id falls below share / rows. So a
+    rare language is learned like the others, copies of one text under many ids
+    are thinned out like other rows, and reruns agree. Counts per
     language are added up inside the tasks and then per (language, slice of the
     slots); only the finished matrix, languages x 2^bits with at most
     MAX_LANGUAGES languages, reaches the driver. No rows give a model without
     languages, which answers `und`.
     """
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    known = rows.count()
-    if known > fit_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(fit_rows / known * (1 << 30)))
+    key = [F.col(text), *([F.col(row_id)] if row_id in labelled.columns else [])]
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(*key), F.lit(1 << 30)).alias("draw"))
+    known = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(known) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if sum(known.values()) > fit_rows:
+        share = fit_rows / len(known)
+        below = F.create_map(*[F.lit(x) for lang_, n in known.items() for x in (lang_, int(min(1.0, share / n) * (1 << 30)))])
+        rows = rows.filter(F.col("draw") < below[F.col("lang")])
+    rows = rows.select("lang", "text")
     slices = 8
     schema = "lang string, slice int, counts array<bigint>"
     sums = rows.mapInArrow(_count(bits, orders, slices), schema).groupBy("lang", "slice").applyInArrow(_add, schema)
-    got = sums.limit(slices * MAX_LANGUAGES + 1).collect()
-    if len(got) > slices * MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    got = sums.collect()  # at most MAX_LANGUAGES x slices rows
     languages = sorted({r.lang for r in got}, key=lambda s: s.encode())
     counts = np.zeros((len(languages), slices, (1 << bits) // slices))
     for r in got:
