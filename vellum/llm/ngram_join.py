@@ -10,7 +10,7 @@ tolerance, and what is left is verified exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +23,36 @@ from vellum.session import stage_table
 
 #: Words of an n-gram and similarity of a link.
 WORDS, THRESHOLD = 5, 0.8
-#: Bands and rows of the proposal: a pair at the threshold is missed with probability (1 - 0.8^5)^40 = 1e-7.
-BANDS, ROWS = 40, 5
+#: Probability at most with which the bands miss a pair at the threshold; rows and number of bands at most, as long as that allows it.
+MISS, ROWS, BANDS = 1.3e-7, 5, 128
 #: MinHash values compared at once, how many at most, and the posterior below which a pair is dropped.
 STEP, STEPS, TOLERANCE = 16, 8, 1e-7
 #: Classes of one neighbourhood that are compared in one task; larger ones are compared block by block.
 BLOCK = 512
 _rng = np.random.default_rng(91)
-_FACTOR = (_rng.integers(0, 1 << 31, max(BANDS * ROWS, STEP * STEPS), dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_FACTOR = (_rng.integers(0, 1 << 31, 200, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _SHIFT = _rng.integers(0, 1 << 32, len(_FACTOR), dtype=np.uint32)
 
 
+def band_shape(threshold: float) -> tuple[int, int]:
+    """(bands, rows): the most rows a band whose bands miss a pair at the threshold with probability (1 - t^rows)^bands <= MISS; 40 bands of 5 for 0.8."""
+    if not 0.0 < threshold <= 1.0:
+        raise ValueError("a threshold lies above 0 and is at most 1")
+    for rows in range(ROWS, 0, -1):
+        bands = 1 if threshold == 1.0 else ceil(log(MISS) / log1p(-(threshold**rows)))
+        if bands <= BANDS or rows == 1:
+            return bands, rows
+    raise AssertionError
+
+
+def factors(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of the first `count` hash functions; more than the fixed table holds come from a second stream."""
+    if count <= len(_FACTOR):
+        return _FACTOR[:count], _SHIFT[:count]
+    more = np.random.default_rng(92).integers(0, 1 << 32, (count - len(_FACTOR), 2), dtype=np.uint32)
+    return np.concatenate([_FACTOR, more[:, 0] | np.uint32(1)]), np.concatenate([_SHIFT, more[:, 1]])
+
+
 def ngram_sets(texts, n: int) -> list[np.ndarray]:
     """Sorted distinct n-gram fingerprints of each text; a shorter text is one n-gram of all its words, one without words has none."""
     data, offsets = flat(texts)
@@ -51,9 +70,10 @@ def ngram_sets(texts, n: int) -> list[np.ndarray]:
 def minhash(grams: np.ndarray, count: int) -> np.ndarray:
     """The first `count` MinHash values of a set."""
     x = (grams >> np.uint64(32)).astype(np.uint32)
+    factor, shift = factors(count)
     out = np.full(count, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 2048):
-        np.minimum(out, (x[at : at + 2048, None] * _FACTOR[:count] + _SHIFT[:count]).min(axis=0), out=out)
+        np.minimum(out, (x[at : at + 2048, None] * factor + shift).min(axis=0), out=out)
     return out
 
 
@@ -103,7 +123,9 @@ def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray |
         yield int(i), alive[shared / (sizes[i] + sizes[alive] - shared) >= threshold]
 
 
-def _class_rows(n: int):
+def _class_rows(n: int, threshold: float):
+    count, rows = band_shape(threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -115,7 +137,7 @@ def _class_rows(n: int):
                         keys.append(None)
                         continue
                     node.append(int(mix(np.bitwise_xor.reduce(mix(grams), keepdims=True) + grams.sum(keepdims=True) + np.uint64(len(grams))).view(np.int64)[0]))
-                    bands = minhash(grams, BANDS * ROWS).astype(np.uint64).reshape(BANDS, ROWS)
+                    bands = minhash(grams, count * rows).astype(np.uint64).reshape(count, rows)
                     keys.append(combine_rows(bands).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(node, pa.int64()), pa.array(keys, pa.binary())], names=["row", "doc_id", "node", "keys"])
 
@@ -130,7 +152,7 @@ def combine_rows(bands: np.ndarray) -> np.ndarray:
     return h
 
 
-def _proposals(buckets: int):
+def _proposals(buckets: int, bands: int):
     """Within a batch: members of a band key hang on the smallest one; only that one goes on to the key's bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +161,7 @@ def _proposals(buckets: int):
             if not len(node):
                 continue
             key = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
-            owner = np.repeat(node, BANDS)
+            owner = np.repeat(node, bands)
             order = np.lexsort((owner, key))
             key, owner = key[order], owner[order]
             new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -196,6 +218,9 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     `node` is the fingerprint of the set (null without words) and `component`
     that of the group.
 
+    Bands follow from the threshold (band_shape), so any of them finds its
+    pairs; low ones propose large neighbourhoods.
+
     Copies are one class and are never paired. A band key passes a task's batch
     once, as a star around its smallest class; stars are joined to
     neighbourhoods, which hold every pair the bands propose. Neighbourhoods up
@@ -209,12 +234,13 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are. Other columns are ignored.
     """
     numbered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    keys = stage_table(numbered.mapInArrow(_class_rows(n), "row bigint, doc_id bigint, node bigint, keys binary"))
+    keys = stage_table(numbered.mapInArrow(_class_rows(n, threshold), "row bigint, doc_id bigint, node bigint, keys binary"))
     classes = stage_table(keys.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("class_id"), F.min("row").alias("shown"), F.count("*").alias("copies"), F.min("keys").alias("keys")))
     many = classes.count()
-    buckets = max(1, -(-many * BANDS // 1_000_000))
-    packed = stage_table(classes.select("node", "keys").mapInArrow(_proposals(buckets), "bucket bigint, a binary, b binary"))
+    bands, _ = band_shape(threshold)
+    buckets = max(1, -(-many * bands // 1_000_000))
+    packed = stage_table(classes.select("node", "keys").mapInArrow(_proposals(buckets, bands), "bucket bigint, a binary, b binary"))
     near = packed.filter("bucket is null").mapInArrow(_unpacked, "a bigint, b bigint")
     far = packed.filter("bucket is not null").groupBy("bucket").applyInArrow(_hubs, "a bigint, b bigint")
     around = stage_table(components(near.unionByName(far)).join(classes.select("node", "shown", "copies"), "node"))
