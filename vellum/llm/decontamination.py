@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Benchmark text that goes into one automaton; more is searched in several passes.
-AUTOMATON_BYTES = 32 << 20
+from vellum.session import stage_table
+
+#: Bytes of windows that go into one automaton; more are searched for in several passes. Windows of one piece of an item.
+AUTOMATON_BYTES, PIECE = 32 << 20, 1_000
 _SPACE = 0x20
 _KEEP = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else _SPACE for b in range(256))
 _built: dict = {}
@@ -30,16 +33,36 @@ def windows(text: str | None, n: int) -> list[str]:
     return [(b" " + b" ".join(found[i : i + n]) + b" ").decode("latin-1") for i in range(max(1, len(found) - n + 1))]
 
 
+def _pieces(n: int, most: int):
+    """Items cut into pieces of at most `most` windows, n - 1 words repeated between them, with the bytes of their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[str | None, str, int]] = []
+            for item, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = normal_words((said or "").encode())
+                starts = max(1, len(found) - n + 1) if found else 0
+                for at in range(0, starts, most):
+                    count = min(most, starts - at)
+                    part = found[at : at + count + n - 1]
+                    line = b" ".join(part)
+                    rows.append((item, line.decode(), count * (min(n, len(part)) * (len(line) // len(part) + 1) + 1)))
+            items, texts, sizes = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["item", "said", "size"])
+
+    return run
+
+
 def _automaton(shared):
-    """Built once in each worker from the broadcast windows."""
+    """Built once in each worker from the broadcast pieces; only the windows of one part are held at a time."""
     key = shared.value["key"]
     if key not in _built:
         import ahocorasick
 
         machine = ahocorasick.Automaton()
         owners: dict[str, list[int]] = {}
-        for k, patterns in enumerate(shared.value["windows"]):
-            for p in patterns:
+        for k, said in enumerate(shared.value["said"]):
+            for p in windows(said, shared.value["n"]):
                 owners.setdefault(p, []).append(k)
         for p, k in owners.items():
             machine.add_word(p, (p.count(" ") - 1, sorted(set(k))))
@@ -88,11 +111,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "
                spans: bool = True, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """Add n_words, n_hit, item_ids (sorted strings) and leak_spans ([start, end) characters of the original) to every row.
 
-    The benchmark's size is measured first. Up to `automaton_bytes` of it go
-    into one broadcast automaton and the documents are scanned once, without a
-    shuffle. A larger benchmark is cut into parts by a hash of the item and
-    each part is scanned for in turn; runs of words and items of the parts are
-    merged row by row, so results do not depend on the number of parts.
+    Items are cut into pieces of at most PIECE windows where they are read, and
+    the bytes of all their windows are measured. Up to `automaton_bytes` of
+    them go, as pieces, into one broadcast, workers build the automaton from
+    it, and the documents are scanned once, without a shuffle. More are dealt
+    over parts by a hash of the piece, whatever the lengths of the items; each
+    part is scanned for in turn and what it finds is staged, so that the driver
+    and the workers hold one part at a time. Runs of words and items of the
+    parts are merged row by row, so results do not depend on their number.
 
     Null and empty texts have no words. Items without words are never found;
     several rows of one item id count as one item; a null item id is left out
@@ -101,7 +127,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("said"))
-    size = items.agg(F.sum(F.octet_length("said"))).first()[0] or 0
+    pieces = stage_table(items.mapInArrow(_pieces(n, PIECE), "item string, said string, size bigint").distinct())
+    size = pieces.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-size // automaton_bytes))
     added = T.StructType([
         T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())),
@@ -111,11 +138,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "
     own = out.columns
     schema = T.StructType([*out.schema.fields, *added.fields])
     for part in range(parts):
-        # bounded by automaton_bytes, up to the unevenness of the hash and one item
-        rows = items.filter(F.pmod(F.xxhash64("item", "said"), F.lit(parts)) == part).orderBy("item", "said").collect()
-        shared = spark.sparkContext.broadcast({
-            "key": f"{id(rows)}-{part}-{len(rows)}-{hash(tuple(rows))}", "items": [r.item for r in rows], "windows": [windows(r.said, n) for r in rows]})
+        # bounded by automaton_bytes, up to the unevenness of the hash and one piece
+        rows = pieces.filter(F.pmod(F.xxhash64("item", "said"), F.lit(parts)) == part).select("item", "said").collect()
+        shared = spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "n": n, "items": [r.item for r in rows], "said": [r.said for r in rows]})
         out = out.mapInArrow(_scanner(shared, own, text, spans, part > 0), schema)
+        if part + 1 < parts:
+            out = stage_table(out)
     return out.drop("__runs")
 
 
