@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,30 @@ def test_variable_prefixes_keep_groups_small(spark):
     assert {(r.doc_id, r.n_removed) for r in substring_dedup.cut_repeats(df, 5, group_suffixes=400).collect()} == {(i, 0) for i, _ in rows}
 
 
+def test_substring_cut_beyond_the_tables(spark, monkeypatch):
+    """More shards than bounds and more heavy prefixes than the table holds: same rows."""
+    monkeypatch.setattr(substring_dedup, "MAX_CUTS", 2)
+    monkeypatch.setattr(substring_dedup, "MAX_PREFIXES", 40)
+    rows = passages()
+    got = substring_dedup.cut_repeats(table(spark, rows), 13, shard_bytes=700, group_suffixes=30).collect()
+    assert Counter((r.doc_id, r.n_words, r.kept_text) for r in got) == Counter((i, m, " ".join(k)) for i, m, k in cut_words(rows, 13))
+    sharded, shards, _ = substring_dedup.add_shard(table(spark, rows), "doc_id", "text", 700)
+    place = {r.doc_id: r["__shard"] for r in sharded.filter("doc_id is not null").collect()}
+    assert shards > 20 and len(set(place.values())) > 10 and max(place.values()) < shards
+    assert [place[i] for i in sorted(place)] == sorted(place.values())
+
+
+def test_groups_are_bounded_without_a_table():
+    """A prefix of all suffixes that no table holds is divided by the whole window."""
+    import pyarrow as pa
+
+    w = substring_dedup.Words(pa.array([" ".join(f"the u{i * 50 + k}" for k in range(50)) for i in range(200)]), 5)
+    none = [np.zeros(0, np.uint64)] * 5
+    whole = np.bincount(substring_dedup.suffix_groups(w, none, 64, 1), minlength=64)
+    split = np.bincount(substring_dedup.suffix_groups(w, none, 64, 64), minlength=64)
+    assert whole.max() > len(w.at) / 3 and split.max() < 4 * len(w.at) / 64
+
+
 def cut_bytes(rows, size):
     raw = [(t or "").encode() for _, t in rows]
     seen = Counter(b[k : k + size] for b in raw for k in range(len(b) - size + 1))
@@ -162,6 +187,18 @@ def test_leaks(spark, limit):
     assert clean.columns == table(spark, rows).columns and {r.doc_id for r in clean.collect()} == {i for i, _, h, _ in leaks(rows, ITEMS) if not h}
 
 
+def test_leaks_of_long_items_over_parts(spark, monkeypatch):
+    """One item is cut into pieces that are searched for in several passes; the same rows as in one."""
+    monkeypatch.setattr(decontamination, "PIECE", 7)
+    said = [f"k{i % 90}" for i in range(200)]
+    items = [("long", " ".join(said)), ("short", "k1 k2 k3"), ("long", "k5 k6 k7 k8 k9 k10 k11 k12 k13 k14 k15")]
+    rows = [(1, " ".join(said[15:45])), (2, " ".join(said[30:39])), (3, "x k1 k2 k3 y " + " ".join(said[100:112])), (4, " ".join(said)), (5, None)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for limit in (1 << 20, 2_000):
+        found = decontamination.find_leaks(table(spark, rows), bench, automaton_bytes=limit).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in found) == leaks(rows, items)
+
+
 def links(rows, n=5, threshold=0.8):
     sets = []
     for _, t in rows:
@@ -191,6 +228,21 @@ def test_links(spark, block):
     assert ngram_join.link_documents(table(spark, rows).limit(0)).count() == 0
 
 
+def test_bands_follow_the_threshold(spark):
+    assert ngram_join.band_shape(0.8) == (40, 5)
+    for t in (0.05, 0.3, 0.5, 0.7, 0.9, 1.0):
+        bands, rows = ngram_join.band_shape(t)
+        assert (1 - t**rows) ** bands <= ngram_join.MISS and (bands <= ngram_join.BANDS or rows == 1)
+    with pytest.raises(ValueError):
+        ngram_join.band_shape(0.0)
+    rows = passages(words=400, docs=30)
+    base = [f"b{k}" for k in range(60)]
+    rows += [(500 + k, " ".join(base[: 60 - 3 * k] + [f"n{k}x{j}" for j in range(3 * k)])) for k in range(8)]
+    want, _, _ = links(rows, threshold=0.5)
+    got = ngram_join.link_documents(table(spark, rows), threshold=0.5).collect()
+    assert Counter((r.doc_id, r.class_id, r.group_id, r.n_links) for r in got) == want
+
+
 def test_least_matches_bound_the_posterior():
     from math import comb
 

@@ -5,7 +5,9 @@ suffixes share is made longer, word by word, until its group fits in memory.
 Each group's subtree is built alone. Only nodes as deep as a window (n words)
 matter, so subtrees end at that depth, and the edge from a group's prefix to
 such a node is kept as one 64-bit fingerprint of its n words instead of the
-words. A node with leaves in several places is a repeat; runs of neighbouring
+words. Prefixes are made longer from a broadcast table of bounded size; where
+the input is so large that it holds the heaviest only, a group is divided once
+more, by the longest prefix there is (the n words). A node with leaves in several places is a repeat; runs of neighbouring
 windows make up the maximal repeats.
 """
 
@@ -26,8 +28,10 @@ from vellum.llm.textbytes import Prefix, combine, covered, flat, mix, starts_ins
 
 #: Bytes of text that one task holds at a time, and suffixes of one subtree group.
 SHARD_BYTES, GROUP_SUFFIXES = 2 << 20, 1_000_000
-#: Heavy prefixes that may be broadcast; groups grow before the table does.
-MAX_PREFIXES = 1_000_000
+#: Bytes of a shard at most; shards grow up to it with the input, so that fewer messages pass between shards and groups.
+MAX_SHARD_BYTES, SHARDS = 8 << 20, 16_384
+#: Heavy prefixes that may be broadcast, and bounds of id ranges; what is finer than that follows without a table.
+MAX_PREFIXES, MAX_CUTS = 1_000_000, 10_000
 
 
 class Words:
@@ -45,8 +49,8 @@ class Words:
         return combine(self.hash, depth)[self.at]
 
 
-def suffix_groups(w: Words, heavy: list[np.ndarray], groups: int) -> np.ndarray:
-    """Group of each suffix: by its shortest prefix that is not heavy, at most n words long."""
+def suffix_groups(w: Words, heavy: list[np.ndarray], groups: int, splits: int = 1) -> np.ndarray:
+    """Group of each suffix: by its shortest prefix that is not heavy, at most n words long, and below that by one of `splits` shares of its n words."""
     key = w.prefix(1)
     open_ = np.isin(key, heavy[0]) if len(heavy[0]) else np.zeros(len(key), bool)
     for depth in range(2, w.n + 1):
@@ -55,12 +59,15 @@ def suffix_groups(w: Words, heavy: list[np.ndarray], groups: int) -> np.ndarray:
         longer = w.prefix(depth)
         key = np.where(open_, longer, key)
         open_ &= np.isin(longer, heavy[depth - 1]) if len(heavy[depth - 1]) else False
-    return (mix(key) % np.uint64(groups)).astype(np.int64)
+    place = mix(key)
+    if splits > 1:
+        place = mix(place + mix(w.prefix(w.n)) % np.uint64(splits))
+    return (place % np.uint64(groups)).astype(np.int64)
 
 
-def leaves(w: Words, heavy: list[np.ndarray], groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def leaves(w: Words, heavy: list[np.ndarray], groups: int, splits: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(order of suffixes by group and label, where a new label begins in it, groups and labels of those)."""
-    label, group = w.prefix(w.n), suffix_groups(w, heavy, groups)
+    label, group = w.prefix(w.n), suffix_groups(w, heavy, groups, splits)
     order = np.argsort(label)
     small = group[order].astype(np.uint16 if groups <= 1 << 16 else np.int64)
     order = order[np.argsort(small, kind="stable")]
@@ -131,21 +138,37 @@ def heavy_prefixes(docs: DataFrame, text: str, n: int, threshold: int, n_bytes:
 
 
 def add_shard(docs: DataFrame, doc_id: str, text: str, shard_bytes: int) -> tuple[DataFrame, int, int]:
-    """(rows with `__shard`, shards of rows with an id, bytes): shards are ranges of ids of about equal numbers of rows; rows without id come after them."""
+    """(rows with `__shard`, shards of rows with an id, bytes): shards are ranges of ids of about equal numbers of rows; rows without id come after them.
+
+    Up to MAX_CUTS ranges have bounds that follow the rows (percentiles); with
+    more shards each range is divided evenly by the ids between its bounds.
+    """
     bytes_ = F.coalesce(F.octet_length(text), F.lit(0))
-    size = docs.agg(F.sum(bytes_).alias("all"), F.sum(F.when(F.col(doc_id).isNull(), bytes_)).alias("none")).first()
+    number = F.col(doc_id).cast("long")
+    size = docs.agg(F.sum(bytes_).alias("all"), F.sum(F.when(F.col(doc_id).isNull(), bytes_)).alias("none"), F.min(number).alias("low"), F.max(number).alias("high")).first()
     total, none = size["all"] or 0, size["none"] or 0
-    shards = max(1, -(-(total - none) // shard_bytes))
+    shard_bytes = max(shard_bytes, min(MAX_SHARD_BYTES, total // SHARDS))
+    wanted = max(1, -(-(total - none) // shard_bytes))
     spare = max(1, -(-none // shard_bytes))
+    ranges = min(wanted, MAX_CUTS)
+    each = -(-wanted // ranges)
     cuts = np.zeros(0, np.int64)
-    if shards > 1:
-        steps = [k / shards for k in range(1, shards)]
-        # bounds only: one number per shard
-        cuts = np.unique(np.array(docs.agg(F.percentile_approx(F.col(doc_id).cast("long"), steps, max(10_000, 20 * shards)).alias("c")).first().c or [], np.int64))
+    if ranges > 1:
+        steps = [k / ranges for k in range(1, ranges)]
+        cuts = np.unique(np.array(docs.agg(F.percentile_approx(number, steps, max(10_000, 20 * ranges)).alias("c")).first().c or [], np.int64))
+    # ids of range k lie above edges[k] and are at most edges[k + 1]
+    edges = np.concatenate([[float(size["low"] or 0) - 1], cuts.astype(float), [float(size["high"] or 0)]])
+    shards = ranges * each
 
     @F.pandas_udf("long")
     def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), side="left"))
+        values = ids.to_numpy(np.int64)
+        inside = np.searchsorted(cuts, values, side="left")
+        if each == 1:
+            return pd.Series(inside)
+        low, high = edges[inside], edges[inside + 1]
+        part = (values.astype(float) - low) / np.maximum(high - low, 1.0) * each
+        return pd.Series(inside * each + np.clip(np.ceil(part).astype(np.int64) - 1, 0, each - 1))
 
     lost = F.pmod(F.xxhash64(text), F.lit(spare)) + shards
     return docs.withColumn("__shard", F.when(F.col(doc_id).isNull(), lost).otherwise(place(F.coalesce(F.col(doc_id).cast("long"), F.lit(0))))), shards, total
@@ -176,14 +199,16 @@ def cut_repeats(docs: DataFrame, n: int = 13, doc_id: str = "doc_id", text: str
     own = [c for c in rows.columns if c != text]
     sharded, shards, total = add_shard(rows, doc_id, text, shard_bytes)
     suffixes = max(1, total // 3)  # an upper guide: a word and its blank take three bytes or more
-    group_suffixes = max(group_suffixes, -(-8 * n * suffixes // MAX_PREFIXES))
     groups = max(1, -(-suffixes // (2 * group_suffixes)))
-    heavy = heavy_prefixes(rows, text, n, group_suffixes // 4, total, shard_bytes) if groups > 1 else [np.zeros(0, np.uint64)] * n
+    wanted = max(1, group_suffixes // 4)
+    threshold = max(wanted, -(-2 * n * suffixes // MAX_PREFIXES))  # keeps the table of heavy prefixes below its bound
+    splits = -(-threshold // wanted)
+    heavy = heavy_prefixes(rows, text, n, threshold, total, shard_bytes) if groups > 1 else [np.zeros(0, np.uint64)] * n
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def send(table: pa.Table) -> pa.Table:
         w = Words(table.column(text), n)
-        _, _, group, label = leaves(w, shared.value, groups)
+        _, _, group, label = leaves(w, shared.value, groups, splits)
         cut = np.flatnonzero(np.diff(group)) + 1
         parts = np.split(label, cut) if len(label) else []
         return pa.table({
@@ -217,7 +242,7 @@ def cut_repeats(docs: DataFrame, n: int = 13, doc_id: str = "doc_id", text: str
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         w = Words(table.column(text), n)
-        order, begin, group, _ = leaves(w, shared.value, groups)
+        order, begin, group, _ = leaves(w, shared.value, groups, splits)
         earlier = np.zeros(len(begin), bool)
         for g, bits in zip(answers.column("group").to_pylist(), answers.column("marks").to_pylist()):
             lo, hi = np.searchsorted(group, [g, g + 1])
