@@ -1,5 +1,6 @@
 """Hand-computed values of rule constants and edge cases."""
 
+import base64
 import datetime
 
 import pytest
@@ -228,3 +229,8 @@ def test_extents_of_batches_equal_the_plain_form(monkeypatch):
     cut = slice(100, 200)
     assert np.allclose(trigram.best_extents(pa.array(queries, kind)[cut], pa.array(ordered, kind)[cut]), want[cut], atol=1e-12)
     assert trigram.best_extents(pa.array([], kind), pa.array([], kind)).tolist() == [] and max(want) > 0.5
+
+
+def test_a_data_url_is_one_line(spark):
+    data = bytes(range(200))
+    assert value(spark, keys.data_url(F.lit("image/x"), F.lit(data))) == "data:image/x;base64," + base64.b64encode(data).decode()

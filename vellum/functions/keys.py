@@ -189,4 +189,5 @@ def media_extension(href: Column, media_type: Column) -> Column:
 
 
 def data_url(media_type: Column, data: Column) -> Column:
-    return F.concat(F.lit("data:"), media_type, F.lit(";base64,"), F.base64(data))
+    # Spark breaks base64 into lines of 76 characters; a URL has none
+    return F.concat(F.lit("data:"), media_type, F.lit(";base64,"), F.translate(F.base64(data), "\r\n", ""))
