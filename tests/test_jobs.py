@@ -171,3 +171,12 @@ def test_chapters_announced_alone_are_checked_as_well(spark, tmp_path):
     done = with_payload(spark.read.parquet(f"{folder}/events"), "ChapterVectorized").select("p.chapterId").collect()
     assert [r.chapterId for r in done] == ["a"]
     assert {(r.chapter_id, r.s3_file_path) for r in spark.read.parquet(f"{folder}/points").collect()} == {("a", "o/a")}
+
+
+def test_a_query_of_many_documents_is_scored_as_a_whole(spark, tmp_path):
+    from vellum.registry import everything
+
+    spark.createDataFrame([(1, "ask")], "item_id long, text string").selectExpr("item_id - 1 AS item_id", "text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.range(250).selectExpr("id AS doc_id", "'s' AS source", "'en' AS lang", "concat('t', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = everything().queries["g3_rerank_plugin"](spark, str(tmp_path)).collect()
+    assert len(rows) == 250 and all(r.reranked and r.rerank_score is not None for r in rows)

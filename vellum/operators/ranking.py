@@ -72,15 +72,16 @@ def rerank_by_overlap(items: DataFrame, compatibility: bool = True) -> DataFrame
 
 def rerank(
     items: DataFrame, make_scorer: Callable[[], Scorer], batch_size: int = RERANK_BATCH,
-    max_candidates: int = RERANK_MAX_CANDIDATES, timeout_seconds: float = RERANK_TIMEOUT_SECONDS,
+    max_candidates: int | None = RERANK_MAX_CANDIDATES, timeout_seconds: float = RERANK_TIMEOUT_SECONDS,
 ) -> DataFrame:
     """Score (query, candidate) pairs with a plug-in model; adds rerank_score, reranked and rerank_error.
 
     A failing or late call makes its whole query fall back: `reranked` is
     false, `rerank_score` null and `rerank_error` the reason for all its items.
-    Candidates are counted first, so a query over the limit is not scored.
+    Candidates are counted first, so a query over the limit is not scored; with
+    `max_candidates=None` there is no limit and nothing to count.
     """
-    size = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    size = F.lit(0) if max_candidates is None else F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     pairs = items.withColumns(
         {"_asked": scoring.rerank_query(F.col("query")), "_given": scoring.rerank_text(F.col("chapter_title"), F.col("text")), "_size": size}
     )
@@ -95,7 +96,7 @@ def rerank(
         for batch in batches:
             # one model call never mixes queries, so a failure stays with its query
             for _, group in batch.groupby("query_id", sort=False, dropna=False):
-                reason = "too many candidates" if group["_size"].iloc[0] > max_candidates else None
+                reason = "too many candidates" if max_candidates is not None and group["_size"].iloc[0] > max_candidates else None
                 until = time.monotonic() + timeout_seconds
                 for at in range(0, len(group), batch_size):
                     part = group.iloc[at: at + batch_size]
