@@ -196,3 +196,37 @@ def test_a_search_of_many_broadcasts_is_one_plan(spark):
     scores, names = np.round(unit @ unit.T, 8), np.array([f"p{i}" for i in range(700)])
     want = {(f"p{q}", rank): names[p] for q in range(700) for rank, p in enumerate(np.lexsort((names, -scores[q]))[:5])}
     assert {(x.query_id, x.rank0): x.point_id for x in found.collect()} == want
+
+
+def test_sparse_scores_are_made_where_the_points_lie(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    from vellum.operators import postings, retrieval
+
+    r = random.Random(7)
+    texts = [" ".join(r.choice("abcdefgh") * 2 for _ in range(r.randrange(30))) for _ in range(300)]
+    points = spark.createDataFrame([(i, t, i % 5 != 0) for i, t in enumerate(texts)], "point_id long, text string, is_searchable boolean")
+    asked = {q: {c * 2 for c in r.sample("abcdefghxyz", 3)} for q in range(40)}
+    terms = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query_id long, term string")
+    count = [Counter(t.split()) for t in texts]
+    df = Counter(t for c in count for t in c)
+    want = {}
+    for q, ts in asked.items():
+        for i, c in enumerate(count):
+            if i % 5 and any(t in c for t in ts):
+                want[q, i] = sum(c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(texts[i].split()) / 256)) * math.log(1 + (300 - df[t] + 0.5) / (df[t] + 0.5)) for t in ts if t in c)
+    packed = postings.point_terms(points, keep=["is_searchable"])
+    for cells, pairs, broadcast in ((4_000_000, 1 << 21, 200_000), (200, 7, 200_000), (4000, 50, 50)):
+        monkeypatch.setattr(retrieval, "SCORE_CELLS", cells)
+        monkeypatch.setattr(retrieval, "PAIRS", pairs)
+        monkeypatch.setattr(retrieval, "BROADCAST_TERMS", broadcast)
+        for source in (packed, postings.build_postings(points, keep=["is_searchable"])):
+            found = retrieval.sparse_scores(terms, source, postings.corpus_size(points))
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+            got = {(x.query_id, x.point_id): x.score for x in found.collect()}
+            assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 2e-8 for c in want)
+        best = retrieval.sparse_top_k(terms, packed, postings.corpus_size(points), 6).collect()
+        order = {q: sorted((-round(s, 8), i) for (a, i), s in want.items() if a == q)[:6] for q in asked}
+        assert len(best) == sum(map(len, order.values())) and all(abs(order[x.query_id][x.rank0][0] + x.score) < 2e-8 for x in best)

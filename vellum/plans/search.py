@@ -13,9 +13,9 @@ from vellum.constants import (
 from vellum.functions.scoring import group_size, grouped_limit, prefetch_limit, prefetch_size
 from vellum.operators import ranking
 from vellum.operators.merges import keep_first
-from vellum.operators.postings import build_postings, corpus_size
+from vellum.operators.postings import corpus_size, point_terms
 from vellum.operators.retrieval import (
-    BROADCAST_HITS, dense_top_k, distinct_terms, fuse, group_by_book, query_term_table, sparse_top_k, valid_hits,
+    BROADCAST_HITS, dense_top_k, fuse, group_by_book, query_term_table, sparse_top_k, valid_hits,
 )
 from vellum.session import has_at_most, stage_table, union_all
 from vellum.sources import snapshots as snap
@@ -26,9 +26,9 @@ PAYLOAD = [
 ]
 
 
-def point_postings(points: DataFrame, compatibility: bool = True, only_terms: DataFrame | None = None) -> DataFrame:
-    """Sparse index of a point table; write it once where many searches follow."""
-    return build_postings(points, keep=["is_searchable"], compatibility=compatibility, only_terms=only_terms)
+def point_postings(points: DataFrame, compatibility: bool = True) -> DataFrame:
+    """Sparse index of a point table, a row per point; write it once where many searches follow."""
+    return point_terms(points, keep=["is_searchable"], compatibility=compatibility)
 
 
 def grouped_hits(
@@ -44,8 +44,7 @@ def grouped_hits(
     dense = dense_top_k(queries, vectors, prefetch)
     asked = query_term_table(queries, compatibility)
     if postings is None:
-        # no stored index: only the postings these queries need
-        postings = point_postings(points, compatibility, distinct_terms(asked)[0])
+        postings = point_postings(points, compatibility)
     sparse = sparse_top_k(asked, postings, corpus_size(points), prefetch)
     if "_prefetch" in queries.columns:
         own = queries.select("query_id", "_prefetch")
