@@ -230,3 +230,27 @@ def test_sparse_scores_are_made_where_the_points_lie(spark, monkeypatch):
         best = retrieval.sparse_top_k(terms, packed, postings.corpus_size(points), 6).collect()
         order = {q: sorted((-round(s, 8), i) for (a, i), s in want.items() if a == q)[:6] for q in asked}
         assert len(best) == sum(map(len, order.values())) and all(abs(order[x.query_id][x.rank0][0] + x.score) < 2e-8 for x in best)
+
+
+def test_splitter_and_archives_hand_on_small_tables(spark, monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+
+    from vellum.operators.chunking import split_to_rows
+    from vellum.registry.ingest import make_archive
+    from vellum.sources.archives import parse_archives
+
+    made = []
+    texts = spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, whole string")
+    books = spark.createDataFrame([(1, b"")], "book_id long, content binary")
+    for name in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(type(texts), name, lambda self, f, schema: made.append(f) or self)
+    split_to_rows(texts)
+    parse_archives(books)
+    long = "word " * 20_000
+    batch = pd.DataFrame({"doc_id": range(10), "text": [long] * 10, "whole": [long] * 10})
+    parts = list(made[0](iter([batch])))
+    assert max(p["whole"].str.len().sum() + p["text"].str.len().sum() for p in parts) < 5 << 20 and len({(r.doc_id, r.chunk_index) for p in parts for r in p.itertuples()}) == sum(map(len, parts))
+    content = [make_archive(i, "x" * 100_000) for i in range(100)]
+    parts = list(made[1](iter([pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(content)], ["book_id", "content"])])))
+    assert len(parts) < 100 and max(p.nbytes for p in parts) < 3 << 20 and len({i for p in parts for i in p.column("book_id").to_pylist()}) == 100

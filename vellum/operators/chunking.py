@@ -18,6 +18,9 @@ from vellum.session import spread
 #: Error text of a row whose text cannot be told by offsets.
 UNMAPPED = "chunk is not a part of the text"
 
+#: Characters of rows that leave a task of the splitter at once.
+OUTPUT_CHARS = 4 * 1024 * 1024
+
 
 def check_limits(max_chars: int, overlap: int) -> None:
     """A chunk holds at least one character and more than it repeats of the one before."""
@@ -112,9 +115,16 @@ def split_to_rows(
         .add("char_count", "integer").add("context_chars", "integer").add("split_error", "string")
     names = [f.name for f in carried]
 
+    def tables(batch: pd.DataFrame, numbers: list[int], rows: list[tuple]) -> pd.DataFrame:
+        out = batch[names].iloc[numbers].reset_index(drop=True)
+        columns = pd.DataFrame(rows, columns=made.names).astype({c: "Int32" for c in made.names if c not in ("text", "split_error")})
+        return pd.concat([out, columns], axis=1)
+
     def split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            numbers, rows = [], []
+            numbers, rows, size = [], [], 0
+            # the carried texts of a row are repeated for every chunk, so chunks leave in tables of bounded characters
+            wide = sum((batch[c].map(lambda v: len(v) if isinstance(v, (str, bytes, bytearray)) else 8) for c in names), start=pd.Series(64, index=batch.index)).tolist()
             for at, text in enumerate(batch[text_col]):
                 if not text:
                     continue
@@ -129,9 +139,11 @@ def split_to_rows(
                     numbers.append(at)
                     rows.append((i, chunk, start, end, len(chunk), max(0, before - start) if i > 1 else 0, None))
                     before = end
-            out = batch[names].iloc[numbers].reset_index(drop=True)
-            columns = pd.DataFrame(rows, columns=made.names).astype({c: "Int32" for c in made.names if c not in ("text", "split_error")})
-            yield pd.concat([out, columns], axis=1)
+                    size += wide[at] + len(chunk)
+                    if size >= OUTPUT_CHARS:
+                        yield tables(batch, numbers, rows)
+                        numbers, rows, size = [], [], 0
+            yield tables(batch, numbers, rows)
 
     return spread(df).mapInPandas(split_batches, T.StructType([*carried, *made.fields]))
 

@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vellum.constants import BLOCK_TAGS, NOISE_CONTAINERS, NOISE_VOID, SMALL_CHAPTER_BYTES
@@ -64,13 +65,16 @@ def make_archive(book: int, page: str) -> bytes:
 
 def archives(spark, sf):
     """One archive per page, built in the tasks that read the pages."""
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [make_archive(int(i), h) for i, h in zip(batch["page_id"], batch["html"])]
-            yield pd.DataFrame({"book_id": batch["page_id"], "object_name": [f"in/Book {i}.epub" for i in batch["page_id"]], "content": made})
+            for at in range(0, batch.num_rows, 128):
+                ids = batch.column("page_id").slice(at, 128)
+                made = [make_archive(i, h) for i, h in zip(ids.to_pylist(), batch.column("html").slice(at, 128).to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array([f"in/Book {i}.epub" for i in ids.to_pylist()]), pa.array(made, pa.binary())], ["book_id", "object_name", "content"])
 
     pages = table(spark, sf, "pages").select("page_id", "html")
-    return pages.mapInPandas(build, "book_id long, object_name string, content binary")
+    return pages.mapInArrow(build, "book_id long, object_name string, content binary")
 
 
 def unpacked(spark, sf):

@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +21,9 @@ from vellum.functions.text import flat, strip
 # fixed value: where every archive names its package file
 CONTAINER = "META-INF/container.xml"
 
+#: Bytes of unpacked rows that leave a task at once, and what a row counts for besides its data.
+OUTPUT_BYTES, ROW_BYTES = 2 * 1024 * 1024, 200
+
 ARCHIVE_ROWS = (
     "book_id {book}, kind string, pos int, id string, href string, media_type string, properties string, "
     "base string, text string, data binary"
@@ -162,15 +165,22 @@ def parse_archives(archives: DataFrame) -> DataFrame:
     schema = ARCHIVE_ROWS.format(book=archives.schema["book_id"].dataType.simpleString())
     names = [part.split()[0] for part in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for book, content in zip(batch["book_id"], batch["content"]):
-                rows = list(_package_rows(book, content))
+            kinds = [batch.schema.field("book_id").type, pa.string(), pa.int32(), *[pa.string()] * 6, pa.binary()]
+            waiting, size = [], 0
+            for at in range(batch.num_rows):
+                rows = list(_package_rows(batch.column("book_id")[at].as_py(), batch.column("content")[at].as_py()))
                 if rows[-1][1] == "error":
                     rows = rows[-1:]  # a book is unpacked as a whole or not at all
-                yield pd.DataFrame(rows, columns=names)
-
-    return archives.select("book_id", "content").mapInPandas(run, schema)
+                waiting += rows
+                size += sum(len(r[-1] or b"") + ROW_BYTES for r in rows)
+                # books leave in small tables, so a task never holds what a batch of archives unpacks to
+                if size >= OUTPUT_BYTES or at + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*waiting), kinds)], names)
+                    waiting, size = [], 0
+
+    return archives.select("book_id", "content").mapInArrow(run, schema)
 
 
 def entries(parsed: DataFrame) -> DataFrame:
