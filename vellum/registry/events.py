@@ -323,7 +323,8 @@ def _parked(spark, sf):
         book, F.concat_ws("-", "l_orderkey", "l_linenumber").alias("event_id"), F.lit("ChapterExtracted").alias("type"), ts,
         body(chapter=F.concat(F.lit("c"), (F.col("l_orderkey") % 5).cast("string")), index=F.col("l_linenumber").cast("int"), html=F.concat_ws("-", F.lit("h"), "l_orderkey", "l_linenumber")), none)
     for k, topic in enumerate((covers, chapters, created)):
-        topic.coalesce(2).write.parquet(f"{folder}/log/topic={k}")
+        # two files, so one micro-batch, for each topic; made by all tasks
+        topic.repartition(2).write.parquet(f"{folder}/log/topic={k}")
     stream = spark.readStream.schema(covers.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/log/*")
     # the orders span years, and every topic does
     projected_stream(stream, folder, max_attempts=10, retry_ms=1000 * 86_400_000).awaitTermination()

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -16,7 +15,7 @@ from vellum.streaming.stateful import ROCKSDB
 PARENT, MAX_ATTEMPTS, RETRY_MS = "BookCreated", 10, 60_000
 PASSED, DEAD = "passed", "dead"
 OUTPUT = "book_id long, event_id string, type string, ts timestamp, body string, attempts int, outcome string"
-_EVENT = ["event_id", "type", "ts_us", "body", "attempts"]
+_MADE = OUTPUT.replace("ts timestamp", "ts_us long")
 
 
 class WaitForBook(StatefulProcessor):
@@ -39,26 +38,27 @@ class WaitForBook(StatefulProcessor):
         self.exists = handle.getValueState("exists", "since long")
         self.waiting = handle.getListState("waiting", "event_id string, type string, ts_us long, body string, attempts int, until long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
         came = []
-        for chunk in rows:
-            for event, kind, at, body, tried in chunk[_EVENT].itertuples(index=False, name=None):
-                tried = 0 if pd.isna(tried) else int(tried)
-                came.append((event, kind, int(at), body, tried, max(now, int(at) // 1000) + self.retry_ms * max(1, self.max_attempts - tried)))
+        for row in rows:
+            tried = row.attempts or 0
+            came.append((row.event_id, row.type, row.ts_us, row.body, tried, max(now, row.ts_us // 1000) + self.retry_ms * max(1, self.max_attempts - tried)))
         there = self.exists.exists()
         if not there and any(e[1] == self.parent for e in came):
             self.exists.update((min(e[2] for e in came if e[1] == self.parent),))
-            came += [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
-            self.waiting.clear()
+            waited = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
+            if waited:
+                self.waiting.clear()
+            came += waited
             there = True
         if there:
-            yield self._table(int(key[0]), sorted(came, key=lambda e: (e[1] != self.parent, e[2], e[0])), PASSED, now)
+            yield from self._rows(key[0], sorted(came, key=lambda e: (e[1] != self.parent, e[2], e[0])), PASSED, now)
         elif came:
             self.waiting.appendList(came)
             self.handle.registerTimer(min(e[5] for e in came))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
         events = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
         left = [e for e in events if e[5] > now]
@@ -67,19 +67,17 @@ class WaitForBook(StatefulProcessor):
             self.handle.registerTimer(min(e[5] for e in left))
         elif events:
             self.waiting.clear()
-        dead = sorted((e for e in events if e[5] <= now), key=lambda e: (e[2], e[0]))
-        if dead:
-            yield self._table(int(key[0]), dead, DEAD, now)
+        yield from self._rows(key[0], sorted((e for e in events if e[5] <= now), key=lambda e: (e[2], e[0])), DEAD, now)
 
     def _tried(self, event: tuple, now: int) -> int:
         """Retries of an event up to now: those before it came here and those of its wait."""
         left = -(-max(0, event[5] - now) // self.retry_ms)
         return max(event[4], self.max_attempts - left)
 
-    def _table(self, book: int, events: list[tuple], outcome: str, now: int) -> pd.DataFrame:
-        out = pd.DataFrame([(book, *e[:4], self._tried(e, now), outcome) for e in events], columns=["book_id", *_EVENT, "outcome"])
-        return out.assign(ts=pd.to_datetime(out.pop("ts_us"), unit="us"), attempts=out["attempts"].astype("int32"))[
-            ["book_id", "event_id", "type", "ts", "body", "attempts", "outcome"]]
+    def _rows(self, book: int, events: list[tuple], outcome: str, now: int) -> Iterator[Row]:
+        # plain rows: a data frame for every book costs far more than its events
+        for event in events:
+            yield Row(book_id=book, event_id=event[0], type=event[1], ts_us=event[2], body=event[3], attempts=self._tried(event, now), outcome=outcome)
 
     def close(self) -> None:
         pass
@@ -97,8 +95,9 @@ def wait_for_book(events: DataFrame, parent: str = PARENT, max_attempts: int = M
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     plain = events.withWatermark("ts", delay).select("book_id", F.col("event_id").cast("string").alias("event_id"), "type", F.unix_micros("ts").alias("ts_us"), "body", F.col("attempts").cast("int").alias("attempts"))
-    return plain.groupBy("book_id").transformWithStateInPandas(
-        statefulProcessor=WaitForBook(parent, max_attempts, retry_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+    out = plain.groupBy("book_id").transformWithState(
+        statefulProcessor=WaitForBook(parent, max_attempts, retry_ms), outputStructType=_MADE, outputMode="Append", timeMode="EventTime")
+    return out.select("book_id", "event_id", "type", F.timestamp_micros("ts_us").alias("ts"), "body", "attempts", "outcome")
 
 
 def projected_stream(events: DataFrame, folder: str, available_now: bool = True, **options) -> StreamingQuery:
