@@ -150,6 +150,41 @@ def test_bytes_of_empty_tables_and_low_entropy(spark):
         bwt_dedup.cut_repeated_bytes(table(spark, rows), 20, depth=30)
 
 
+def test_bytes_cut_where_phrases_of_equal_bytes_differ(spark):
+    """Runs of one word: the same bytes are cut into other phrases by what follows them, and each of the two strings is in one other row only."""
+    run = lambda *of: "".join(f"{w} " * n for w, n in of)
+    pairs = [(" " + run(("La", 8), ("Stea", 2), ("La", 8)) + "L", " " + run(("La", 8), ("Stea", 1), ("La", 8), ("x", 3))),
+             (" " + run(("La", 8), ("x", 3), ("La", 8), ("Stea", 1)), run(("La", 8), ("x", 4), ("Stea", 5)) + "Ste"),
+             (" " + run(("La", 4), ("Thon", 3), ("La", 10)) + "La", " " + run(("La", 4), ("Thon", 4), ("x", 4), ("La", 6)) + "L")]
+    r = random.Random(5)
+    rows = []
+    for n, (a, b) in enumerate(pairs):
+        assert len(a) == len(b) == 60
+        rows += [(10 * n, a + "".join(r.choice("abcdefghijklmnop") for _ in range(200)) + b), (10 * n + 1, a), (10 * n + 2, b)]
+    for shard_bytes in (100, 1 << 21):
+        got = bwt_dedup.cut_repeated_bytes(table(spark, rows), 60, shard_bytes=shard_bytes).collect()
+        assert {(r.doc_id, r.n_removed) for r in got} == {(10 * n + k, 60 if k else 120) for n in range(len(pairs)) for k in range(3)}
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in got) == cut_bytes(rows, 60)
+
+
+def test_planted_passages_by_their_bytes(spark):
+    """A passage of over 50 words that two rows hold goes if it has 400 bytes, and stays if it has fewer."""
+    r = random.Random(8)
+    said = lambda n, k: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k)) for _ in range(n))
+    rows, gone = [], {}
+    for n, (count, letters) in enumerate([(51, 4), (51, 6), (57, 6), (58, 6), (51, 7), (51, 9), (120, 5)]):
+        passage = said(count, letters)
+        for k in range(2):
+            rows.append((2 * n + k, f"{said(70, 5)}\n{passage}\n{said(70, 5)}"))
+            gone[2 * n + k] = len(passage) + 2 if len(passage) + 2 >= 400 else 0
+    rows += [(100 + n, said(200, 5)) for n in range(20)]
+    got = {x.doc_id: x for x in bwt_dedup.cut_repeated_bytes(table(spark, rows), shard_bytes=2000).collect()}
+    assert sorted(v > 0 for v in gone.values()) == [False] * 4 + [True] * 10
+    assert all(abs(got[i].n_removed - m) <= 2 and (got[i].n_removed > 0) == (m > 0) for i, m in gone.items())
+    assert all(got[100 + n].n_removed == 0 for n in range(20))
+    assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept_bytes)) for x in got.values()) == cut_bytes(rows, 400)
+
+
 ITEMS = [("a", "Alpha beta, gamma! delta 5 é-ü eps zeta eta theta iota kappa"), ("b", "only four words here"), ("c", ""), (None, "nothing to name it by"), ("d", None), ("b", "four words here again"),
          ("e", "alpha beta gamma delta 5 é ü eps zeta eta")]
 
