@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators.lifecycle import state_machine
-from vellum.streaming.parked import attempt_of, projected_stream
+from vellum.streaming.parked import Books, attempt_of, projected_stream
 from vellum.streaming.runners import state_machine_stream
 
 START = datetime.datetime(2024, 1, 1)
@@ -85,6 +85,74 @@ def test_waiting_ends_after_the_last_retry(spark, tmp_path):
     assert dead == {"a": 4, "b": 4} and set(passed) == {"c", "d", "e", "f", "w", "x", "y", "z"} and passed["c"] == 2
 
 
+def said(spark, folder, outcome):
+    """(event_id, attempts) and the micro-batch of each."""
+    return sorted((r.event_id, r.attempts, r.batch) for r in spark.read.parquet(f"{folder}/{outcome}").collect())
+
+
+def judged(parts, max_attempts, retry_ms):
+    """What passes and what is given up, by one event after the other; a last micro-batch is empty."""
+    books, waiting, passed, dead, now = set(), [], [], [], 0
+    for number, part in enumerate([*parts, []]):
+        for book, name, kind, at, _, tried in part:
+            ms = int((at - datetime.datetime(1970, 1, 1)).total_seconds() * 1000)
+            waiting.append((book, name, tried or 0, max(now, ms) + retry_ms * max(1, max_attempts - (tried or 0))))
+            books |= {book} if kind == "BookCreated" else set()
+        row = lambda e: (e[1], max(e[2], max_attempts - -(-max(0, e[3] - now) // retry_ms)), number)  # noqa: B023, E731
+        passed += [row(e) for e in waiting if e[0] in books]
+        waiting = [e for e in waiting if e[0] not in books]
+        dead += [row(e) for e in waiting if e[3] <= now]
+        waiting = [e for e in waiting if e[3] > now]
+        now = max([now, *(int((e[3] - datetime.datetime(1970, 1, 1)).total_seconds() * 1000) for e in part)])
+    return sorted(passed), sorted(dead)
+
+
+def test_events_are_judged_as_one_after_the_other_and_without_python(spark, tmp_path, capsys):
+    r = random.Random(11)
+    kinds = [*["BookCoverExtracted"] * 6, *["ChapterExtracted"] * 6, "BookCreated", None]
+    parts = [[event(r.choice([None, *range(12)]), f"e{p}-{k:02}", r.choice(kinds), max(0, 6 * p + r.randrange(-30, 8)), r.choice([None, 0, 1, 3, 4, 9])) for k in range(30)] for p in range(4)]
+    parts[-1].append(event(99, "end", "ChapterExtracted", 200))
+    folder, options = str(tmp_path), {"max_attempts": 4, "retry_ms": 3 * 60_000}
+    projected_stream(feed(spark, folder, parts[:2], EVENTS), folder, **options).awaitTermination()
+    # at the end of a run, a micro-batch without data gives up events
+    stopped = judged(parts[:2], 4, 3 * 60_000)
+    assert (said(spark, folder, "passed"), said(spark, folder, "dead")) == stopped and stopped[0] and stopped[1]
+    query = projected_stream(feed(spark, folder, parts, EVENTS), folder, **options)
+    query.awaitTermination()
+    whole = judged([*parts[:2], [], *parts[2:]], 4, 3 * 60_000)
+    assert (said(spark, folder, "passed"), said(spark, folder, "dead")) == whole
+    capsys.readouterr()
+    query.explain()
+    plan = capsys.readouterr().out
+    # events that go through Python one by one, and a state asked for every book, cost ten times as much
+    assert "Physical Plan" in plan and "Py" not in plan and "Pandas" not in plan
+
+
+def test_a_repeated_micro_batch_replaces_its_own_part(spark, tmp_path):
+    folder = str(tmp_path)
+    parts = [[event(b, f"cover-{b}", "BookCoverExtracted", b) for b in range(4)], [event(1, "new-1", "BookCreated", 5), event(5, "late", "ChapterExtracted", 9)], [event(2, "new-2", "BookCreated", 7)]]
+    options = {"max_attempts": 1, "retry_ms": 5 * 60_000}
+    projected_stream(feed(spark, folder, parts, EVENTS), folder, **options).awaitTermination()
+    before = [said(spark, folder, "passed"), said(spark, folder, "dead")]
+    assert before[0] and before[1]
+    # the last one brought data, and its end was not noted
+    for name in ("2", ".2.crc"):
+        (tmp_path / "checkpoint" / "commits" / name).unlink()
+    projected_stream(feed(spark, folder, parts, EVENTS), folder, **options).awaitTermination()
+    assert [said(spark, folder, "passed"), said(spark, folder, "dead")] == before
+
+
+def test_books_stay_in_few_folders(spark, tmp_path):
+    books = Books(spark, str(tmp_path / "books"), fan=2)
+    for number in range(7):
+        new = spark.createDataFrame([(number // 2,), (100 + number,), (None,)], "book_id long")
+        for _ in range(2):
+            known = sorted((r.book_id is None, r.book_id or 0) for r in books.add(new, number).distinct().collect())
+        assert known == [(False, b) for b in [*range(number // 2 + 1), *range(100, 101 + number)]] + [(True, 0)]
+        assert len(list((tmp_path / "books").iterdir())) <= 5
+    assert books.add(new.limit(0), 7).distinct().count() == 12 and Books(spark, str(tmp_path / "none")).add(new.limit(0), 0) is None
+
+
 def test_attempts_of_headers(spark):
     df = spark.createDataFrame([("3",), ("-1",), ("x",), (None,), ("2.5",)], "h string")
     assert [r.n for r in df.select(attempt_of(F.col("h")).alias("n")).collect()] == [3, 0, 0, 0, 0]

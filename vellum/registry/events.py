@@ -322,10 +322,11 @@ def _parked(spark, sf):
     chapters = line.filter("l_linenumber <= 2").join(o.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         book, F.concat_ws("-", "l_orderkey", "l_linenumber").alias("event_id"), F.lit("ChapterExtracted").alias("type"), ts,
         body(chapter=F.concat(F.lit("c"), (F.col("l_orderkey") % 5).cast("string")), index=F.col("l_linenumber").cast("int"), html=F.concat_ws("-", F.lit("h"), "l_orderkey", "l_linenumber")), none)
+    # a file for each core, and as many for a micro-batch, so that all tasks write a topic and one micro-batch takes it
+    files = max(2, spark.sparkContext.defaultParallelism)
     for k, topic in enumerate((covers, chapters, created)):
-        # two files, so one micro-batch, for each topic; made by all tasks
-        topic.repartition(2).write.parquet(f"{folder}/log/topic={k}")
-    stream = spark.readStream.schema(covers.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/log/*")
+        topic.repartition(files, "event_id").write.parquet(f"{folder}/log/topic={k}")
+    stream = spark.readStream.schema(covers.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/log/*")
     # the orders span years, and every topic does
     projected_stream(stream, folder, max_attempts=10, retry_ms=1000 * 86_400_000).awaitTermination()
     return spark.read.schema(covers.schema).parquet(f"{folder}/passed")

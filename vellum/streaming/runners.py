@@ -67,9 +67,9 @@ def envelopes(messages: DataFrame, dead_letters: str, number: int) -> DataFrame:
     return checked.filter(F.size(ERRORS) == 0).drop(ERRORS)
 
 
-def start(stream: DataFrame, step: Step, checkpoint: str, name: str | None = None, available_now: bool = True) -> StreamingQuery:
+def start(stream: DataFrame, step: Step, checkpoint: str, name: str | None = None, available_now: bool = True, mode: str = "append") -> StreamingQuery:
     """Offsets advance only after the step: the checkpoint is the acknowledgement."""
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", checkpoint)
     if name:
         writer = writer.queryName(name)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
