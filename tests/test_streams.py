@@ -153,6 +153,15 @@ def test_books_stay_in_few_folders(spark, tmp_path):
     assert books.add(new.limit(0), 7).distinct().count() == 12 and Books(spark, str(tmp_path / "none")).add(new.limit(0), 0) is None
 
 
+def test_topics_are_written_by_all_cores_and_one_micro_batch_takes_each(spark, tmp_path, monkeypatch):
+    from vellum.registry import events
+
+    monkeypatch.setattr(events, "_fresh_folder", lambda spark, name: str(tmp_path))
+    events.R.queries["t7_parked_stream"](spark, "/root/testdata/sf0.001")
+    assert all(len(list((tmp_path / "log" / f"topic={k}").glob("*.parquet"))) > 2 for k in range(3))
+    assert len(list((tmp_path / "checkpoint" / "commits").glob("[0-9]*"))) <= 4
+
+
 def test_attempts_of_headers(spark):
     df = spark.createDataFrame([("3",), ("-1",), ("x",), (None,), ("2.5",)], "h string")
     assert [r.n for r in df.select(attempt_of(F.col("h")).alias("n")).collect()] == [3, 0, 0, 0, 0]

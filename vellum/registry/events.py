@@ -11,6 +11,7 @@ from vellum.operators import lifecycle, merges
 from vellum.registry import Registry, table
 from vellum.session import checkpoint_folder, union_all
 from vellum.sources.events import build_events, file_stream, route_outbox
+from vellum.sources.folders import names_in
 from vellum.streaming.envelope import check_contracts, parse_envelopes, route, split_poison, with_payload, without_tombstones
 from vellum.streaming.idlog import IdLog
 from vellum.streaming.parked import projected_stream
@@ -322,10 +323,11 @@ def _parked(spark, sf):
     chapters = line.filter("l_linenumber <= 2").join(o.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         book, F.concat_ws("-", "l_orderkey", "l_linenumber").alias("event_id"), F.lit("ChapterExtracted").alias("type"), ts,
         body(chapter=F.concat(F.lit("c"), (F.col("l_orderkey") % 5).cast("string")), index=F.col("l_linenumber").cast("int"), html=F.concat_ws("-", F.lit("h"), "l_orderkey", "l_linenumber")), none)
-    # a file for each core, and as many for a micro-batch, so that all tasks write a topic and one micro-batch takes it
-    files = max(2, spark.sparkContext.defaultParallelism)
+    # all cores write a topic, and one micro-batch takes as many files as it has
+    files = 1
     for k, topic in enumerate((covers, chapters, created)):
-        topic.repartition(files, "event_id").write.parquet(f"{folder}/log/topic={k}")
+        topic.repartition(max(2, spark.sparkContext.defaultParallelism), "event_id").write.parquet(f"{folder}/log/topic={k}")
+        files = max(files, sum(n.endswith(".parquet") for n in names_in(spark, f"{folder}/log/topic={k}")))
     stream = spark.readStream.schema(covers.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/log/*")
     # the orders span years, and every topic does
     projected_stream(stream, folder, max_attempts=10, retry_ms=1000 * 86_400_000).awaitTermination()
